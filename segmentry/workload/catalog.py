@@ -50,7 +50,7 @@ def label_values(spark: SparkSession, folder: str) -> DataFrame:
 
 def review_flatten(spark: SparkSession, folder: str) -> DataFrame:
     return feeds.review_rows(V.review_pages(spark, folder)).select(
-        "app_id", "page_number", F.col("entry_position").cast("long").alias("entry_position"), "review_id",
+        "app_id", "page_number", "review_id",
         "reviewer", "review_text", "review_rating", "review_date", "review_version", "country")
 
 
@@ -225,7 +225,7 @@ SQL = {
     "label_values": """SELECT event_id, CASE WHEN value > 5 THEN event_type END AS label,
         CAST(NULL AS VARCHAR) AS no_label FROM events""",
     "review_flatten": f"""WITH {V.REVIEW_LINES}
-        SELECT app_id, page_number, pos AS entry_position, doc_id || '-' || pos AS review_id,
+        SELECT app_id, page_number, doc_id || '-' || pos AS review_id,
                CASE WHEN length(line) % 3 <> 0 THEN lang END AS reviewer, line AS review_text,
                rating AS review_rating, '2024-02-03T04:05:06-07:00' AS review_date,
                CAST(NULL AS VARCHAR) AS review_version, 'US' AS country
