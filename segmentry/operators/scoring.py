@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segmentry.contracts import require_columns
+from segmentry.contracts import assert_unique, require_columns
 from segmentry.functions import constants as K
 from segmentry.functions.columns import clip01, round_even, to_number
 from segmentry.functions.text import capitalize
-from segmentry.operators.rows import first_per_key, lookup_join, top_per_key
+from segmentry.operators.rows import lookup_join, top_per_key
 
 SUMMARY_COLUMNS = (
     "cluster_id", "game_count", "developer_count", "average_rating", "median_rating_count",
@@ -20,42 +20,78 @@ SUMMARY_COLUMNS = (
 SCORE_COLUMNS = tuple(f"{name}_score" for name in K.SCORE_WEIGHTS)
 
 
-def segment_statistics(games: DataFrame) -> DataFrame:
-    """Size, developers, mean rating, median rating count, mean position, free share.
+def segment_profile(games: DataFrame) -> DataFrame:
+    """One row per segment: statistics without the median, and the largest developer.
 
-    The median comes from value counts and running sums over them, so a hot
-    segment is never gathered in one task row by row: its rows combine map-side
-    to one row per distinct rating count.
+    Rows combine to one per (segment, developer) before they reach a segment's
+    group. Missing developers count as `Unknown` in the shares but not as developers.
     """
-    numeric = games.select(
-        "cluster_id", "developer", "chart_type", to_number(F.col("average_rating")).alias("rating"),
-        to_number(F.col("rating_count")).alias("ratings"),
-        to_number(F.col("chart_position")).alias("position"))
-    base = numeric.groupBy("cluster_id").agg(
-        F.count(F.lit(1)).alias("game_count"),
-        round_even(F.avg("rating"), 3).alias("average_rating"),
-        round_even(F.avg("position"), 2).alias("average_chart_position"),
-        round_even(F.avg(F.when(F.col("chart_type") == "top_free", 1.0).otherwise(0.0)), 3)
-        .alias("free_game_share"))
-    developers = (numeric.select("cluster_id", "developer").dropna(subset=["developer"]).distinct()
-                  .groupBy("cluster_id").agg(F.count(F.lit(1)).alias("developer_count")))
-    medians = grouped_median(numeric, "cluster_id", "ratings", "median_rating_count")
-    return (base.join(developers, "cluster_id", "left").join(medians, "cluster_id", "left")
-            .select("cluster_id", "game_count",
-                    F.coalesce("developer_count", F.lit(0)).alias("developer_count"),
-                    "average_rating", round_even(F.col("median_rating_count"), 0).alias("median_rating_count"),
-                    "average_chart_position", "free_game_share"))
+    rating, position = to_number(F.col("average_rating")), to_number(F.col("chart_position"))
+    per_developer = games.groupBy(
+        "cluster_id", F.coalesce("developer", F.lit("Unknown")).alias("developer_name")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("developer").alias("named"),
+        F.sum(rating).alias("rating_sum"), F.count(rating).alias("rated"),
+        F.sum(position).alias("position_sum"), F.count(position).alias("placed"),
+        F.count_if(F.col("chart_type") == "top_free").alias("free"))
+    # least of (-n, name): most games first, then the alphabet
+    top = F.min(F.struct((-F.col("n")).alias("minus_n"), F.col("developer_name").alias("name")))
+    rows = per_developer.groupBy("cluster_id").agg(
+        F.sum("n").alias("game_count"), F.count_if(F.col("named") > 0).alias("developer_count"),
+        F.sum("rating_sum").alias("rating_sum"), F.sum("rated").alias("rated"),
+        F.sum("position_sum").alias("position_sum"), F.sum("placed").alias("placed"),
+        F.sum("free").alias("free"), top.alias("top"))
+    none = F.lit(0)
+    return rows.select(
+        "cluster_id", "game_count", "developer_count",
+        round_even(F.col("rating_sum") / F.nullif("rated", none), 3).alias("average_rating"),
+        round_even(F.col("position_sum") / F.nullif("placed", none), 2).alias("average_chart_position"),
+        round_even(F.col("free") / F.col("game_count"), 3).alias("free_game_share"),
+        F.col("top.name").alias("top_developer"),
+        (-F.col("top.minus_n") / F.col("game_count")).alias("top_developer_share"))
+
+
+def segment_statistics(games: DataFrame) -> DataFrame:
+    """Size, developers, mean rating, median rating count, mean position, free share."""
+    return with_median(segment_profile(games).drop("top_developer", "top_developer_share"), games)
+
+
+def with_median(summary: DataFrame, games: DataFrame) -> DataFrame:
+    """Summary with the median rating count of its segments."""
+    counts = games.select("cluster_id", to_number(F.col("rating_count")).alias("ratings"))
+    medians = grouped_median(counts, "cluster_id", "ratings", "median_rating_count")
+    return lookup_join(summary, medians, "cluster_id").withColumn(
+        "median_rating_count", round_even(F.col("median_rating_count"), 0))
 
 
 def grouped_median(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """Exact median per key: `percentile` keeps value counts, merged map-side.
+    """Exact median per key without gathering a key in one task.
 
-    Its state grows with the distinct values of a key, not with the rows, and the
-    partial states are merged per task before they are shuffled.
+    Values are counted per (key, value); a coarse logarithmic bucket locates the
+    middle ranks from bucket sizes alone, and only the values of that bucket are
+    then put in order.
     """
-    return (df.filter(F.col(value).isNotNull()).groupBy(key, value)
-            .agg(F.count(F.lit(1)).alias("n"))
-            .groupBy(key).agg(F.percentile(F.col(value), F.lit(0.5), F.col("n")).alias(name)))
+    magnitude = F.floor(F.log1p(F.abs(value)) * 16)
+    counts = (df.filter(F.col(value).isNotNull()).groupBy(key, value)
+              .agg(F.count(F.lit(1)).alias("n"))
+              .withColumn("bucket", F.when(F.col(value) < 0, -magnitude).otherwise(magnitude)))
+    by_bucket = Window.partitionBy(key).orderBy("bucket")
+    whole = Window.partitionBy(key)
+    located = (counts.groupBy(key, "bucket").agg(F.sum("n").alias("size"))
+               .withColumn("before", F.sum("size").over(by_bucket) - F.col("size"))
+               .withColumn("total", F.sum("size").over(whole))
+               .withColumn("low", F.floor((F.col("total") + 1) / 2))
+               .withColumn("high", F.floor(F.col("total") / 2) + 1)
+               .filter((F.col("before") < F.col("high")) & (F.col("before") + F.col("size") >= F.col("low")))
+               .select(key, "bucket", "before", "low", "high"))
+    inside = counts.join(located, [key, "bucket"])
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy(key, "bucket").orderBy(value))
+    placed = inside.withColumn("upto", upto)
+
+    def holds(rank: str) -> Column:
+        return (F.col("upto") >= F.col(rank)) & (F.col("upto") - F.col("n") < F.col(rank))
+
+    return placed.groupBy(key).agg(
+        ((F.max(F.when(holds("low"), F.col(value))) + F.max(F.when(holds("high"), F.col(value)))) / 2).alias(name))
 
 
 def representative_score(position: Column, rating: Column, log_count: Column,
@@ -93,12 +129,7 @@ def representative_games(games: DataFrame, limit: int = 5,
 
 def developer_concentration(games: DataFrame) -> DataFrame:
     """Largest developer of each segment and its share; ties alphabetically first."""
-    counts = (games.groupBy("cluster_id", F.coalesce("developer", F.lit("Unknown")).alias("top_developer"))
-              .agg(F.count(F.lit(1)).alias("n")))
-    totals = counts.groupBy("cluster_id").agg(F.sum("n").alias("total"))
-    top = first_per_key(counts, ["cluster_id"], [F.desc("n"), "top_developer"])
-    return (top.join(totals, "cluster_id")
-            .select("cluster_id", "top_developer", (F.col("n") / F.col("total")).alias("top_developer_share")))
+    return segment_profile(games).select("cluster_id", "top_developer", "top_developer_share")
 
 
 def with_concentration(summary: DataFrame, concentration: DataFrame, check: bool = False) -> DataFrame:
@@ -113,7 +144,6 @@ def with_coherence(summary: DataFrame, coherence: DataFrame, check: bool = False
 
 def _one_to_one(left: DataFrame, right: DataFrame, check: bool) -> DataFrame:
     if check:
-        from segmentry.contracts import assert_unique
         assert_unique(left, ["cluster_id"], "segment summary")
     return lookup_join(left, right, "cluster_id", check)
 
@@ -125,17 +155,26 @@ def _normalized(value: Column, low: Column, high: Column, higher_is_better: bool
     return clip01(unit if higher_is_better else F.lit(1.0) - unit)
 
 
-def min_max_normalize(df: DataFrame, columns: dict[str, tuple[Column, bool]]) -> DataFrame:
+def min_max_normalize(df: DataFrame, columns: dict[str, tuple[Column, bool]],
+                      per_segment: bool = False) -> DataFrame:
     """Add min-max normalised columns: name -> (value, higher is better).
 
     Null becomes 0.5 before the inversion, a constant column is 0.5 throughout.
-    All bounds come from one aggregate that is read as a one-row subquery.
+    All bounds come from one aggregate, read as a one-row subquery. With
+    `per_segment` the table holds one row per segment: the bounds then come from
+    those few rows in one task, and what lies below is computed only once.
     """
-    bounds = df.agg(F.struct(*[
-        stat(to_number(value)).alias(f"{name}_{kind}") for name, (value, _) in columns.items()
-        for kind, stat in (("low", F.min), ("high", F.max))]).alias("bounds")).scalar()
-    with_bounds = df.withColumn("__bounds", bounds)
-    out = with_bounds.withColumns({
+    bounds = F.struct(*[stat(to_number(value)).alias(f"{name}_{kind}")
+                        for name, (value, _) in columns.items()
+                        for kind, stat in (("low", F.min), ("high", F.max))])
+    if per_segment:
+        everything = Window.partitionBy()
+        bounds = F.struct(*[stat(to_number(value)).over(everything).alias(f"{name}_{kind}")
+                            for name, (value, _) in columns.items()
+                            for kind, stat in (("low", F.min), ("high", F.max))])
+    else:
+        bounds = df.agg(bounds.alias("bounds")).scalar()
+    out = df.withColumn("__bounds", bounds).withColumns({
         name: _normalized(to_number(value), F.col(f"__bounds.{name}_low"),
                           F.col(f"__bounds.{name}_high"), better)
         for name, (value, better) in columns.items()})
@@ -153,7 +192,7 @@ def score_components(df: DataFrame) -> DataFrame:
         "__few_games": (F.col("game_count"), False),
         "__few_developers": (F.col("developer_count"), False),
         "__coherence": (F.col("semantic_coherence"), True),
-    })
+    }, per_segment=True)
     return scaled.withColumns({
         "player_validation": 0.65 * F.col("__quality") + 0.35 * F.col("__volume"),
         "competition_gap": clip01((0.55 * F.col("__few_games") + 0.45 * F.col("__few_developers"))

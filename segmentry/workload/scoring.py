@@ -23,10 +23,9 @@ def market_segments(spark: SparkSession, folder: str) -> DataFrame:
     charts = V.charts(spark, folder)
     parts = table(spark, folder, "part").select("p_partkey", "p_name", F.col("p_size").alias("cluster_id"))
     weights = T.tfidf(parts, "p_partkey", "p_name", T.COHERENCE, ["cluster_id"])
-    summary = (scoring.segment_statistics(charts)
+    summary = (scoring.with_median(scoring.segment_profile(charts), charts)
                .join(scoring.representative_games(charts, 5, TIE), "cluster_id", "left")
                .join(T.cluster_keywords(weights, parts), "cluster_id", "left"))
-    summary = scoring.with_concentration(summary, scoring.developer_concentration(charts))
     return scoring.with_coherence(summary, T.coherence(weights, parts))
 
 
@@ -34,10 +33,9 @@ def text_segments(spark: SparkSession, folder: str) -> DataFrame:
     """Segments of the described games, everything from the whole texts."""
     docs = corpus(spark, folder)
     keywords = T.cluster_keywords(T.tfidf(docs, "doc_id", "cleaned_text", T.CATALOG, ["cluster_id"]), docs)
-    summary = (scoring.segment_statistics(docs)
+    summary = (scoring.with_median(scoring.segment_profile(docs), docs)
                .join(scoring.representative_games(docs, 5, ("doc_id",)), "cluster_id", "left")
                .join(keywords, "cluster_id", "left"))
-    summary = scoring.with_concentration(summary, scoring.developer_concentration(docs))
     weights = T.tfidf(docs, "doc_id", "cleaned_text", T.COHERENCE, ["cluster_id"])
     return scoring.with_coherence(summary, T.coherence(weights, docs))
 
@@ -105,6 +103,18 @@ def score_breakdown(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.score_breakdown(market_scores(spark, folder)).withColumn("percent", F.round("percent", 6))
 
 
+def summary_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics, concentration and coherence of one row per segment each, keys checked."""
+    charts = V.charts(spark, folder)
+    docs = corpus(spark, folder)
+    coherence = T.coherence(T.tfidf(docs, "doc_id", "cleaned_text", T.COHERENCE, ["cluster_id"]), docs)
+    joined = scoring.with_concentration(
+        scoring.segment_statistics(charts), scoring.developer_concentration(charts), check=True)
+    return scoring.with_coherence(joined, coherence, check=True).select(
+        "cluster_id", "game_count", "top_developer", F.round("top_developer_share", 9).alias("top_developer_share"),
+        F.round("semantic_coherence", 9).alias("semantic_coherence"))
+
+
 def concept_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return market.concept_candidates(market_scores(spark, folder)).select(
         "cluster_id", "segment_type", "adjusted_opportunity_score")
@@ -171,7 +181,7 @@ NAME_WORDS = {"hot": "merge", "cold": "mansion", "red": "word", "blue": "brain",
 
 QUERIES = {f.__name__: f for f in (
     segment_summary, representative_games, representative_score, developer_concentration, min_max_normalize,
-    score_components, opportunity_ranking, text_opportunity_ranking, score_breakdown, concept_candidates,
+    score_components, opportunity_ranking, text_opportunity_ranking, score_breakdown, summary_join, concept_candidates,
     segment_lookup, segment_base_names, segment_unique_names, stage_facts, cluster_sizes, cluster_count_choice,
     cluster_count_choice_sized)}
 
@@ -294,6 +304,11 @@ SQL = {
     "score_breakdown": f"""WITH {MARKET_SEGMENTS}, {SQL_SCORES}
         SELECT cluster_id, component, score, CAST(maximum AS INTEGER) AS maximum, round(100 * score / maximum, 6) AS percent FROM (
           {' UNION ALL '.join(f"SELECT cluster_id, '{n}_score' AS component, {n}_score AS score, {w} AS maximum FROM scores" for n, w in K.SCORE_WEIGHTS.items())})""",
+    "summary_join": f"""WITH {V.CHARTS}, {_concentration('charts')}, {V.DESCRIBED}, {CORPUS}, {SQL_COHERENCE}
+        SELECT s.cluster_id, game_count, top_developer, round(top_developer_share, 9) AS top_developer_share,
+               round(semantic_coherence, 9) AS semantic_coherence
+        FROM (SELECT cluster_id, count(*) AS game_count FROM charts GROUP BY 1) s
+        LEFT JOIN conc c ON s.cluster_id = c.cluster_id LEFT JOIN coherence h ON s.cluster_id = h.cluster_id""",
     "concept_candidates": f"""WITH {MARKET_SEGMENTS}, {SQL_SCORES}
         SELECT cluster_id, segment_type, adjusted_opportunity_score FROM scores WHERE segment_type <> '{K.MIXED_TYPE}'""",
     "segment_lookup": f"""WITH {MARKET_SEGMENTS}, {SQL_SCORES}
