@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from segmentry.functions import constants as K
 from segmentry.functions.columns import let
+from segmentry.session import materialize
 
 
 @dataclass(frozen=True)
@@ -168,3 +169,28 @@ def vectors(weights: DataFrame, docs: DataFrame, key: str, size: int) -> DataFra
         F.coalesce(F.col("e.weight"), F.array().cast("array<double>")).alias("values")).alias("v"))
     schema = T.StructType([T.StructField("v", VectorUDT())])
     return packed.select(key, F.from_json(F.to_json(F.struct("v")), schema)["v"].alias("features"))
+
+
+@dataclass(frozen=True)
+class Fitted:
+    """A fitted profile: vocabulary with column numbers, weights, sparse vectors."""
+
+    vocabulary: DataFrame
+    weights: DataFrame
+    features: DataFrame
+    size: int
+
+
+def fit(docs: DataFrame, key: str, text: str, profile: Profile, min_features: int = 10) -> Fitted:
+    """Fit a profile and write vocabulary and weights once to the shared folder.
+
+    Later stages (vectors, keywords, similarities) read the written weights instead
+    of cleaning and counting the texts again. Too few terms raise ValueError.
+    """
+    counts = term_counts(docs, key, text, profile)
+    vocab = materialize(indexed_vocabulary(vocabulary(counts, docs, profile)), "vocabulary")
+    size = vocab.count()
+    if size < min_features:
+        raise ValueError(f"too few usable text features: {size}, need {min_features}")
+    weights = materialize(weigh(counts, vocab, key, carry=("index",)), "weights")
+    return Fitted(vocab, weights, vectors(weights, docs, key, size), size)

@@ -1,2 +1,167 @@
-QUERIES = {}
-SQL = {}
+"""Vectors, SVD, KMeans, silhouettes, nearest items and the end-to-end runs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from segmentry.functions.columns import unit_vector
+from segmentry.operators import clusters
+from segmentry.operators import tfidf as T
+from segmentry.plans import opportunities, pain_points, segments
+from segmentry.session import scratch_path
+from segmentry.sources import tables
+from segmentry.streaming import ingest
+from segmentry.workload import views as V
+from segmentry.workload.text import corpus, negatives
+from segmentry.workload.views import table
+
+# fewer restarts than the defaults of the library, which are parameters
+RESTARTS = 2
+
+
+def _embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "embeddings")
+
+
+# ---------------------------------------------------------------- vectors
+
+def row_normalize(spark: SparkSession, folder: str) -> DataFrame:
+    scaled = F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") % 7))
+    rows = _embeddings(spark, folder).select("vec_id", unit_vector(scaled).alias("u"))
+    return rows.select("vec_id", F.round(F.element_at("u", 1), 6).alias("first_value"),
+                       F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x), 6).alias("square_sum"))
+
+
+def cluster_silhouette_cosine(spark: SparkSession, folder: str) -> DataFrame:
+    scored = clusters.silhouette_cosine(_embeddings(spark, folder), "embedding", "label")
+    return scored.groupBy("label").agg(F.count(F.lit(1)).alias("points"),
+                                       F.round(F.avg("silhouette"), 6).alias("silhouette"))
+
+
+def cluster_silhouette_euclidean(spark: SparkSession, folder: str) -> DataFrame:
+    scored = clusters.silhouette_euclidean(_embeddings(spark, folder), "vec_id", "embedding", "label")
+    return scored.groupBy(F.col("label").cast("int").alias("label")).agg(
+        F.count(F.lit(1)).alias("points"), F.round(F.avg("silhouette"), 6).alias("silhouette"))
+
+
+def nearest_items(spark: SparkSession, folder: str) -> DataFrame:
+    points = _embeddings(spark, folder).withColumn("title", F.concat(F.lit("v"), "vec_id"))
+    centres = clusters.mean_vectors(points, "embedding", "label")
+    return clusters.nearest_items(points, centres, "embedding", "title", 6, "label", tie=("vec_id",))
+
+
+# ---------------------------------------------------------------- models
+
+def svd_reduce(spark: SparkSession, folder: str) -> DataFrame:
+    docs = corpus(spark, folder).select("doc_id", "cleaned_text")
+    fitted = T.fit(docs, "doc_id", "cleaned_text", T.CATALOG)
+    reduced, explained = clusters.reduce_dimensions(fitted.features, "doc_id", 50)
+    size = F.aggregate(clusters.vector_to_array("features"), F.lit(0.0), lambda a, x: a + x * x)
+    return reduced.select("doc_id", F.round(size, 6).alias("square_sum"), F.lit(round(explained, 3)).alias("explained"))
+
+
+def sweep_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    points = clusters.array_features(_embeddings(spark, folder)).select("vec_id", "features")
+    return clusters.sweep_cluster_counts(points, range(3, 16), RESTARTS, "cosine")
+
+
+def sweep_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    docs = negatives(spark, folder).select("doc_id", "cleaned_review")
+    fitted = T.fit(docs, "doc_id", "cleaned_review", T.REVIEWS)
+    return clusters.sweep_cluster_counts(fitted.features, range(3, 11), RESTARTS, "cosine")
+
+
+def cluster_labels(spark: SparkSession, folder: str) -> DataFrame:
+    points = clusters.array_features(_embeddings(spark, folder)).select("vec_id", "features").cache()
+    model = clusters.fit_kmeans(points, 10, RESTARTS)
+    path = scratch_path(spark, "kmeans")
+    clusters.save_model(model, path)
+    return clusters.label_points(clusters.load_kmeans(path), points).select("vec_id", "cluster_id")
+
+
+# ---------------------------------------------------------------- end-to-end runs
+
+def _segments(spark: SparkSession, folder: str) -> segments.Segments:
+    return segments.build_segments(V.described(spark, folder), ks=range(3, 9), restarts=RESTARTS,
+                                   final_restarts=RESTARTS, key=("app_id", "chart_type"))
+
+
+def segment_build(spark: SparkSession, folder: str) -> DataFrame:
+    return _segments(spark, folder).summary
+
+
+def opportunity_build(spark: SparkSession, folder: str) -> DataFrame:
+    built = _segments(spark, folder)
+    return opportunities.build_opportunities(built.summary, built.clustered)
+
+
+def embedding_segment_build(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _embeddings(spark, folder).select(F.col("vec_id").cast("string").alias("app_id"), "embedding")
+    return segments.build_embedding_segments(V.described(spark, folder), vectors, range(3, 9), RESTARTS, RESTARTS).summary
+
+
+def pain_point_build(spark: SparkSession, folder: str) -> DataFrame:
+    games = V.described(spark, folder).select(F.concat(F.lit("src"), F.col("cluster_id")).alias("app_id"), "cluster_id")
+    built = pain_points.build_pain_points(V.reviews(spark, folder), games, ["doc_id"], range(3, 7), RESTARTS, RESTARTS,
+                                          min_reviews=2)
+    return built.links.join(built.summary.select("pain_point_id", "keywords"), "pain_point_id")
+
+
+def review_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """Landed pages loaded in resumable steps, then compacted."""
+    landed, out, state = (scratch_path(spark, n) for n in ("landed", "batches", "state"))
+    V.review_pages(spark, folder).write.parquet(landed)
+    ingest.load_reviews(spark, landed, out, state)
+    return ingest.compacted(spark, out).groupBy("review_rating").agg(F.count(F.lit(1)).alias("reviews"))
+
+
+def snapshot_append(spark: SparkSession, folder: str) -> DataFrame:
+    """Two chart snapshots appended as partitions, the newest read back."""
+    path = scratch_path(spark, "snapshots")
+    charts = V.charts(spark, folder).select("app_id", "title", "developer", "chart_type", "chart_position")
+    tables.append_snapshot(charts, path, "20240101_000000")
+    tables.append_snapshot(charts.filter(F.col("chart_type") == "top_free"), path, "20240102_000000")
+    newest = tables.latest_snapshot(spark.read.parquet(path))
+    return newest.groupBy("chart_type").agg(F.count(F.lit(1)).alias("rows"))
+
+
+QUERIES = {f.__name__: f for f in (
+    row_normalize, cluster_silhouette_cosine, cluster_silhouette_euclidean, nearest_items, svd_reduce,
+    sweep_embeddings, sweep_reviews, cluster_labels, segment_build, opportunity_build, embedding_segment_build,
+    pain_point_build, review_ingest, snapshot_append)}
+
+
+# ---------------------------------------------------------------- SQL
+
+_VECTORS = """vectors AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"""
+
+
+def _silhouette(distance: str) -> str:
+    return f"""WITH {_VECTORS},
+      gaps AS (SELECT a.vec_id, a.label, b.label AS other, sum({distance}) AS s, count(*) AS n
+               FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
+      ab AS (SELECT vec_id, label, max(CASE WHEN label = other THEN s / n END) AS a,
+                    min(CASE WHEN label <> other THEN s / n END) AS b FROM gaps GROUP BY 1, 2)
+      SELECT label, count(*) AS points, round(avg(CASE WHEN a IS NULL THEN 0.0
+        ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM ab GROUP BY 1"""
+
+
+SQL = {
+    "row_normalize": f"""WITH {_VECTORS}, m AS (SELECT vec_id, vec_id % 7 AS f, v, sqrt(list_inner_product(v, v)) AS len FROM vectors)
+        SELECT vec_id, round(CASE WHEN f = 0 THEN 0.0 ELSE v[1] / len END, 6) AS first_value,
+               CASE WHEN f = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS square_sum FROM m""",
+    "cluster_silhouette_cosine": _silhouette("1.0 - list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v))"),
+    "cluster_silhouette_euclidean": _silhouette("list_distance(a.v, b.v)"),
+    "nearest_items": f"""WITH {_VECTORS},
+        dims AS (SELECT label, i, avg(v[i]) AS m FROM vectors, range(1, 65) AS r(i) GROUP BY 1, 2),
+        far AS (SELECT a.vec_id, a.label, sqrt(sum((a.v[d.i] - d.m) * (a.v[d.i] - d.m))) AS g
+                FROM vectors a JOIN dims d ON a.label = d.label GROUP BY 1, 2),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(g, 9), vec_id) AS r FROM far)
+        SELECT label, string_agg('v' || vec_id, ' | ' ORDER BY r) AS representative_games FROM ranked
+        WHERE r <= 6 GROUP BY 1""",
+    "review_ingest": f"""WITH {V.REVIEW_LINES}
+        SELECT rating AS review_rating, count(*) AS reviews FROM page_entries WHERE rating IS NOT NULL GROUP BY 1""",
+    "snapshot_append": f"""WITH {V.CHARTS}
+        SELECT chart_type, count(*) AS rows FROM charts WHERE chart_type = 'top_free' GROUP BY 1""",
+}

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from segmentry.functions.columns import join_list
 from segmentry.operators import reviews as R
 from segmentry.operators import tfidf as T
+from segmentry.plans.pain_points import pain_point_table
+from segmentry.session import materialize
 from segmentry.workload import views as V
 from segmentry.workload.text import NEGATIVES, negatives, sql_keywords, sql_tfidf
 
@@ -24,13 +26,9 @@ def _segments(spark: SparkSession, folder: str) -> DataFrame:
 
 def _pain_points(spark: SparkSession, folder: str) -> DataFrame:
     """Pain-point summary of the negative document reviews, with keywords and examples."""
-    docs = negatives(spark, folder)
-    weights = T.tfidf(docs, "doc_id", "cleaned_review", T.REVIEWS, ["pain_point_id"])
-    centres = T.cluster_term_means(weights, docs, "pain_point_id")
-    near = T.centre_similarity(weights, centres, docs, "doc_id", "pain_point_id")
-    return (R.pain_point_statistics(docs)
-            .join(T.cluster_keywords(weights, docs, 10, "pain_point_id"), "pain_point_id", "left")
-            .join(R.representative_reviews(near, docs, "doc_id"), "pain_point_id", "left"))
+    docs = materialize(negatives(spark, folder), "negatives")
+    weights = materialize(T.tfidf(docs, "doc_id", "cleaned_review", T.REVIEWS), "weights")
+    return pain_point_table(docs, weights, key="doc_id")
 
 
 # ---------------------------------------------------------------- queries
