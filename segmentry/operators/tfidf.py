@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -154,38 +155,49 @@ def indexed_vocabulary(vocab: DataFrame) -> DataFrame:
     return vocab.withColumn("index", F.row_number().over(Window.orderBy("term")) - 1)
 
 
-def vectors(weights: DataFrame, docs: DataFrame, key: str, size: int) -> DataFrame:
-    """(key, features): sparse ML vectors from a long table that carries `index`.
+def entries(weights: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """(key, indices, values): one sparse row per document, from weights with `index`.
 
-    Built by Spark itself through the vector type's stored form, so no row passes
-    through Python. A document without terms gets the zero vector.
+    A document without terms has empty arrays; none has more than the vocabulary.
     """
-    from pyspark.ml.linalg import VectorUDT
-    entries = weights.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("index", "weight"))).alias("e"))
-    packed = docs.select(key).join(entries, key, "left").select(key, F.struct(
-        F.lit(0).alias("type"), F.lit(size).alias("size"),
-        F.coalesce(F.col("e.index"), F.array().cast("array<int>")).alias("indices"),
-        F.coalesce(F.col("e.weight"), F.array().cast("array<double>")).alias("values")).alias("v"))
+    packed = weights.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("index", "weight"))).alias("e"))
+    return docs.select(key).join(packed, key, "left").select(
+        key, F.coalesce(F.col("e.index"), F.array().cast("array<int>")).alias("indices"),
+        F.coalesce(F.col("e.weight"), F.array().cast("array<double>")).alias("values"))
+
+
+def to_vectors(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """(key, features): sparse ML vectors of `entries`.
+
+    Spark reads them from the stored form of its vector type, so no row passes
+    through Python.
+    """
+    stored = F.struct(F.struct(F.lit(0).alias("type"), F.lit(size).alias("size"), "indices", "values").alias("v"))
     schema = T.StructType([T.StructField("v", VectorUDT())])
-    return packed.select(key, F.from_json(F.to_json(F.struct("v")), schema)["v"].alias("features"))
+    return rows.select(key, F.from_json(F.to_json(stored), schema)["v"].alias("features"))
 
 
 @dataclass(frozen=True)
 class Fitted:
-    """A fitted profile: vocabulary with column numbers, weights, sparse vectors."""
+    """A fitted profile: vocabulary with column numbers, weights, sparse rows."""
 
     vocabulary: DataFrame
     weights: DataFrame
-    features: DataFrame
+    entries: DataFrame
     size: int
+    key: str
+
+    def features(self) -> DataFrame:
+        """Sparse ML vectors (key, features)."""
+        return to_vectors(self.entries, self.key, self.size)
 
 
 def fit(docs: DataFrame, key: str, text: str, profile: Profile, min_features: int = 10) -> Fitted:
-    """Fit a profile and write vocabulary and weights once to the shared folder.
+    """Fit a profile and write vocabulary, weights and rows once to the shared folder.
 
-    Later stages (vectors, keywords, similarities) read the written weights instead
-    of cleaning and counting the texts again. Too few terms raise ValueError.
+    Later stages (SVD, KMeans, keywords, similarities) make many passes; they read
+    what is written instead of cleaning and counting the texts again. Too few terms
+    raise ValueError.
     """
     counts = term_counts(docs, key, text, profile)
     vocab = materialize(indexed_vocabulary(vocabulary(counts, docs, profile)), "vocabulary")
@@ -193,4 +205,4 @@ def fit(docs: DataFrame, key: str, text: str, profile: Profile, min_features: in
     if size < min_features:
         raise ValueError(f"too few usable text features: {size}, need {min_features}")
     weights = materialize(weigh(counts, vocab, key, carry=("index",)), "weights")
-    return Fitted(vocab, weights, vectors(weights, docs, key, size), size)
+    return Fitted(vocab, weights, materialize(entries(weights, docs, key), "entries"), size, key)

@@ -74,7 +74,7 @@ def build_pain_points(reviews: DataFrame, clustered: DataFrame, order: Sequence[
     negatives = materialize(keyed, "negatives")
     require_rows(negatives, min_reviews, "negative reviews")
     fitted = T.fit(negatives.select(KEY, "cleaned_review"), KEY, "cleaned_review", profile)
-    features = materialize(fitted.features, "review-features")
+    features = materialize(fitted.features(), "review-features")
     evaluation = clusters.sweep_cluster_counts(features, ks, restarts, "cosine", key=KEY)
     chosen = clusters.choose_cluster_count(evaluation, min_cluster).first()["number_of_clusters"]
     model = clusters.fit_kmeans(features.cache(), chosen, final_restarts)

@@ -56,7 +56,7 @@ def nearest_items(spark: SparkSession, folder: str) -> DataFrame:
 def svd_reduce(spark: SparkSession, folder: str) -> DataFrame:
     docs = corpus(spark, folder).select("doc_id", "cleaned_text")
     fitted = T.fit(docs, "doc_id", "cleaned_text", T.CATALOG)
-    reduced, explained = clusters.reduce_dimensions(fitted.features, "doc_id", 50)
+    reduced, explained = clusters.reduce_dimensions(fitted.entries, "doc_id", fitted.size, 50)
     size = F.aggregate(clusters.vector_to_array("features"), F.lit(0.0), lambda a, x: a + x * x)
     return reduced.select("doc_id", F.round(size, 6).alias("square_sum"), F.lit(round(explained, 3)).alias("explained"))
 
@@ -69,7 +69,7 @@ def sweep_embeddings(spark: SparkSession, folder: str) -> DataFrame:
 def sweep_reviews(spark: SparkSession, folder: str) -> DataFrame:
     docs = negatives(spark, folder).select("doc_id", "cleaned_review")
     fitted = T.fit(docs, "doc_id", "cleaned_review", T.REVIEWS)
-    return clusters.sweep_cluster_counts(fitted.features, range(3, 11), RESTARTS, "cosine")
+    return clusters.sweep_cluster_counts(fitted.features(), range(3, 11), RESTARTS, "cosine")
 
 
 def cluster_labels(spark: SparkSession, folder: str) -> DataFrame:
