@@ -116,7 +116,7 @@ COHERENCE_WARNING = "Low semantic coherence"
 SIZE_WARNING = "Very small cluster"
 
 # Patterns of the text cleaners.
-URL = r"(?:https?://|www\.)\S+"
+URL = r"(?:https?://|www\.)[^\s\x0B\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 HTML_TAG = r"<[^>]+>"
 NON_LETTER = r"[^a-zA-Z\s-]"

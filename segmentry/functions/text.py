@@ -10,33 +10,39 @@ from pyspark.sql import functions as F
 from segmentry.functions import constants as K
 from segmentry.functions.columns import let, split_list
 
-# whitespace beyond ASCII, mapped to a blank before the ASCII patterns run
-_WIDE_SPACES = "".join(map(chr, [
-    0x0B, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
-    0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+def _lowered(value: Column) -> Column:
+    return F.lower(F.coalesce(value.cast("string"), F.lit("")))
 
 
-def _lowered(value: Column) -> Column:
-    text = F.lower(F.coalesce(value.cast("string"), F.lit("")))
-    return F.translate(text, _WIDE_SPACES, " " * len(_WIDE_SPACES))
+def _blank(text: Column, pattern: str, *hints: str) -> Column:
+    """Matches replaced by a blank; texts without any hint skip the pattern."""
+    def replace(t: Column) -> Column:
+        hit = F.contains(t, F.lit(hints[0]))
+        for hint in hints[1:]:
+            hit = hit | F.contains(t, F.lit(hint))
+        return F.when(hit, F.regexp_replace(t, pattern, " ")).otherwise(t)
+
+    return let(text, replace)
 
 
-def _blank(text: Column, pattern: str) -> Column:
-    return F.regexp_replace(text, pattern, " ")
+def _kept(words: Column, stopwords: Sequence[str]) -> Column:
+    return F.filter(words, lambda w: ~w.isin(*stopwords))
 
 
-def _words(text: Column, strip: str, stopwords: Sequence[str]) -> Column:
-    stripped = F.transform(F.split(text, r"\s+"), lambda w: F.btrim(w, F.lit(strip)))
-    return F.filter(stripped, lambda w: (F.length(w) >= 3) & ~w.isin(*stopwords))
+def _runs(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
 def description_words(value: Column, stopwords: Sequence[str] = K.CATALOG_STOPWORDS) -> Column:
-    """Cleaned words of a description, a word equal to the one before it dropped."""
-    text = _blank(_lowered(value), K.URL)
-    text = _blank(text, "(?U)" + K.EMAIL)
-    text = _blank(text, K.HTML_TAG)
-    text = _blank(text, K.NON_LETTER)
-    return let(_words(text, "-", stopwords), lambda words: F.filter(
+    """Cleaned words of a description, a word equal to the one before it dropped.
+
+    Blanking all but letters and hyphens, splitting, stripping hyphens and dropping
+    short words is one search for runs that start and end with a letter.
+    """
+    text = _blank(_lowered(value), K.URL, "http", "www.")
+    text = _blank(text, "(?U)" + K.EMAIL, "@")
+    text = _blank(text, K.HTML_TAG, "<")
+    return let(_kept(_runs(text, "[a-z][a-z-]+[a-z]"), stopwords), lambda words: F.filter(
         words, lambda w, i: (i == 0) | (w != F.get(words, i - 1))))
 
 
@@ -47,14 +53,13 @@ def clean_description(value: Column, stopwords: Sequence[str] = K.CATALOG_STOPWO
 
 def clean_review(value: Column, stopwords: Sequence[str] = K.REVIEW_STOPWORDS) -> Column:
     """Review reduced to meaningful lower-case words; repeats are kept."""
-    text = _blank(_blank(_lowered(value), K.URL), K.NON_LETTER_KEEP_APOSTROPHE)
-    return F.array_join(_words(text, "'-", stopwords), " ")
+    text = _blank(_lowered(value), K.URL, "http", "www.")
+    return F.array_join(_kept(_runs(text, "[a-z][a-z'-]+[a-z]"), stopwords), " ")
 
 
 def genre_terms(value: Column, stopwords: Sequence[str] = K.CATALOG_STOPWORDS) -> Column:
     """Genre words written twice, which doubles their weight in a corpus."""
-    text = _blank(F.replace(_lowered(value), F.lit("|"), F.lit(" ")), K.NON_LETTER)
-    words = F.filter(F.split(text, r"\s+"), lambda w: (F.length(w) >= 3) & ~w.isin(*stopwords))
+    words = _kept(_runs(_lowered(value), "[a-z-]{3,}"), stopwords)
     return let(F.array_join(words, " "),
                lambda genres: F.trim(F.concat(genres, F.lit(" "), genres)))
 

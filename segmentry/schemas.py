@@ -82,10 +82,9 @@ CHART_ENTRY = (
     f"`im:name`:{_LABEL},`im:artist`:{_LABEL},`im:releaseDate`:{_ATTRIBUTES},"
     f"category:{_ATTRIBUTES},`im:image`:array<{_LABEL}>>"
 )
-# every field as raw text: a field that is present but no object is told from a missing one
 REVIEW_ENTRY = (
-    "struct<`im:rating`:string,content:string,title:string,id:string,updated:string,"
-    "`im:version`:string,author:string>"
+    f"struct<`im:rating`:{_LABEL},content:{_LABEL},title:{_LABEL},id:{_LABEL},updated:{_LABEL},"
+    f"`im:version`:{_LABEL},author:struct<name:{_LABEL}>>"
 )
 LOOKUP_RECORD = (
     "struct<trackId:string,trackName:string,artistName:string,description:string,"

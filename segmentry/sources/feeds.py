@@ -14,33 +14,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segmentry import schemas
-from segmentry.functions.columns import let, text_number, to_timestamp_utc
+from segmentry.functions.columns import text_number, to_timestamp_utc
 from segmentry.operators.rows import first_per_key
 
 
-def _feed_entry(doc: Column) -> Column:
-    """Raw text of `feed.entry`, null where absent."""
-    return F.from_json(doc, "feed struct<entry:string>")["feed"]["entry"]
-
-
 def _is_json(text: Column, *openers: str) -> Column:
     return F.substring(F.trim(text), 1, 1).isin(*openers)
 
 
+def _entries(doc: Column, element: str) -> Column:
+    """`feed.entry` as an array of `element`: a list, or one object as a list of one.
+
+    A list that mixes objects with other values is read item by item and keeps its
+    objects. The cheap case comes first; the others run only where it fails.
+    """
+    def parse(kind: str) -> Column:
+        return F.from_json(doc, f"feed struct<entry:{kind}>")["feed"]["entry"]
+
+    objects = F.transform(F.filter(parse("array<string>"), lambda e: _is_json(e, "{")),
+                          lambda e: F.from_json(F.concat(F.lit('{"e":'), e, F.lit("}")), f"e {element}")["e"])
+    return F.coalesce(parse(f"array<{element}>"), objects, F.array_compact(F.array(parse(element))))
+
+
 def chart_entries(docs: DataFrame, strict: bool = False, country: str = "US") -> DataFrame:
     """Chart documents (doc, chart_type, source_url, snapshot_date) as one row per app.
 
     A single object counts as a list of one; positions start at 1. An entry that is
     neither is skipped with its document, or raises when `strict`.
     """
-    raw = _feed_entry(F.col("doc"))
-    usable = raw.isNull() | _is_json(raw, "[", "{")
+    doc = F.col("doc")
     if strict:
+        raw = F.get_json_object(doc, "$.feed.entry")
         message = F.concat(F.lit("unexpected feed format for chart "), F.col("chart_type"))
-        raw = F.when(usable, raw).otherwise(F.raise_error(message))
-    parsed = docs.withColumn("__raw", raw).filter(_is_json(F.col("__raw"), "[", "{"))
-    rows = parsed.select("chart_type", "source_url", "snapshot_date", F.posexplode(
-        F.from_json("__raw", f"array<{schemas.CHART_ENTRY}>")).alias("pos", "e"))
+        doc = F.when(raw.isNull() | _is_json(raw, "[", "{"), doc).otherwise(F.raise_error(message))
+    rows = docs.select("chart_type", "source_url", "snapshot_date",
+                       F.posexplode(_entries(doc, schemas.CHART_ENTRY)).alias("pos", "e"))
     genre = F.col("e.category.attributes.label")
     images = F.col("e.`im:image`")
     return rows.select(
@@ -98,16 +106,12 @@ def label_of(object_text: Column) -> Column:
 
 
 def review_page_entries(pages: DataFrame) -> DataFrame:
-    """Pages with `entries`: the review entries of `doc` (a list, or one object).
+    """Pages with `entries`: the review entries of `doc`, each a map of raw fields.
 
     An entry counts when it is an object with both a rating and a content field.
     """
-    raw = _feed_entry(F.col("doc"))
-    items = F.when(_is_json(raw, "["), F.from_json(raw, "array<string>")).when(
-        _is_json(raw, "{"), F.array(raw))
-    objects = F.filter(F.coalesce(items, F.array().cast("array<string>")), lambda e: _is_json(e, "{"))
-    entries = F.filter(objects, lambda e: let(F.json_object_keys(e), lambda keys: (
-        F.array_contains(keys, "im:rating") & F.array_contains(keys, "content"))))
+    entries = F.filter(_entries(F.col("doc"), "map<string,string>"), lambda e: (
+        e.isNotNull() & F.map_contains_key(e, "im:rating") & F.map_contains_key(e, "content")))
     return pages.withColumn("entries", entries)
 
 
@@ -118,20 +122,17 @@ def review_rows(pages: DataFrame, keep: Sequence[str] = ("page_number",),
     `entry_position` is the 0-based place on the page. Ratings are cut to whole
     numbers; rows without rating or text, or outside 1..5, are dropped.
     """
-    rows = review_page_entries(pages).select("app_id", "game_title", "developer", *keep,
-                                             F.posexplode("entries").alias("entry_position", "entry"))
-    parsed = rows.withColumn("e", F.from_json("entry", schemas.REVIEW_ENTRY))
-    author = F.when(_is_json(F.col("e.author"), "{"), F.get_json_object("e.author", "$.name.label"))
-    number = text_number(label_of(F.col("e.`im:rating`")))
+    rows = pages.select("app_id", "game_title", "developer", *keep, F.posexplode(
+        _entries(F.col("doc"), schemas.REVIEW_ENTRY)).alias("entry_position", "e"))
+    number = text_number(F.col("e.`im:rating`.label"))
     # truncation towards zero, so 0.9 is out and 5.9 is in
     whole = F.when(F.abs(number) < 1e9, number.cast("int"))
-    out = parsed.select(
+    out = rows.select(
         "app_id", "game_title", "developer", *keep, "entry_position",
-        label_of(F.col("e.id")).alias("review_id"), author.alias("reviewer"),
-        label_of(F.col("e.title")).alias("review_title"),
-        label_of(F.col("e.content")).alias("review_text"), whole.alias("review_rating"),
-        label_of(F.col("e.updated")).alias("review_date"),
-        label_of(F.col("e.`im:version`")).alias("review_version"), F.lit(country).alias("country"))
+        F.col("e.id.label").alias("review_id"), F.col("e.author.name.label").alias("reviewer"),
+        F.col("e.title.label").alias("review_title"), F.col("e.content.label").alias("review_text"),
+        whole.alias("review_rating"), F.col("e.updated.label").alias("review_date"),
+        F.col("e.`im:version`.label").alias("review_version"), F.lit(country).alias("country"))
     return out.filter(F.col("review_text").isNotNull() & F.col("review_rating").between(1, 5))
 
 
@@ -151,8 +152,8 @@ def page_facts(pages: DataFrame) -> DataFrame:
     Works inside the row: entries are tested where they are, no rows are exploded.
     """
     def parses(entry: Column) -> Column:
-        number = text_number(label_of(F.get_json_object(entry, "$['im:rating']")))
-        text = label_of(F.get_json_object(entry, "$.content"))
+        number = text_number(label_of(entry["im:rating"]))
+        text = label_of(entry["content"])
         return F.coalesce((number >= 1) & (number < 6) & text.isNotNull(), F.lit(False))
 
     listed = review_page_entries(pages)

@@ -17,6 +17,10 @@ from segmentry.workload.views import table
 
 # ---------------------------------------------------------------- SQL pieces
 
+# the database knows ASCII whitespace only, and the given texts hold no other
+URL = r"(?:https?://|www\.)\S+"
+
+
 def quoted(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
@@ -28,7 +32,7 @@ def _blank(text: str, pattern: str) -> str:
 def sql_description(column: str) -> str:
     """Cleaned description; the words are bound by a sub-select."""
     text = f"lower(coalesce({column}, ''))"
-    for pattern in (K.URL, K.EMAIL, K.HTML_TAG, K.NON_LETTER):
+    for pattern in (URL, K.EMAIL, K.HTML_TAG, K.NON_LETTER):
         text = _blank(text, pattern)
     words = (f"list_filter(list_transform(string_split_regex({text}, '\\s+'), lambda w: trim(w, '-')), "
              f"lambda w: length(w) >= 3 AND w NOT IN ({quoted(K.CATALOG_STOPWORDS)}))")
@@ -37,7 +41,7 @@ def sql_description(column: str) -> str:
 
 
 def sql_review(column: str) -> str:
-    text = _blank(_blank(f"lower(coalesce({column}, ''))", K.URL), K.NON_LETTER_KEEP_APOSTROPHE)
+    text = _blank(_blank(f"lower(coalesce({column}, ''))", URL), K.NON_LETTER_KEEP_APOSTROPHE)
     return (f"array_to_string(list_filter(list_transform(string_split_regex({text}, '\\s+'), "
             f"lambda w: trim(w, '''-')), lambda w: length(w) >= 3 "
             f"AND w NOT IN ({quoted(K.REVIEW_STOPWORDS)})), ' ')")
