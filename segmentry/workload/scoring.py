@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmentry.functions import constants as K
@@ -10,7 +10,7 @@ from segmentry.functions.columns import round_even
 from segmentry.operators import clusters, market, naming, scoring
 from segmentry.operators import tfidf as T
 from segmentry.workload import views as V
-from segmentry.workload.text import CORPUS, SQL_COHERENCE, corpus, sql_keywords, sql_tfidf
+from segmentry.workload.text import CORPUS, SQL_COHERENCE, TITLE_SQL, corpus, quoted, sql_keywords, sql_tfidf
 from segmentry.workload.views import table
 
 TIE = ("app_id", "chart_type", "entry", "chart_position", "seller")
@@ -125,21 +125,31 @@ def segment_lookup(spark: SparkSession, folder: str) -> DataFrame:
         "cluster_id", "opportunity_rank", "adjusted_opportunity_score", "signal_summary")
 
 
-def segment_base_names(spark: SparkSession, folder: str) -> DataFrame:
-    """A name per part, from its words; themes get votes through a few renamed words."""
-    parts = table(spark, folder, "part")
-    swap = F.lower("p_name")
+def _themed(words: Column) -> Column:
+    """Words with a few of them renamed to theme words, so that naming rules apply."""
     for old, new in NAME_WORDS.items():
-        swap = F.replace(swap, F.lit(old), F.lit(new))
-    rows = parts.select(F.col("p_partkey").alias("cluster_id"),
-                        F.concat_ws(" | ", F.replace(swap, F.lit(" "), F.lit(" | ")), F.lower("p_type")).alias("keywords"),
-                        F.col("p_type").alias("representative_games"), F.col("p_brand").alias("top_developer"))
+        words = F.replace(words, F.lit(old), F.lit(new))
+    return words
+
+
+def segment_base_names(spark: SparkSession, folder: str) -> DataFrame:
+    """A name per part, from its words, type and brand."""
+    words = F.replace(_themed(F.lower("p_name")), F.lit(" "), F.lit(" | "))
+    rows = table(spark, folder, "part").select(
+        F.col("p_partkey").alias("cluster_id"), F.concat_ws(" | ", words, F.lower("p_type")).alias("keywords"),
+        F.col("p_type").alias("representative_games"), F.col("p_brand").alias("top_developer"))
     return naming.with_base_names(rows).select("cluster_id", "keywords", "cluster_name")
 
 
 def segment_unique_names(spark: SparkSession, folder: str) -> DataFrame:
-    """Unique names of the chart segments."""
-    named = naming.unique_names(naming.with_base_names(market_segments(spark, folder)), check=True)
+    """Unique names of the chart segments, many of which share a base name."""
+    parts = table(spark, folder, "part").select("p_partkey", "p_name", F.col("p_size").alias("cluster_id"))
+    keywords = T.cluster_keywords(T.tfidf(parts, "p_partkey", "p_name", T.COHERENCE, ["cluster_id"]), parts)
+    profile = scoring.segment_profile(V.charts(spark, folder)).select("cluster_id", "top_developer")
+    rows = profile.join(keywords, "cluster_id").select(
+        "cluster_id", "top_developer", _themed(F.col("keywords")).alias("keywords"),
+        F.lit("").alias("representative_games"))
+    named = naming.unique_names(naming.with_base_names(rows), check=True)
     return named.select("cluster_id", "cluster_name", "keywords", "top_developer")
 
 
@@ -278,7 +288,59 @@ MARKET_SEGMENTS = f"""{V.CHARTS}, {_statistics('charts')}, {_concentration('char
 _SHARE = "round_even(top_developer_share * 1000000, 0) / 1000000 AS top_developer_share"
 _OUT = ", ".join(_SHARE if c == "top_developer_share" else c for c in SCORE_OUTPUT)
 
+def _themed_sql(words: str) -> str:
+    for old, new in NAME_WORDS.items():
+        words = f"replace({words}, '{old}', '{new}')"
+    return words
+
+
+def _naming_sql(rows: str) -> str:
+    """CTE `named`(cluster_id, keywords, top_developer, useful, base) from `rows`."""
+    lower = "lower(array_to_string(ks, ' ') || ' ' || coalesce(representative_games, '') || ' ' || coalesce(top_developer, ''))"
+    votes = ", ".join(f"{{'score': len(list_intersect(toks, [{quoted(words)}])), 'name': '{name}'}}"
+                      for name, words in K.THEMES.items())
+    rules = " ".join("WHEN " + " AND ".join(f"list_contains(names, '{t}')" for t in themes) + f" THEN '{label}'"
+                     for themes, label in K.THEME_NAMES)
+    franchise = " ".join(
+        "WHEN " + " OR ".join([f"contains(txt, '{p.replace(chr(39), chr(39) * 2)}')" for p in in_text]
+                              + [f"contains(lower(top_developer), '{p}')" for p in in_dev])
+        + f" THEN '{label.replace(chr(39), chr(39) * 2)}'" for label, in_text, in_dev in K.FRANCHISES)
+    def title(word: str) -> str:
+        return TITLE_SQL.replace("regexp_extract_all(k,", f"regexp_extract_all({word},")
+
+    return f"""n1 AS (SELECT *, list_filter(list_transform(string_split(keywords, '|'), lambda k: lower(trim(k))), lambda k: k <> '') AS ks FROM {rows}),
+      n2 AS (SELECT *, {lower} AS txt, list_filter(ks, lambda k: k NOT IN ({quoted(K.GENERIC_KEYWORDS)})
+             AND regexp_matches(k, '[a-zA-Z]')) AS useful FROM n1),
+      n3 AS (SELECT *, list_distinct(string_split_regex(translate(txt, '/·,.', '    '), '\\s+')) AS toks FROM n2),
+      n4 AS (SELECT *, list_reverse_sort(list_filter([{votes}], lambda v: v.score > 0)) AS votes FROM n3),
+      n5 AS (SELECT *, list_transform(votes, lambda v: v.name) AS names, useful[1] AS w1,
+             list_filter(useful, lambda k: NOT contains(k, useful[1]) AND NOT contains(useful[1], k))[1] AS w2 FROM n4),
+      named AS (SELECT *, CASE {franchise} {rules}
+          WHEN len(names) >= 2 THEN names[1] || ' & ' || names[2] || ' Games' WHEN len(names) = 1 THEN names[1] || ' Games'
+          WHEN w2 IS NOT NULL THEN {title('w1')} || ' & ' || {title('w2')} || ' Games'
+          WHEN w1 IS NOT NULL THEN {title('w1')} || ' Games' ELSE 'Game Segment ' || cluster_id END AS base FROM n5)"""
+
+
 SQL = {
+    "segment_base_names": f"""WITH part_rows AS (SELECT p_partkey AS cluster_id, p_type AS representative_games, p_brand AS top_developer,
+          replace({_themed_sql('lower(p_name)')}, ' ', ' | ') || ' | ' || lower(p_type) AS keywords FROM part),
+        {_naming_sql('part_rows')} SELECT cluster_id, keywords, base AS cluster_name FROM named""",
+    "segment_unique_names": f"""WITH RECURSIVE {V.CHARTS}, {_concentration('charts')},
+        part_docs AS (SELECT p_partkey, p_name, p_size AS cluster_id FROM part),
+        {sql_tfidf('part_docs', 'p_partkey', 'p_name', T.COHERENCE, 'cluster_id')},
+        {sql_keywords('part_docs', 'p_partkey', 'cluster_id', 12)},
+        seg_rows AS (SELECT c.cluster_id, top_developer, '' AS representative_games, {_themed_sql('keywords')} AS keywords
+                     FROM conc c JOIN keywords k ON c.cluster_id = k.cluster_id),
+        {_naming_sql('seg_rows')},
+        holders AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY cluster_id) AS i,
+            list_transform(useful, lambda k: {TITLE_SQL} || ' · ' || base) AS options FROM named),
+        fold AS (SELECT base, i, cluster_id, base AS cluster_name, [base] AS used FROM holders WHERE i = 1
+          UNION ALL
+          SELECT base, i, cluster_id, pick, list_append(used, pick) FROM (
+            SELECT h.base, h.i, h.cluster_id, f.used, coalesce(list_filter(h.options, lambda o: NOT list_contains(f.used, o))[1],
+                   h.base || ' (Segment ' || h.cluster_id || ')') AS pick
+            FROM fold f JOIN holders h ON h.base = f.base AND h.i = f.i + 1))
+        SELECT f.cluster_id, cluster_name, keywords, top_developer FROM fold f JOIN seg_rows s ON f.cluster_id = s.cluster_id""",
     "segment_summary": f"WITH {V.CHARTS}, {_statistics('charts')} SELECT * FROM stats",
     "representative_games": f"WITH {V.CHARTS}, {_representatives('charts', _TIE_SQL)} SELECT * FROM reps",
     "representative_score": f"""WITH {V.CHARTS}, {_scored('charts')}

@@ -232,7 +232,7 @@ SQL_COHERENCE = f"""{sql_tfidf('corpus', 'doc_id', 'cleaned_text', T.COHERENCE,
                        ELSE coalesce(sum(cosine), 0) / any_value(n) END AS semantic_coherence
                 FROM coh_sizes s LEFT JOIN coh_cos c ON s.cluster_id = c.cluster_id GROUP BY 1)"""
 
-_TITLE = (r"array_to_string(list_transform(regexp_extract_all(k, '(\p{L}+|[^\p{L}]+)'), "
+TITLE_SQL = (r"array_to_string(list_transform(regexp_extract_all(k, '(\p{L}+|[^\p{L}]+)'), "
           r"lambda p: upper(substr(p, 1, 1)) || lower(substr(p, 2))), '')")
 
 SQL = {
@@ -253,7 +253,7 @@ SQL = {
     "example_clip": """SELECT doc_id, CASE WHEN length(t) > 250 THEN substr(t, 1, 247) || '...' ELSE t END AS example
         FROM (SELECT doc_id, replace(text, chr(10), ' ') AS t FROM documents)""",
     "complaint_labels": f"""SELECT p_partkey, CASE WHEN p_size = 7 THEN 'Player complaint' ELSE
-        array_to_string(list_transform([p_name, p_brand, p_type], lambda k: {_TITLE}), ' / ') END AS label FROM part""",
+        array_to_string(list_transform([p_name, p_brand, p_type], lambda k: {TITLE_SQL}), ' / ') END AS label FROM part""",
     "tfidf_catalog": _sql_report(f"{V.DESCRIBED}, {CORPUS}", "corpus", "doc_id", "cleaned_text", T.CATALOG),
     "tfidf_reviews": _sql_report(f"{V.REVIEWS}, {NEGATIVES}", "negatives", "doc_id", "cleaned_review", T.REVIEWS),
     "tfidf_coherence": _sql_report(f"{V.DESCRIBED}, {CORPUS}", "corpus", "doc_id", "cleaned_text", T.COHERENCE),
