@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from segmentry.functions import constants as K
 from segmentry.functions.columns import let
+from segmentry.operators.rows import small_join
 from segmentry.session import materialize
 
 
@@ -141,12 +142,12 @@ def centre_similarity(weights: DataFrame, centres: DataFrame, docs: DataFrame, k
     """
     length = F.sqrt(F.sum(F.col("mean_weight") * F.col("mean_weight")))
     lengths = centres.groupBy(cluster).agg(length.alias("centre_length"))
-    dots = (weights.join(centres, [cluster, "term"], "left")
+    dots = (small_join(weights, centres, [cluster, "term"])
             .groupBy(key).agg(
                 F.sum(F.col("weight") * F.coalesce("mean_weight", F.lit(0.0))).alias("dot"),
                 F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("row_length")))
     scale = F.col("row_length") * F.col("centre_length")
-    return (docs.select(key, cluster).join(dots, key, "left").join(lengths, cluster, "left")
+    return (small_join(docs.select(key, cluster).join(dots, key, "left"), lengths, cluster)
             .select(key, cluster, F.when(scale > 0, F.col("dot") / scale).otherwise(0.0).alias("similarity")))
 
 

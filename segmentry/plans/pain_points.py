@@ -40,7 +40,7 @@ def pain_point_table(negatives: DataFrame, weights: DataFrame, centres: DataFram
     """
     labelled = weights.join(negatives.select(key, "pain_point_id"), key)
     if centres is None:
-        centres = T.cluster_term_means(labelled, negatives, "pain_point_id")
+        centres = materialize(T.cluster_term_means(labelled, negatives, "pain_point_id"), "centres")
     near = T.centre_similarity(labelled, centres, negatives, key, "pain_point_id")
     return (R.pain_point_statistics(negatives)
             .join(T.cluster_keywords(labelled, negatives, keywords, "pain_point_id"), "pain_point_id", "left")
