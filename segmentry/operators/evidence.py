@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segmentry.functions.columns import split_list
@@ -175,6 +175,32 @@ def classify_replies(replies: DataFrame, reply: str = "reply") -> DataFrame:
             .withColumn("concept", F.when(F.col("status") == "ok", F.col("__json"))).drop("__json"))
 
 
+def service_results(bodies: DataFrame, body: str = "body", http_status: str = "http_status") -> DataFrame:
+    """Add `status`, `message` and `concept` to landed service bodies.
+
+    ok: success is set and the concept is an object. failed: the request was refused
+    (message from details, error or the code). non_json and unexpected otherwise.
+    """
+    b, code = F.col(body), F.col(http_status)
+    concept = F.get_json_object(b, "$.concept")
+    success = ~F.coalesce(F.get_json_object(b, "$.success"), F.lit("")).isin("", "false", "0")
+    good = success & F.json_object_keys(concept).isNotNull()
+
+    def text(path: str) -> Column:
+        return F.nullif(F.get_json_object(b, path), F.lit(""))
+
+    refused = ~code.between(200, 399)
+    status = (F.when(F.json_object_keys(b).isNull(), "non_json").when(refused, "failed")
+              .when(good, "ok").otherwise("unexpected"))
+    out = bodies.withColumn("status", status)
+    message = (F.when(F.col("status") == "failed", F.coalesce(
+        text("$.details"), text("$.error"), F.concat(F.lit("HTTP "), code.cast("string"))))
+        .when(F.col("status") == "unexpected", F.coalesce(
+            F.get_json_object(b, "$.error"), F.lit("AI service returned an unexpected response."))))
+    return (out.withColumn("message", message)
+            .withColumn("concept", F.when(F.col("status") == "ok", concept)))
+
+
 def new_titles(replies: DataFrame, segment: str = "segment", at: str = "generated_at") -> DataFrame:
     """(segment, title, generated_at) of the accepted concepts, first use of each title."""
     titled = replies.filter(F.col("status") == "ok").select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,12 +18,13 @@ SNAPSHOT_COLUMNS = ("app_id", "title", "developer", "chart_type", "chart_positio
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, required: Sequence[str] = (),
-             table: str = "table") -> DataFrame:
-    """CSV with a header and an explicit schema; quoted cells may hold line breaks.
+             table: str = "table", multi_line: bool = True) -> DataFrame:
+    """CSV with a header and an explicit schema; bad values become null.
 
     The header decides which columns exist, so a missing required one is reported.
+    Quoted cells may hold line breaks; turn `multi_line` off to split large files.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     present = reader.csv(path).columns
     fields = [f.strip() for f in schema.split(", ")]
     typed = {f.split()[0]: f.split()[1] for f in fields}
@@ -45,11 +47,15 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def load_bundle(spark: SparkSession, root: str, register: bool = False) -> dict[str, DataFrame]:
-    """All named tables below `root`, each checked; optionally as temporary views."""
+def load_bundle(spark: SparkSession, root: str, register: bool = False, csv: bool = False) -> dict[str, DataFrame]:
+    """All named tables below `root`, each checked; optionally as temporary views.
+
+    Tables are Parquet folders, or with `csv` files named `<table>.csv`.
+    """
     bundle = {}
-    for name, (_, required) in TABLES.items():
-        bundle[name] = read_table(spark, f"{root}/{name}", required, name)
+    for name, (schema, required) in TABLES.items():
+        bundle[name] = (read_csv(spark, f"{root}/{name}.csv", schema, required, name) if csv
+                        else read_table(spark, f"{root}/{name}", required, name))
         if register:
             bundle[name].createOrReplaceTempView(name)
     return bundle
@@ -133,6 +139,11 @@ def write_table(df: DataFrame, path: str, csv: bool = False) -> None:
         writer.parquet(path)
 
 
+def snapshot_stamp(now: datetime | None = None) -> str:
+    """Snapshot name in UTC, such as 20240131_235959."""
+    return (now or datetime.now(timezone.utc)).astimezone(timezone.utc).strftime("%Y%m%d_%H%M%S")
+
+
 def append_snapshot(df: DataFrame, path: str, snapshot_ts: str) -> None:
     """Add a snapshot as its own partition; writing it again replaces that one only."""
     (df.withColumn("snapshot_ts", F.lit(snapshot_ts)).write.mode("overwrite")

@@ -110,13 +110,28 @@ def reply_status(spark: SparkSession, folder: str) -> DataFrame:
     return E.classify_replies(replies(spark, folder)).groupBy("status").agg(F.count(F.lit(1)).alias("replies"))
 
 
+def service_reply(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation turn as a landed service body, good and bad."""
+    kind = F.col("turn") % 5
+    concept = F.struct(F.col("role").alias("title"))
+    body = (F.when(kind == 0, F.to_json(F.struct(F.lit(True).alias("success"), concept.alias("concept"))))
+            .when(kind == 1, F.to_json(F.struct(F.lit("broke").alias("error"), F.col("role").alias("details"))))
+            .when(kind == 2, F.to_json(F.struct(F.lit(False).alias("success"), F.lit("nothing").alias("error"))))
+            .when(kind == 3, F.to_json(F.struct(F.lit(True).alias("success"), F.lit("text").alias("concept"))))
+            .otherwise("<html>"))
+    landed = table(spark, folder, "conversations").select(
+        "conv_id", "turn", body.alias("body"), F.when(kind == 1, 502).otherwise(200).alias("http_status"))
+    return E.service_results(landed).select("conv_id", "turn", "status", "message", "concept")
+
+
 def title_history(spark: SparkSession, folder: str) -> DataFrame:
     return E.title_history(_titles(spark, folder), key="cluster_name").select(
         "cluster_name", F.array_join("previous_titles", ",").alias("previous_titles"))
 
 
 QUERIES = {f.__name__: f for f in (
-    evidence_payload, request_validation, prompt_render, reply_text, concept_extract, reply_status, title_history)}
+    evidence_payload, request_validation, prompt_render, reply_text, concept_extract, reply_status,
+    service_reply, title_history)}
 
 
 # ---------------------------------------------------------------- SQL
@@ -166,6 +181,11 @@ SQL = {
           WHEN kind IN (1, 2, 3) THEN '```json' || chr(10) || 'Sure: ' || CAST({_CONCEPT} AS VARCHAR) || chr(10) || '```'
           WHEN kind = 7 THEN 'no json here' WHEN kind = 8 THEN '[1, 2]' WHEN kind = 9 THEN '{{"title": "Plain"}}'
           ELSE '' END AS reply_text FROM replies""",
+    "service_reply": """SELECT conv_id, turn,
+        CASE turn % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'failed' WHEN 4 THEN 'non_json' ELSE 'unexpected' END AS status,
+        CASE turn % 5 WHEN 1 THEN role WHEN 2 THEN 'nothing'
+          WHEN 3 THEN 'AI service returned an unexpected response.' END AS message,
+        CASE WHEN turn % 5 = 0 THEN '{"title":"' || role || '"}' END AS concept FROM conversations""",
     "title_history": f"""WITH {HISTORY}
         SELECT cluster_name, array_to_string(previous_titles, ',') AS previous_titles FROM history""",
 }
