@@ -1,6 +1,10 @@
 """Registered queries of this package and their SQL."""
 
-from segmentry.llm import chat
+from segmentry.llm import bpe, chat, secrets
 
-QUERIES = {"op3_chat_format": chat.op3_chat_format}
+QUERIES = {
+    "op3_chat_format": chat.op3_chat_format,
+    "op7_secrets": secrets.op7_secrets,
+    "op9_bpe": bpe.op9_bpe,
+}
 SQL = {"op3_chat_format": chat.OP3_SQL}
