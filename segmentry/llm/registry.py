@@ -1,10 +1,16 @@
 """Registered queries of this package and their SQL."""
 
-from segmentry.llm import bpe, chat, secrets
+from segmentry.llm import bpe, chat, decontaminate, jaccard, secrets
 
 QUERIES = {
     "op3_chat_format": chat.op3_chat_format,
+    "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
     "op7_secrets": secrets.op7_secrets,
     "op9_bpe": bpe.op9_bpe,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
+}
+SQL = {
+    "op3_chat_format": chat.OP3_SQL,
+    "op6_ngram_jaccard": jaccard.OP6_SQL,
+    "op10_decontaminate": decontaminate.OP10_SQL,
 }
-SQL = {"op3_chat_format": chat.OP3_SQL}
