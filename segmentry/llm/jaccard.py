@@ -16,12 +16,13 @@ from segmentry.session import materialize
 SPARE = 3
 #: Ratio of neighbouring size bands.
 BAND = 0.72
-#: Sets under one part key that are paired with each other; more become a star around the first.
+#: Sets under one part key that become pairs at once; more are compared in blocks by their sketches.
 PAIRED = 16
-#: Sets of a block when the sets of one candidate cluster are compared.
+#: Sets of a block, when the sets under one key or in one cluster are compared.
 BLOCK = 256
-#: Bits of the sketch that blocks are compared by.
+#: Bits of the sketch that whole sets are compared by.
 SKETCH_BITS = 1024
+_WORDS_PER_SKETCH = SKETCH_BITS // 64
 #: Keys a task gathers before it hands them on.
 FLUSH = 400_000
 
@@ -42,19 +43,24 @@ def node_of(hashes: np.ndarray) -> int:
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def sketch_of(hashes: np.ndarray) -> np.ndarray:
+    """Parity sketch: every shingle flips one of SKETCH_BITS bits; 64-bit words."""
+    bits = np.bincount((hashes % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _set_rows(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, node of every document row."""
+    """doc_id, n, node, sketch of every document row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, node = [], []
-            for _, data, offsets in chunks(batch.column(1)):
-                for s in shingles(data, offsets, words):
-                    n.append(len(s))
-                    node.append(node_of(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64())],
-                                             names=["doc_id", "n", "node"])
+            sets = [s for _, data, offsets in chunks(batch.column(1)) for s in shingles(data, offsets, words)]
+            sketches = np.concatenate([sketch_of(s) for s in sets]) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * _WORDS_PER_SKETCH, pa.int32()), pa.array(sketches))],
+                names=["doc_id", "n", "node", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long")
+    return docs.mapInArrow(run, "doc_id long, n long, node long, sketch array<long>")
 
 
 def part_keys(sets: list[np.ndarray], nodes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,49 +140,113 @@ def _key_rows(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFr
     return docs.mapInArrow(run, "bucket int, keys binary, nodes binary")
 
 
-def candidate_pairs(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, shared keys, starred) from keys and their nodes.
+def candidate_pairs(keys: np.ndarray, nodes: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """((a, b, shared keys), (key, node)): the pairs under keys of up to PAIRED nodes, the rest as they are.
 
-    Up to PAIRED nodes of a key give all their pairs. More are tied to the first in a star, which puts
-    them in one candidate cluster, where all are compared.
+    Keys that have the same many nodes are handed on once.
     """
     keys, nodes = distinct_pairs(keys, nodes)
     n = len(keys)
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if n else np.zeros(0, np.int64)
     sizes = np.diff(np.r_[starts, n])
     start, size = np.repeat(starts, sizes), np.repeat(sizes, sizes)
-    a, b, starred = [], [], []
-    star = np.flatnonzero((size > PAIRED) & (np.arange(n) > start))
-    a.append(nodes[start[star]])
-    b.append(nodes[star])
-    starred.append(np.ones(len(star), bool))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for gap in range(1, PAIRED):
         left = np.flatnonzero((size <= PAIRED) & (np.arange(n) + gap < start + size))
         if not len(left):
             break
         a.append(nodes[left])
         b.append(nodes[left + gap])
-        starred.append(np.zeros(len(left), bool))
-    a, b, starred = np.concatenate(a), np.concatenate(b), np.concatenate(starred)
+    a, b = np.concatenate(a), np.concatenate(b)
     order = np.lexsort((b, a))
-    a, b, starred = a[order], b[order], starred[order]
+    a, b = a[order], b[order]
     first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
-    shared = np.diff(np.r_[first, len(a)])
-    return a[first], b[first], shared, np.logical_or.reduceat(starred, first) if len(first) else starred[:0]
+    large = np.flatnonzero(sizes > PAIRED)
+    alike = np.add.reduceat(mix(nodes.view(np.uint64)), starts)[large] if n else np.zeros(0, np.uint64)
+    large = large[np.unique(alike, return_index=True)[1]]
+    many = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in large]) if len(large) else np.zeros(0, np.int64)
+    return (a[first], b[first], np.diff(np.r_[first, len(a)])), (keys[many].view(np.int64), nodes[many])
 
 
 def _pair_rows(packed: DataFrame) -> DataFrame:
+    """a, b, shared: pairs of nodes; where shared is null, a is a key of many nodes and b one of them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for batch in batches:
             keys += [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("keys")]
             nodes += [np.frombuffer(x.as_py(), np.int64) for x in batch.column("nodes")]
-        columns = candidate_pairs(np.concatenate(keys), np.concatenate(nodes))
-        for at in range(0, len(columns[0]), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[at:at + 50_000]) for c in columns],
-                                             names=["a", "b", "shared", "starred"])
+        pairs, many = candidate_pairs(np.concatenate(keys), np.concatenate(nodes))
+        for columns in (pairs, many):
+            for at in range(0, len(columns[0]), 50_000):
+                part = [pa.array(c[at:at + 50_000]) for c in columns]
+                part += [pa.nulls(len(part[0]), pa.int64())] * (3 - len(part))
+                yield pa.RecordBatch.from_arrays(part, names=["a", "b", "shared"])
 
-    return packed.mapInArrow(run, "a long, b long, shared long, starred boolean")
+    return packed.mapInArrow(run, "a long, b long, shared long")
+
+
+def _near(sketches: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Matrix of the pairs that sketches and sizes do not rule out, by one matrix product.
+
+    The Hamming distance of two sketches never exceeds the number of differing shingles.
+    """
+    signs = 1 - 2 * np.unpackbits(sketches.view(np.uint8), axis=1).astype(np.float32)
+    distance = (SKETCH_BITS - signs[left] @ signs[right].T) / 2
+    a, b = sizes[left].astype(np.float64)[:, None], sizes[right].astype(np.float64)[None, :]
+    return ((distance * (100 + percent) <= (100 - percent) * (a + b)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+            & (left[:, None] != right[None, :]))
+
+
+def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Members to compare: a block with itself (side 0), or one (1) with another (2)."""
+    if (side == 0).all():
+        return np.arange(len(side)), np.arange(len(side))
+    return np.flatnonzero(side == 1), np.flatnonzero(side == 2)
+
+
+def _block_rows(members: DataFrame, key: str, carry: list[str]) -> DataFrame:
+    """Members of each key in pairs of blocks of about BLOCK: key, low, high, side and `carry`, sorted by block."""
+    size = members.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    at = [key, "low", "high"]
+    rows = (members.join(size, key).withColumn("block", block)
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select(key, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), side.alias("side"), *carry))
+    return rows.repartition(tasks(members.sparkSession), *at).sortWithinPartitions(*at, "node")
+
+
+def _each_block(batches: Iterator[pa.RecordBatch], key: str, carry: list[str]) -> Iterator[list[tuple]]:
+    """The rows (side, *carry) of one block pair after the other."""
+    now, rows = None, []
+    for batch in batches:
+        for *block, side, rest in zip(*(batch.column(n).to_pylist() for n in (key, "low", "high", "side")),
+                                      zip(*(batch.column(n).to_pylist() for n in carry))):
+            if block != now and rows:
+                yield rows
+                rows = []
+            now = block
+            rows.append((side, *rest))
+    if rows:
+        yield rows
+
+
+def _sketch_links(blocks: DataFrame, key: str, percent: int) -> DataFrame:
+    """a, b: links that join what the sketches under one key do not rule out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _each_block(batches, key, ["node", "n", "sketch"]):
+            side, node, n = (np.array([r[k] for r in rows]) for k in range(3))
+            left, right = _sides(side)
+            near = _near(np.array([r[3] for r in rows], np.int64), n, left, right, percent)
+            forest, links = _Forest(len(rows)), []
+            for x, y in zip(*np.nonzero(near)):
+                i, j = forest.root(int(left[x])), forest.root(int(right[y]))
+                if i != j:
+                    forest.up[i] = j
+                    links.append((node[left[x]], node[right[y]]))
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return blocks.mapInArrow(run, "a long, b long")
 
 
 class _Forest:
@@ -195,61 +265,34 @@ class _Forest:
 def verified_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that join the members of a block as all its links would; exact on the sets.
 
-    Sketches are compared by one matrix product: their Hamming distance never exceeds the number of
-    differing shingles, so what is further apart is no link. Of the rest, a pair is checked exactly
-    unless checked links join it already.
+    Of what the sketches do not rule out, a pair is checked unless checked links join it already.
     """
-    sizes = np.array([len(s) for s in sets], np.float32)
-    sketch = np.zeros((len(sets), SKETCH_BITS), np.int32)
-    for i, s in enumerate(sets):
-        sketch[i] = np.bincount((s % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    sketch = (1 - 2 * sketch).astype(np.float32)
-    distance = (SKETCH_BITS - sketch[left] @ sketch[right].T) / 2
-    a, b = sizes[left][:, None], sizes[right][None, :]
-    near = (distance * (100 + percent) <= (100 - percent) * (a + b)) & (left[:, None] != right[None, :])
     forest, links = _Forest(len(sets)), []
+    if not len(left) or not len(right):
+        return links
+    near = _near(np.stack([sketch_of(s) for s in sets]), np.array([len(s) for s in sets]), left, right, percent)
     for x, y in zip(*np.nonzero(near)):
         i, j = int(left[x]), int(right[y])
         if forest.root(i) == forest.root(j):
             continue
         small, large = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
-        if 100 * len(small) < percent * len(large):
-            continue
         place = np.minimum(np.searchsorted(large, small), len(large) - 1)
-        both = int((large[place] == small).sum())
-        if 100 * both >= percent * (len(small) + len(large) - both):
+        shared = int((large[place] == small).sum())
+        if 100 * shared >= percent * (len(small) + len(large) - shared):
             forest.up[forest.root(i)] = forest.root(j)
             links.append((i, j))
     return links
 
 
 def _link_rows(blocks: DataFrame, words: int, percent: int) -> DataFrame:
-    """a, b (document ids) from rows cluster, low, high, side, node, doc_id, text sorted by block.
-
-    Of several texts under one doc_id only the one of the node counts.
-    """
-    def links(rows: list[tuple]) -> tuple[list, list]:
-        sets = [s for _, data, offsets in chunks(pa.array([r[3] for r in rows], pa.string())) for s in shingles(data, offsets, words)]
-        own = [i for i, s in enumerate(sets) if node_of(s) == rows[i][1]]
-        rows, sets = [rows[i] for i in own], [sets[i] for i in own]
-        ids, side = [r[2] for r in rows], np.array([r[0] for r in rows])
-        every = np.arange(len(rows))
-        left, right = (every, every) if (side == 0).all() else (every[side == 1], every[side == 2])
-        found = verified_links(sets, left, right, percent)
-        return [ids[i] for i, _ in found], [ids[j] for _, j in found]
-
+    """a, b (document ids) of verified links. Of several texts under one doc_id only the node's own counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
-        for batch in batches:
-            for *block, side, node, doc_id, text in zip(*(batch.column(n).to_pylist() for n in (
-                    "cluster", "low", "high", "side", "node", "doc_id", "text"))):
-                if block != key and rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links(rows)], names=["a", "b"])
-                    rows = []
-                key = block
-                rows.append((side, node, doc_id, text))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links(rows)], names=["a", "b"])
+        for rows in _each_block(batches, "cluster", ["node", "doc_id", "text"]):
+            sets = [s for _, data, offsets in chunks(pa.array([r[3] for r in rows], pa.string())) for s in shingles(data, offsets, words)]
+            own = [i for i, s in enumerate(sets) if node_of(s) == rows[i][1]]
+            rows, sets = [rows[i] for i in own], [sets[i] for i in own]
+            found = verified_links(sets, *_sides(np.array([r[0] for r in rows])), percent)
+            yield pa.RecordBatch.from_arrays([pa.array([rows[e[k]][2] for e in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return blocks.mapInArrow(run, "a long, b long")
 
@@ -260,37 +303,39 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_
     Words are runs of other than white space, A-Z lower-cased. Documents whose sets of `words`-word
     shingles have 100 * intersection >= percent * union are linked; component_id is the smallest
     doc_id reachable. Null, empty and blank texts have no shingle and are alone. Repeated rows and
-    equal sets are one node. Rows without doc_id count in no minimum but their own class's.
+    equal sets are one node. Rows without doc_id count
+    in no minimum; with others of their set they get its component, else null.
 
     Equal sets collapse first, so groups of copies of any size are one node. Part keys travel packed.
-    A candidate cluster is what part keys tie together; its texts are gathered in blocks of BLOCK, and a
-    large cluster is compared as pairs of blocks in many tasks, which return at most one link per member.
+    Pairs under a key must also pass the comparison of whole sketches; under a key of many nodes (a
+    common passage, many near copies) that runs as pairs of blocks in many tasks, which return links
+    enough to join what passes, never all pairs. What is joined so is a candidate cluster; its texts
+    are gathered, again as pairs of blocks, and verified exactly.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets = materialize(_set_rows(given, words), "sets")
-    first = materialize(sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")), "nodes")
-
-    buckets = 8 * tasks(spark)
-    packed = _key_rows(given, words, percent, buckets).repartition(tasks(spark), "bucket")
-    pairs = _pair_rows(packed).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("starred").alias("starred"))
-    pairs = materialize(pairs.filter("starred or shared > 1").select("a", "b"), "candidates")
-    clusters = components(pairs, "a", "b", "node", "cluster")
-
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    members = materialize(clusters.join(sizes, "cluster").join(first.filter("first is not null"), "node").select(
-        F.col("first").alias("doc_id"), "node", "cluster", "blocks",
-        F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "members")
-    texts = given.join(members, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
-    block = ["cluster", "low", "high"]
-    rows = texts.select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-                        side.alias("side"), "node", "doc_id", "text")
-    links = _link_rows(rows.repartition(tasks(spark), *block).sortWithinPartitions(*block, "doc_id"), words, percent)
+    nodes = materialize(sets.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min(F.struct(
+        "doc_id", "n", "sketch")).alias("x")).select("node", F.col("x.doc_id").alias("first"), "x.n", "x.sketch"), "nodes")
+
+    packed = _key_rows(given, words, percent, 8 * tasks(spark)).repartition(tasks(spark), "bucket")
+    met = materialize(_pair_rows(packed), "met")
+    of = lambda side: nodes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
+    distance = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    pairs = (met.filter("shared is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared")).filter("shared > 1")
+             .join(of("a"), "a").join(of("b"), "b")
+             .filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+                     & (distance * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb")))).select("a", "b"))
+    many = met.filter("shared is null").select(F.col("a").alias("key"), F.col("b").alias("node")).join(nodes, "node")
+    dense = _sketch_links(_block_rows(many, "key", ["node", "n", "sketch"]), "key", percent)
+    clusters = components(pairs.unionByName(dense), "a", "b", "node", "cluster")
+
+    members = materialize(clusters.join(nodes.select("node", F.col("first").alias("doc_id")), "node"), "members")
+    links = _link_rows(_block_rows(given.join(members, "doc_id"), "cluster", ["node", "doc_id", "text"]), words, percent)
     reached = components(links, "a", "b", "first", "component")
 
-    return (sets.join(first, "node", "left").join(reached, "first", "left")
+    return (sets.drop("sketch").join(nodes.select("node", "first"), "node", "left").join(reached, "first", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("n") > 0, F.coalesce("component", "first")).otherwise(F.col("doc_id")).alias("component_id")))
 
