@@ -1,8 +1,10 @@
 """Registered queries of this package and their SQL."""
 
-from segmentry.llm import bpe, chat, decontaminate, jaccard, secrets
+from segmentry.llm import bpe, chat, decontaminate, jaccard, repeats, secrets, vectors
 
 QUERIES = {
+    "op1_suffix_dedup": repeats.op1_suffix_dedup,
+    "op2_embedding_dedup": vectors.op2_embedding_dedup,
     "op3_chat_format": chat.op3_chat_format,
     "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
     "op7_secrets": secrets.op7_secrets,
@@ -10,6 +12,7 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 SQL = {
+    "op2_embedding_dedup": vectors.OP2_SQL,
     "op3_chat_format": chat.OP3_SQL,
     "op6_ngram_jaccard": jaccard.OP6_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,

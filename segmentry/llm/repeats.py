@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmentry.llm.common import CHUNK_BYTES, RangeHash, _power, bound_batches, chunks, mix, table, tasks
+from segmentry.llm.common import CHUNK_BYTES, RangeHash, bound_batches, chunks, mix, table, tasks
 from segmentry.session import materialize
 
 #: Bytes of the shortest repeat.

@@ -18,15 +18,13 @@ COSINE = 0.98
 SEED = 20240611
 
 
-def _unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _unit(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     """(rows, unit vectors in double precision) of usable vectors of one length."""
-    rows = [i for i, v in enumerate(column.to_pylist()) if v]
-    values = column.to_pylist()
     good, out = [], []
-    for i in rows:
-        if any(x is None for x in values[i]):
+    for i, values in enumerate(column.to_pylist()):
+        if not values or any(x is None for x in values):
             continue
-        v = np.array(values[i], np.float64)
+        v = np.array(values, np.float64)
         if np.isfinite(v).all() and (top := np.abs(v).max()) > 0:
             v = v / top  # no overflow in the length
             good.append(i)
@@ -190,12 +188,11 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
                     F.coalesce("component", "node").alias("reached")))
     found = units.join(mine, ["label", "unit"]).select("vec_id", "links", "reached")
     # what has no unit vector stays alone
-    alone = given.select("vec_id", F.lit(0).cast("long").alias("links"), F.col("vec_id").alias("reached"))
     usable = (F.col("label").isNotNull() & (F.size("embedding") > 0)
               & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
               & F.exists("embedding", lambda x: x != 0))
-    alone = given.filter(~F.coalesce(usable, F.lit(False))).select(*alone.columns[:0], "vec_id",
-                                                                  F.lit(0).cast("long").alias("links"), F.col("vec_id").alias("reached"))
+    alone = given.filter(~F.coalesce(usable, F.lit(False))).select(
+        "vec_id", F.lit(0).cast("long").alias("links"), F.col("vec_id").alias("reached"))
     return found.unionByName(alone).select(
         "vec_id", F.col("links").alias("n_links"), F.col("reached").alias("component_id"),
         F.coalesce(F.col("vec_id") == F.col("reached"), F.lit(True)).alias("kept"))
