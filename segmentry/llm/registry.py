@@ -1,15 +1,21 @@
 """Registered queries of this package and their SQL."""
 
-from segmentry.llm import bpe, chat, decontaminate, jaccard, repeats, secrets, vectors
+import corpus_pipeline
+from segmentry.llm import bpe, chat, decontaminate, jaccard, language, pages, quality, repeats, secrets, vectors
 
 QUERIES = {
     "op1_suffix_dedup": repeats.op1_suffix_dedup,
     "op2_embedding_dedup": vectors.op2_embedding_dedup,
     "op3_chat_format": chat.op3_chat_format,
+    "op4_quality": quality.op4_quality,
+    "op5_language_id": language.op5_language_id,
     "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
     "op7_secrets": secrets.op7_secrets,
+    "op8_html_extract": pages.op8_html_extract,
     "op9_bpe": bpe.op9_bpe,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "language_of_pages": language.language_of_pages,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {
     "op2_embedding_dedup": vectors.OP2_SQL,

@@ -24,6 +24,8 @@ KINDS = ("assign", "access", "hex")
 ADDED = "random"
 _RANDOM = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 
+#: What stands in a masked secret's place.
+MARK = "[SECRET]"
 #: A value copied to more owners or documents than this is an example.
 LIVE_OWNERS, LIVE_DOCUMENTS = 1, 3
 #: Bits a character of an added value.
@@ -109,7 +111,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
             .select("doc_id", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans")))
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, mark: str = MARK) -> DataFrame:
     """`docs` with every live span of `text` replaced by `mark`; other rows and columns as they were.
 
     Copied examples stay. Spans meet their rows by a digest of the text, on which alone they depend, so
@@ -153,7 +155,7 @@ def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
                         F.size(F.filter("spans", lambda s: ~s["live"])).cast("long").alias("n_example"))
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, mark: str = MARK) -> DataFrame:
     """`docs` with every live span of `text` replaced by `mark`; other rows and columns as they were.
 
     The spans' table is stored before the join, so Spark broadcasts it only if its files are small.
