@@ -256,7 +256,8 @@ def repeated_spans(docs: DataFrame, keep_first: bool = True) -> DataFrame:
     group outgrows a task.
     """
     items = _anchor_rows(docs)
-    again = items.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    # stored first, so that the join deals both sides itself and a hot anchor can be split
+    again = materialize(items.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "again")
     items = materialize(items.join(again, "h"), "anchors")
     out = []
     spans, compare = _round(items, keep_first)
