@@ -14,7 +14,7 @@ from segmentry.operators.rows import top_per_key
 from segmentry.session import materialize
 
 #: Labelled texts per language that the text model is fitted on, and languages it can know.
-SAMPLE_TEXTS, LANGUAGES = 2_000, 64
+SAMPLE_TEXTS, LANGUAGES = 1_000, 64
 #: Slots that byte trigrams hash into.
 SLOTS = 1 << 14
 #: Trigrams that count as independent evidence: longer texts weigh no more.
@@ -56,7 +56,8 @@ def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     often = (known.groupBy("declared").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "declared").limit(LANGUAGES))
     names = sorted(r["declared"] for r in often.select("declared").collect())
     order = known.filter(F.col("declared").isin(names)).select("row", "declared", F.xxhash64("row").alias("order"))
-    sample = top_per_key(order, ["declared"], ["order", "row"], SAMPLE_TEXTS).select("row")
+    # the group limit runs before the shuffle; the ids are stored, so their size is known to the join
+    sample = materialize(top_per_key(order, ["declared"], ["order", "row"], SAMPLE_TEXTS).select("row"), "sample")
     picked = rows.join(sample, "row").select("declared", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
