@@ -27,6 +27,8 @@ def bound_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small: documents may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * CHUNK_BYTES))
+    # a text is shuffled only if a Bloom filter of the other side's keys, where that side is small, may hold its key
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
 
 
 def tasks(spark: SparkSession) -> int:

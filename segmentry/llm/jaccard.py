@@ -18,11 +18,10 @@ SPARE = 3
 BAND = 0.72
 #: Sets under one part key that become pairs at once; more are compared in blocks by their sketches.
 PAIRED = 16
-#: Sets of a block, when the sets under one key or in one cluster are compared.
-BLOCK = 256
-#: Bits of the sketch that whole sets are compared by.
-SKETCH_BITS = 1024
-_WORDS_PER_SKETCH = SKETCH_BITS // 64
+#: Sets of a block, when the sets under one key or the texts of one cluster are compared.
+KEY_BLOCK, TEXT_BLOCK = 1_024, 256
+#: Least and most bits of the sketch that whole sets are compared by; in between two bits a shingle.
+SKETCH_BITS = (256, 16_384)
 #: Keys a task gathers before it hands them on.
 FLUSH = 400_000
 
@@ -43,10 +42,22 @@ def node_of(hashes: np.ndarray) -> int:
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def sketch_of(hashes: np.ndarray) -> np.ndarray:
-    """Parity sketch: every shingle flips one of SKETCH_BITS bits; 64-bit words."""
-    bits = np.bincount((hashes % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+def sketch_width(size: int) -> int:
+    """Bits of the sketch of a set: a power of two."""
+    return min(max(1 << max(0, 2 * size - 1).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
+
+
+def sketch_of(hashes: np.ndarray, width: int | None = None) -> np.ndarray:
+    """Parity sketch in 64-bit words: every shingle flips one bit."""
+    width = width or sketch_width(len(hashes))
+    bits = np.bincount((hashes % np.uint64(width)).astype(np.int64), minlength=width) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.uint64)
+
+
+def folded(sketches: list[np.ndarray]) -> np.ndarray:
+    """Sketches as rows of one width: a wide one folds to what a narrow one would have been."""
+    width = min(len(s) for s in sketches)
+    return np.stack([np.bitwise_xor.reduce(s.reshape(-1, width), axis=0) for s in sketches])
 
 
 def _set_rows(docs: DataFrame, words: int) -> DataFrame:
@@ -54,13 +65,11 @@ def _set_rows(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [s for _, data, offsets in chunks(batch.column(1)) for s in shingles(data, offsets, words)]
-            sketches = np.concatenate([sketch_of(s) for s in sets]) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()),
-                pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * _WORDS_PER_SKETCH, pa.int32()), pa.array(sketches))],
-                names=["doc_id", "n", "node", "sketch"])
+                pa.array([sketch_of(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "node", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, sketch array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, node long, sketch binary")
 
 
 def part_keys(sets: list[np.ndarray], nodes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,32 +194,48 @@ def _pair_rows(packed: DataFrame) -> DataFrame:
     return packed.mapInArrow(run, "a long, b long, shared long")
 
 
-def _near(sketches: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
-    """Matrix of the pairs that sketches and sizes do not rule out, by one matrix product.
+def near_pairs(sketches: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray,
+               percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs that sketches and sizes do not rule out.
 
     The Hamming distance of two sketches never exceeds the number of differing shingles.
     """
-    signs = 1 - 2 * np.unpackbits(sketches.view(np.uint8), axis=1).astype(np.float32)
-    distance = (SKETCH_BITS - signs[left] @ signs[right].T) / 2
-    a, b = sizes[left].astype(np.float64)[:, None], sizes[right].astype(np.float64)[None, :]
-    return ((distance * (100 + percent) <= (100 - percent) * (a + b)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
-            & (left[:, None] != right[None, :]))
+    alone = left is right
+    left, right = (x[np.argsort(sizes[x], kind="stable")] for x in (left, right))
+    ordered = sizes[right]
+    for at in range(0, len(left), 64):
+        rows = left[at:at + 64]
+        low = np.searchsorted(ordered, -(-percent * sizes[rows[0]] // 100), "left")
+        high = np.searchsorted(ordered, 100 * sizes[rows[-1]] // percent, "right")
+        for begin in range(low, high, 1024):
+            columns = right[begin:min(high, begin + 1024)]
+            distance = np.zeros((len(rows), len(columns)), np.int64)
+            for word in range(sketches.shape[1]):
+                distance += np.bitwise_count(sketches[rows, word][:, None] ^ sketches[columns, word][None, :])
+            a, b = sizes[rows][:, None], sizes[columns][None, :]
+            near = ((distance * (100 + percent) <= (100 - percent) * (a + b))
+                    & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)))
+            if alone:
+                near &= rows[:, None] < columns[None, :]
+            for x, y in zip(*np.nonzero(near)):
+                yield int(rows[x]), int(columns[y])
 
 
 def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Members to compare: a block with itself (side 0), or one (1) with another (2)."""
     if (side == 0).all():
-        return np.arange(len(side)), np.arange(len(side))
+        every = np.arange(len(side))
+        return every, every
     return np.flatnonzero(side == 1), np.flatnonzero(side == 2)
 
 
-def _block_rows(members: DataFrame, key: str, carry: list[str]) -> DataFrame:
-    """Members of each key in pairs of blocks of about BLOCK: key, low, high, side and `carry`, sorted by block."""
-    size = members.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+def _block_rows(members: DataFrame, key: str, size: int, carry: list[str]) -> DataFrame:
+    """Members of each key in pairs of blocks of about `size`: key, low, high, side and `carry`, sorted by block."""
+    count = members.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
     at = [key, "low", "high"]
-    rows = (members.join(size, key).withColumn("block", block)
+    rows = (members.join(count, key).withColumn("block", block)
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select(key, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), side.alias("side"), *carry))
     return rows.repartition(tasks(members.sparkSession), *at).sortWithinPartitions(*at, "node")
@@ -236,19 +261,32 @@ def _sketch_links(blocks: DataFrame, key: str, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _each_block(batches, key, ["node", "n", "sketch"]):
             side, node, n = (np.array([r[k] for r in rows]) for k in range(3))
-            left, right = _sides(side)
-            near = _near(np.array([r[3] for r in rows], np.int64), n, left, right, percent)
+            sketches = folded([np.frombuffer(r[3], np.uint64) for r in rows])
             forest, links = _Forest(len(rows)), []
-            for x, y in zip(*np.nonzero(near)):
-                i, j = forest.root(int(left[x])), forest.root(int(right[y]))
+            for x, y in near_pairs(sketches, n, *_sides(side), percent):
+                i, j = forest.root(x), forest.root(y)
                 if i != j:
                     forest.up[i] = j
-                    links.append((node[left[x]], node[right[y]]))
+                    links.append((node[x], node[y]))
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return blocks.mapInArrow(run, "a long, b long")
 
 
+def _near_rows(pairs: DataFrame, percent: int) -> DataFrame:
+    """a, b of the pairs that their sketches (sa, sb) and sizes (na, nb) do not rule out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for na, nb, sa, sb in zip(*(batch.column(n).to_pylist() for n in ("na", "nb", "sa", "sb"))):
+                both = folded([np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)])
+                distance = int(np.bitwise_count(both[0] ^ both[1]).sum())
+                keep.append(distance * (100 + percent) <= (100 - percent) * (na + nb) and 100 * min(na, nb) >= percent * max(na, nb))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
 class _Forest:
     """Union-find over the members of a block."""
 
@@ -270,9 +308,9 @@ def verified_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray,
     forest, links = _Forest(len(sets)), []
     if not len(left) or not len(right):
         return links
-    near = _near(np.stack([sketch_of(s) for s in sets]), np.array([len(s) for s in sets]), left, right, percent)
-    for x, y in zip(*np.nonzero(near)):
-        i, j = int(left[x]), int(right[y])
+    sizes = np.array([len(s) for s in sets])
+    width = sketch_width(int(sizes.max()))
+    for i, j in near_pairs(np.stack([sketch_of(s, width) for s in sets]), sizes, left, right, percent):
         if forest.root(i) == forest.root(j):
             continue
         small, large = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
@@ -322,17 +360,15 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_
     packed = _key_rows(given, words, percent, 8 * tasks(spark)).repartition(tasks(spark), "bucket")
     met = materialize(_pair_rows(packed), "met")
     of = lambda side: nodes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
-    distance = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     pairs = (met.filter("shared is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared")).filter("shared > 1")
-             .join(of("a"), "a").join(of("b"), "b")
-             .filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-                     & (distance * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb")))).select("a", "b"))
+             .join(of("a"), "a").join(of("b"), "b"))
     many = met.filter("shared is null").select(F.col("a").alias("key"), F.col("b").alias("node")).join(nodes, "node")
-    dense = _sketch_links(_block_rows(many, "key", ["node", "n", "sketch"]), "key", percent)
-    clusters = components(pairs.unionByName(dense), "a", "b", "node", "cluster")
+    dense = _sketch_links(_block_rows(many, "key", KEY_BLOCK, ["node", "n", "sketch"]), "key", percent)
+    clusters = components(_near_rows(pairs, percent).unionByName(dense), "a", "b", "node", "cluster")
 
-    members = materialize(clusters.join(nodes.select("node", F.col("first").alias("doc_id")), "node"), "members")
-    links = _link_rows(_block_rows(given.join(members, "doc_id"), "cluster", ["node", "doc_id", "text"]), words, percent)
+    members = materialize(clusters.join(nodes.select("node", F.col("first").alias("doc_id"), "n"), "node"), "members")
+    texts = given.join(members.filter("n > 0"), "doc_id")
+    links = _link_rows(_block_rows(texts, "cluster", TEXT_BLOCK, ["node", "doc_id", "text"]), words, percent)
     reached = components(links, "a", "b", "first", "component")
 
     return (sets.drop("sketch").join(nodes.select("node", "first"), "node", "left").join(reached, "first", "left")
