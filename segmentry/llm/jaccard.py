@@ -13,14 +13,16 @@ from segmentry.llm.common import bound_batches, chunks, components, distinct_pai
 from segmentry.session import materialize
 
 #: Parts beyond the pigeonhole's: linked sets agree on SPARE + 1 parts at least.
-SPARE = 3
+SPARE = 8
+#: Parts without a bit that a set may hide, and keys that linked sets share at least.
+EMPTY, SHARED = 2, SPARE + 1 - 2
 #: Ratio of neighbouring size bands.
 BAND = 0.72
 #: Sets under one part key that become pairs at once; more are compared in blocks by their sketches.
-PAIRED = 16
+PAIRED = 3
 #: Sets of a block, when the sets under one key or the texts of one cluster are compared.
 KEY_BLOCK, TEXT_BLOCK = 1_024, 256
-#: Least and most bits of the sketch that whole sets are compared by; in between two bits a shingle.
+#: Least and most bits of the sketch that whole sets are compared by; in between a bit or two a shingle.
 SKETCH_BITS = (256, 16_384)
 #: Keys a task gathers before it hands them on.
 FLUSH = 400_000
@@ -44,7 +46,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 def sketch_width(size: int) -> int:
     """Bits of the sketch of a set: a power of two."""
-    return min(max(1 << max(0, 2 * size - 1).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
+    return min(max(1 << max(0, size - 1).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
 
 
 def sketch_of(hashes: np.ndarray, width: int | None = None) -> np.ndarray:
@@ -77,8 +79,8 @@ def part_keys(sets: list[np.ndarray], nodes: np.ndarray, percent: int) -> tuple[
 
     In the band whose largest size is N, linked sets differ in at most D = (100 - p) 2N / (100 + p)
     shingles. A shingle flips one of 256 bits of one of D + 1 + SPARE parts, so linked sets agree on
-    SPARE + 1 parts at least. Parts without a bit are no keys, unless a set has SPARE of them or
-    more: then it shows them to its like. So linked sets share two keys at least.
+    SPARE + 1 parts at least. Parts without a bit are no keys, unless a set has more than EMPTY of them:
+    then it shows them to its like. So linked sets share SHARED keys at least.
     """
     sizes = np.array([len(s) for s in sets])
     band = np.searchsorted(_EDGES, sizes, "right") - 1
@@ -108,7 +110,7 @@ def part_keys(sets: list[np.ndarray], nodes: np.ndarray, percent: int) -> tuple[
         keys.append(value[some])
         owners.append(nodes[take][seen_row[some]])
         filled = np.bincount(seen_row[some], minlength=len(take))
-        for r in np.flatnonzero(parts.astype(np.int64) - filled >= SPARE):
+        for r in np.flatnonzero(parts.astype(np.int64) - filled > EMPTY):
             empty = np.setdiff1d(np.arange(parts[r], dtype=np.uint64), seen_part[some & (seen_row == r)])
             keys.append(~mix(salt[r] + empty))
             owners.append(np.full(len(empty), nodes[take[r]]))
@@ -149,10 +151,11 @@ def _key_rows(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFr
     return docs.mapInArrow(run, "bucket int, keys binary, nodes binary")
 
 
-def candidate_pairs(keys: np.ndarray, nodes: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
-    """((a, b, shared keys), (key, node)): the pairs under keys of up to PAIRED nodes, the rest as they are.
+def candidate_pairs(keys: np.ndarray, nodes: np.ndarray) -> tuple[tuple[np.ndarray, ...], ...]:
+    """((a, b, shared keys), (key, node), (node, keys)) of keys that two nodes or more have.
 
-    Keys that have the same many nodes are handed on once.
+    First the pairs under keys of up to PAIRED nodes, then the members of the others (once for keys with the
+    same members), last how many such keys each node has.
     """
     keys, nodes = distinct_pairs(keys, nodes)
     n = len(keys)
@@ -174,24 +177,26 @@ def candidate_pairs(keys: np.ndarray, nodes: np.ndarray) -> tuple[tuple[np.ndarr
     alike = np.add.reduceat(mix(nodes.view(np.uint64)), starts)[large] if n else np.zeros(0, np.uint64)
     large = large[np.unique(alike, return_index=True)[1]]
     many = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in large]) if len(large) else np.zeros(0, np.int64)
-    return (a[first], b[first], np.diff(np.r_[first, len(a)])), (keys[many].view(np.int64), nodes[many])
+    met = np.unique(nodes[size > 1], return_counts=True)
+    return (a[first], b[first], np.diff(np.r_[first, len(a)])), (keys[many].view(np.int64), nodes[many]), met
 
 
 def _pair_rows(packed: DataFrame) -> DataFrame:
-    """a, b, shared: pairs of nodes; where shared is null, a is a key of many nodes and b one of them."""
+    """kind, a, b, shared: 0 pairs of nodes, 1 keys (a) of many nodes and a node (b), 2 nodes (a) and their keys (shared)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for batch in batches:
             keys += [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("keys")]
             nodes += [np.frombuffer(x.as_py(), np.int64) for x in batch.column("nodes")]
-        pairs, many = candidate_pairs(np.concatenate(keys), np.concatenate(nodes))
-        for columns in (pairs, many):
-            for at in range(0, len(columns[0]), 50_000):
-                part = [pa.array(c[at:at + 50_000]) for c in columns]
-                part += [pa.nulls(len(part[0]), pa.int64())] * (3 - len(part))
-                yield pa.RecordBatch.from_arrays(part, names=["a", "b", "shared"])
+        pairs, many, met = candidate_pairs(np.concatenate(keys), np.concatenate(nodes))
+        for kind, (a, b, shared) in enumerate((pairs, (*many, None), (met[0], None, met[1]))):
+            for at in range(0, len(a), 50_000):
+                part = [pa.nulls(len(a[at:at + 50_000]), pa.int64()) if c is None else pa.array(c[at:at + 50_000])
+                        for c in (a, b, shared)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, np.int32)), *part],
+                                                 names=["kind", "a", "b", "shared"])
 
-    return packed.mapInArrow(run, "a long, b long, shared long")
+    return packed.mapInArrow(run, "kind int, a long, b long, shared long")
 
 
 def near_pairs(sketches: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray,
@@ -359,10 +364,13 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_
 
     packed = _key_rows(given, words, percent, 8 * tasks(spark)).repartition(tasks(spark), "bucket")
     met = materialize(_pair_rows(packed), "met")
-    of = lambda side: nodes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
-    pairs = (met.filter("shared is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared")).filter("shared > 1")
+    # a node that shares fewer keys with all others than linked sets share is linked with nothing
+    able = met.filter("kind = 2").groupBy(F.col("a").alias("node")).agg(F.sum("shared").alias("keys")).filter(F.col("keys") >= SHARED)
+    able = materialize(nodes.join(able.select("node"), "node"), "able")
+    of = lambda side: able.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
+    pairs = (met.filter("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared")).filter("shared > 1")
              .join(of("a"), "a").join(of("b"), "b"))
-    many = met.filter("shared is null").select(F.col("a").alias("key"), F.col("b").alias("node")).join(nodes, "node")
+    many = met.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node")).join(able, "node")
     dense = _sketch_links(_block_rows(many, "key", KEY_BLOCK, ["node", "n", "sketch"]), "key", percent)
     clusters = components(_near_rows(pairs, percent).unionByName(dense), "a", "b", "node", "cluster")
 
