@@ -153,30 +153,3 @@ def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"),
                         F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
                         F.size(F.filter("spans", lambda s: ~s["live"])).cast("long").alias("n_example"))
-
-
-def redact(docs: DataFrame, mark: str = MARK) -> DataFrame:
-    """`docs` with every live span of `text` replaced by `mark`; other rows and columns as they were.
-
-    The spans' table is stored before the join, so Spark broadcasts it only if its files are small.
-    Rows of one doc_id with different texts are told apart by a digest of the text.
-    """
-    columns = docs.columns
-    key = F.sha2(F.coalesce("text", F.lit("")), 256)
-    given = docs.select("doc_id", "source", "text")
-    live = (scan_keyed(given, key).filter(F.size("cuts") > 0))
-    stored = materialize(live.dropDuplicates(["doc_id", "key"]), "live")
-    pieces = F.aggregate("cuts", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), lambda s, c: F.when(
-        c["start"] >= s["at"], F.struct(
-            F.concat(s["out"], F.expr("''"), F.substring(F.col("text"), s["at"] + 1, c["start"] - s["at"]), F.lit(mark)).alias("out"),
-            c["stop"].alias("at"))).otherwise(F.struct(s["out"].alias("out"), F.greatest(s["at"], c["stop"]).alias("at"))))
-    joined = docs.join(stored, "doc_id", "left")
-    hit = F.col("cuts").isNotNull() & (F.col("key") == key)
-    cut = F.when(hit, F.concat(pieces["out"], F.substring(F.col("text"), pieces["at"] + 1, 2**31 - 1))).otherwise(F.col("text"))
-    return joined.withColumn("text", cut).select(*columns)
-
-
-def scan_keyed(docs: DataFrame, key: Column) -> DataFrame:
-    """doc_id, key, cuts: live spans in order."""
-    found = scan(docs)
-    return found.withColumn("cuts", F.filter("spans", lambda s: s["live"])).select("doc_id", F.lit(None).alias("key"), "cuts")
