@@ -40,6 +40,12 @@ REQUEST = (
 )
 
 
+# Messages that results carry.
+INVALID_BODY = "Invalid JSON body."
+MISSING_DATA = "Missing required market data."
+UNEXPECTED_REPLY = "AI service returned an unexpected response."
+
+
 def title_history(titles: DataFrame, key: str = "segment", title: str = "title",
                   at: str = "generated_at", keep: int = 5) -> DataFrame:
     """Last `keep` distinct titles of each segment, oldest first.
@@ -82,17 +88,37 @@ def evidence_requests(scores: DataFrame, pain_points: DataFrame, titles: DataFra
         "concept_style", F.coalesce("previous_titles", empty).alias("previous_titles"))).alias("payload"))
 
 
-def _is_array(payload: Column, path: str) -> Column:
-    return F.coalesce(F.substring(F.get_json_object(payload, path), 1, 1) == "[", F.lit(False))
+_END = "@end@"
+
+
+def whole_json(text: Column) -> Column:
+    """`[value, end mark]` as a variant if the whole text is one JSON value, else null.
+
+    The parser reads one value and ignores what follows; the end mark behind the text shows that nothing did.
+    """
+    parsed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+    return F.when(F.try_variant_get(parsed, "$[1]", "string") == _END, parsed)
+
+
+def _kind(parsed: Column, path: str = "$") -> Column:
+    """Type of the value at `path` of a `whole_json`: OBJECT.., ARRAY.., STRING, BOOLEAN, a number; null if absent."""
+    return F.schema_of_variant(F.try_variant_get(parsed, f"$[0]{path[1:]}", "variant"))
+
+
+def _is(parsed: Column, kind: str, path: str = "$") -> Column:
+    return F.coalesce(F.startswith(_kind(parsed, path), F.lit(kind)), F.lit(False))
 
 
 def validate_requests(requests: DataFrame, payload: str = "payload") -> DataFrame:
-    """Add `is_valid` and `error`: a name and both lists must be there."""
-    p = F.col(payload)
-    readable = F.json_object_keys(p).isNotNull()
-    name = F.coalesce(F.get_json_object(p, "$.cluster_name"), F.lit(""))
-    complete = (name != "") & _is_array(p, "$.representative_games") & _is_array(p, "$.keywords")
-    error = F.when(~readable, "Invalid JSON body.").when(~complete, "Missing required market data.")
+    """Add `is_valid` and `error`: a body that is one JSON object, a name that is not empty, 0 or false, both lists."""
+    p = whole_json(F.col(payload))
+    text = F.coalesce(F.get_json_object(F.col(payload), "$.cluster_name"), F.lit(""))
+    number = F.coalesce(F.try_variant_get(p, "$[0].cluster_name", "double") != 0, F.lit(True))
+    kind = F.coalesce(_kind(p, "$.cluster_name"), F.lit("VOID"))
+    named = (F.when(kind == "VOID", False).when(kind == "STRING", text != "").when(kind == "BOOLEAN", text == "true")
+             .when(F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY")), True).otherwise(number))
+    complete = named & _is(p, "ARRAY", "$.representative_games") & _is(p, "ARRAY", "$.keywords")
+    error = F.when(~_is(p, "OBJECT"), INVALID_BODY).when(~complete, MISSING_DATA)
     return requests.withColumn("error", error).withColumn("is_valid", F.col("error").isNull())
 
 
@@ -135,16 +161,15 @@ def render_prompts(requests: DataFrame, payload: str = "payload") -> DataFrame:
     return requests.withColumn("prompt", F.concat_ws("\n", *lines))
 
 
-def _string_at(doc: Column, path: str) -> Column:
-    """Text at `path` only where the JSON value there is a string."""
-    inner = F.try_variant_get(F.try_parse_json(doc), path, "string")
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(doc), path, "variant"))
-    return F.when(kind == "STRING", inner)
+def _string_at(parsed: Column, path: str) -> Column:
+    """Text at `path` of a `whole_json`, only where the value there is a string."""
+    return F.when(_kind(parsed, path) == "STRING", F.try_variant_get(parsed, f"$[0]{path[1:]}", "string"))
 
 
 def reply_text(reply: Column) -> Column:
     """Text of a model reply (JSON): the reply itself if a string, else the first known place."""
-    return F.coalesce(_string_at(reply, "$"), *[_string_at(reply, p) for p in REPLY_PATHS], F.lit(""))
+    parsed = whole_json(reply)
+    return F.coalesce(*[_string_at(parsed, p) for p in ("$", *REPLY_PATHS)], F.lit(""))
 
 
 def extract_object(text: Column) -> Column:
@@ -157,7 +182,7 @@ def extract_object(text: Column) -> Column:
     last = F.length(cleaned) - F.instr(F.reverse(cleaned), "}") + 1
     sliced = F.when((first > 0) & F.contains(cleaned, F.lit("}")) & (last > first),
                     F.substr(cleaned, first, last - first + 1)).otherwise(cleaned)
-    return F.when(F.try_parse_json(sliced).isNotNull(), sliced)
+    return F.when(whole_json(sliced).isNotNull(), sliced)
 
 
 def classify_replies(replies: DataFrame, reply: str = "reply") -> DataFrame:
@@ -167,7 +192,7 @@ def classify_replies(replies: DataFrame, reply: str = "reply") -> DataFrame:
     """
     out = (replies.withColumn("reply_text", reply_text(F.col(reply)))
            .withColumn("__json", extract_object(F.col("reply_text"))))
-    is_object = F.json_object_keys("__json").isNotNull()
+    is_object = _is(whole_json(F.col("__json")), "OBJECT")
     status = (F.when(F.col(reply).isNull(), "failed").when(F.col("reply_text") == "", "empty")
               .when(F.col("__json").isNull(), "invalid_json").when(~is_object, "not_an_object")
               .otherwise("ok"))
@@ -182,21 +207,22 @@ def service_results(bodies: DataFrame, body: str = "body", http_status: str = "h
     (message from details, error or the code). non_json and unexpected otherwise.
     """
     b, code = F.col(body), F.col(http_status)
+    parsed = whole_json(b)
     concept = F.get_json_object(b, "$.concept")
     success = ~F.coalesce(F.get_json_object(b, "$.success"), F.lit("")).isin("", "false", "0")
-    good = success & F.json_object_keys(concept).isNotNull()
+    good = success & _is(parsed, "OBJECT", "$.concept")
 
     def text(path: str) -> Column:
         return F.nullif(F.get_json_object(b, path), F.lit(""))
 
     refused = ~code.between(200, 399)
-    status = (F.when(F.json_object_keys(b).isNull(), "non_json").when(refused, "failed")
+    status = (F.when(~_is(parsed, "OBJECT"), "non_json").when(refused, "failed")
               .when(good, "ok").otherwise("unexpected"))
     out = bodies.withColumn("status", status)
     message = (F.when(F.col("status") == "failed", F.coalesce(
         text("$.details"), text("$.error"), F.concat(F.lit("HTTP "), code.cast("string"))))
         .when(F.col("status") == "unexpected", F.coalesce(
-            F.get_json_object(b, "$.error"), F.lit("AI service returned an unexpected response."))))
+            F.get_json_object(b, "$.error"), F.lit(UNEXPECTED_REPLY))))
     return (out.withColumn("message", message)
             .withColumn("concept", F.when(F.col("status") == "ok", concept)))
 

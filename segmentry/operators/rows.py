@@ -48,18 +48,13 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str | Sequence[str],
     return left.join(right, keys, "left")
 
 
-def small_join(left: DataFrame, right: DataFrame, key: str | Sequence[str], how: str = "left",
-               max_rows: int = 200_000) -> DataFrame:
+def small_join(left: DataFrame, right: DataFrame, key: str | Sequence[str], how: str = "left") -> DataFrame:
     """Join to an aggregate that should be small, such as one row per segment.
 
-    The aggregate is written once and counted. Up to `max_rows` it is broadcast, so
-    rows of a hot segment stay where they are; beyond that the join is left to Spark,
-    which splits hot partitions at run time.
+    No side is hinted: adaptive execution broadcasts the aggregate by its measured bytes, else it
+    sort-merges and splits hot partitions.
     """
-    keys = [key] if isinstance(key, str) else list(key)
-    stored = materialize(right, "small")
-    side = F.broadcast(stored) if stored.count() <= max_rows else stored
-    return left.join(side, keys, how)
+    return left.join(right, [key] if isinstance(key, str) else list(key), how)
 
 
 def number_rows(df: DataFrame, order: Sequence[str | Column], column: str = "row_index",

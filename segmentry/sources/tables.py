@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,11 +40,17 @@ def read_table(spark: SparkSession, path: str, required: Sequence[str] = (),
     return require_columns(spark.read.parquet(path), required, table)
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Table at `path`, or an empty one with `schema` where nothing can be read."""
+def read_or_empty(spark: SparkSession, path: str, schema: str, csv: bool = False) -> DataFrame:
+    """Table at `path` (Parquet, or CSV with a header), or an empty one with `schema` where it cannot be read.
+
+    Reading the footers, or the first lines, decides: a missing path, a file of another kind and missing
+    columns all give the empty table. Blocks damaged further on still fail the job that reads them.
+    """
     try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+        found = read_csv(spark, path, schema) if csv else spark.read.parquet(path)
+        found.limit(1).collect()
+        return found
+    except (AnalysisException, Py4JJavaError, PySparkException):
         return spark.createDataFrame([], schema)
 
 
@@ -71,13 +78,15 @@ def latest_snapshot(df: DataFrame, column: str = "snapshot_ts") -> DataFrame:
 
 
 def latest_file(spark: SparkSession, path: str, format: str = "csv", **options) -> DataFrame:
-    """Rows of the file under `path` that was modified last (ties: greatest name)."""
-    df = spark.read.format(format).options(**options).load(path)
-    tagged = df.select("*", F.col("_metadata.file_modification_time").alias("__t"),
-                       F.col("_metadata.file_path").alias("__p"))
-    newest = tagged.agg(F.max(F.struct("__t", "__p")).alias("m")).scalar()
-    return (tagged.withColumn("__m", newest)
-            .filter(F.struct("__t", "__p") == F.col("__m")).drop("__t", "__p", "__m"))
+    """Rows of the file under `path` that was modified last (ties: greatest name); no other file is read.
+
+    The newest file counts even if it holds a header only.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("modificationTime", "path")
+    newest = files.agg(F.max(F.struct("modificationTime", "path")).alias("m")).first()["m"]
+    if newest is None:
+        raise FileNotFoundError(f"no file under {path}")
+    return spark.read.format(format).options(**options).load(newest["path"])
 
 
 def clean_snapshot(charts: DataFrame) -> DataFrame:
@@ -107,9 +116,19 @@ def catalog_games(enriched: DataFrame, order: Sequence[str | Column] = ("chart_t
     return first_per_key(clean, ["app_id"], order)
 
 
-def enrich(charts: DataFrame, metadata: DataFrame, check: bool = False) -> DataFrame:
+def unique_metadata(metadata: DataFrame, order: Sequence[str | Column] = ()) -> DataFrame:
+    """One lookup record per app_id: the first in `order`, or of equal records any."""
+    rest = [F.col(c) for c in metadata.columns if c != "app_id"]
+    return first_per_key(metadata, ["app_id"], list(order) or rest)
+
+
+def enrich(charts: DataFrame, metadata: DataFrame, check: bool = True) -> DataFrame:
     """Charts left-joined to metadata on app_id, with `metadata_found`.
 
+    `check` makes sure of one record per app, so no chart row doubles; drop repeated lookup records
+    first with `unique_metadata`.
+
+
     Names on both sides get the suffixes _x (chart) and _y (metadata).
     """
     shared = (set(charts.columns) & set(metadata.columns)) - {"app_id"}
