@@ -22,6 +22,8 @@ BAND = 0.72
 PAIRED = 3
 #: Sets of a block, when the sets under one key or the texts of one cluster are compared.
 KEY_BLOCK, TEXT_BLOCK = 1_024, 256
+#: Sets under one key up to which keys are compared many at once, and words of sketches compared at once.
+SMALL, COMPARED = 64, 1 << 20
 #: Least and most bits of the sketch that whole sets are compared by; in between a bit or two a shingle.
 SKETCH_BITS = (256, 16_384)
 #: Keys a task gathers before it hands them on.
@@ -261,33 +263,105 @@ def _each_block(batches: Iterator[pa.RecordBatch], key: str, carry: list[str]) -
         yield rows
 
 
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit words of a column of sketches, and the first word and the number of words of each."""
+    column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[ends[0]:ends[-1]].view(np.uint64)
+    return data, (ends[:-1] - ends[0]) // 8, np.diff(ends) // 8
+
+
+def near_mask(words: tuple[np.ndarray, np.ndarray, np.ndarray], sizes: np.ndarray, a: np.ndarray, b: np.ndarray,
+              percent: int) -> np.ndarray:
+    """Which pairs of rows (a, b) sketches and sizes do not rule out; pairs of equal widths are compared at once."""
+    data, first, width = words
+    wide = width[a] > width[b]
+    a, b = np.where(wide, b, a), np.where(wide, a, b)
+    near = 100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])
+    left = np.flatnonzero(near)
+    kinds, kind = np.unique(np.stack([width[a[left]], width[b[left]]]), axis=1, return_inverse=True)
+    for k, (low, high) in enumerate(kinds.T):
+        alike = left[kind == k]
+        step = max(1, COMPARED // int(high))
+        for at in range(0, len(alike), step):
+            pair = alike[at:at + step]
+            one = data[first[a[pair]][:, None] + np.arange(low)]
+            two = data[first[b[pair]][:, None] + np.arange(high)].reshape(len(pair), high // low, low)
+            distance = np.bitwise_count(one ^ np.bitwise_xor.reduce(two, axis=1)).sum(axis=1, dtype=np.int64)
+            near[pair] = distance * (100 + percent) <= (100 - percent) * (sizes[a[pair]] + sizes[b[pair]])
+    return near
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows, first row of each group) of whole groups equal in `by`; the last group of a batch waits for the next."""
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if rest is None else pa.concat_tables([rest, rows]).combine_chunks()
+        if not rows.num_rows:
+            continue
+        at = [rows[n].to_numpy() for n in by]
+        starts = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in at], axis=0)])
+        if len(starts) > 1:
+            yield rows.slice(0, starts[-1]), starts[:-1]
+        rest = rows.slice(starts[-1])
+    if rest is not None:
+        yield rest, np.zeros(1, np.int64)
+
+
 def _sketch_links(blocks: DataFrame, key: str, percent: int) -> DataFrame:
-    """a, b: links that join what the sketches under one key do not rule out."""
+    """a, b: links that join what the sketches under one key do not rule out; never all pairs.
+
+    Blocks of up to SMALL sets are compared together, a batch of rows at once; larger ones one by one.
+    """
+    def small_pairs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        end, place = np.repeat(starts + sizes, sizes), np.concatenate([np.arange(s, s + n) for s, n in zip(starts, sizes)])
+        lefts = [place[place + gap < end] for gap in range(1, int(sizes.max()))]
+        return np.concatenate([place[:0], *lefts]), np.concatenate([place[:0], *(x + gap for gap, x in enumerate(lefts, 1))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _each_block(batches, key, ["node", "n", "sketch"]):
-            side, node, n = (np.array([r[k] for r in rows]) for k in range(3))
-            sketches = folded([np.frombuffer(r[3], np.uint64) for r in rows])
-            forest, links = _Forest(len(rows)), []
-            for x, y in near_pairs(sketches, n, *_sides(side), percent):
-                i, j = forest.root(x), forest.root(y)
-                if i != j:
-                    forest.up[i] = j
-                    links.append((node[x], node[y]))
+        for rows, starts in _whole_groups(batches, [key, "low", "high"]):
+            node, n, side = (rows[c].to_numpy() for c in ("node", "n", "side"))
+            words = _words(rows["sketch"])
+            sizes = np.diff(np.r_[starts, len(node)])
+            small = (sizes <= SMALL) & (np.maximum.reduceat(side, starts) == 0)
+            found = []
+            if small.any():
+                a, b = small_pairs(starts[small], sizes[small])
+                near = near_mask(words, n, a, b, percent)
+                found += zip(node[a[near]].tolist(), node[b[near]].tolist())
+            data, first, width = words
+            for at, count in zip(starts[~small], sizes[~small]):
+                part = slice(at, at + count)
+                sketches = folded([data[f:f + w] for f, w in zip(first[part], width[part])])
+                found += ((int(node[at + x]), int(node[at + y])) for x, y in _joining(near_pairs(sketches, n[part], *_sides(side[part]), percent), count))
+            names = {x: i for i, x in enumerate(dict.fromkeys(x for pair in found for x in pair))}
+            back = list(names)
+            links = [(back[i], back[j]) for i, j in _joining(((names[x], names[y]) for x, y in found), len(names))]
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return blocks.mapInArrow(run, "a long, b long")
 
 
+def _joining(pairs: Iterator[tuple[int, int]], n: int) -> Iterator[tuple[int, int]]:
+    """The pairs of 0..n-1 that join what earlier pairs have not joined."""
+    forest = _Forest(n)
+    for x, y in pairs:
+        i, j = forest.root(x), forest.root(y)
+        if i != j:
+            forest.up[i] = j
+            yield x, y
+
+
 def _near_rows(pairs: DataFrame, percent: int) -> DataFrame:
     """a, b of the pairs that their sketches (sa, sb) and sizes (na, nb) do not rule out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for na, nb, sa, sb in zip(*(batch.column(n).to_pylist() for n in ("na", "nb", "sa", "sb"))):
-                both = folded([np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)])
-                distance = int(np.bitwise_count(both[0] ^ both[1]).sum())
-                keep.append(distance * (100 + percent) <= (100 - percent) * (na + nb) and 100 * min(na, nb) >= percent * max(na, nb))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            rows = batch.num_rows
+            words = _words(pa.chunked_array([batch.column("sa"), batch.column("sb")]))
+            sizes = np.concatenate([batch.column(c).to_numpy() for c in ("na", "nb")])
+            near = near_mask(words, sizes, np.arange(rows), np.arange(rows, 2 * rows), percent)
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return pairs.mapInArrow(run, "a long, b long")
 

@@ -9,6 +9,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import oracle
 import pytest
 from pyspark.sql import functions as F
@@ -272,6 +273,34 @@ def test_part_keys_never_lose_a_link():
                 assert len(np.intersect1d(keys[nodes == 1], keys[nodes == 2])) >= jaccard.SHARED
 
 
+def test_sketches_compared_at_once_as_one_by_one():
+    rnd = np.random.default_rng(6)
+    sets = []
+    for size in rnd.integers(1, 900, 40):
+        whole = np.unique(rnd.integers(0, 2**63, size, dtype=np.uint64))
+        sets += [whole, *(np.unique(np.r_[whole[rnd.random(len(whole)) > r], rnd.integers(0, 2**63, 1, dtype=np.uint64)]) for r in (.03, .1))]
+    sizes = np.array([len(s) for s in sets])
+    sketches = pa.array([b"-" * 8] + [jaccard.sketch_of(s).tobytes() for s in sets], pa.binary()).slice(1)
+    a, b = np.triu_indices(len(sets), 1)
+    near = []
+    for x, y in zip(a, b):
+        one, two = jaccard.folded([jaccard.sketch_of(sets[x]), jaccard.sketch_of(sets[y])])
+        differ = int(np.bitwise_count(one ^ two).sum())
+        near.append(differ * 185 <= 15 * (sizes[x] + sizes[y]) and 100 * min(sizes[x], sizes[y]) >= 85 * max(sizes[x], sizes[y]))
+    words = jaccard._words(sketches)
+    assert jaccard.near_mask(words, sizes, a, b, 85).tolist() == near and any(near)
+    assert not len(jaccard.near_mask(words, sizes, a[:0], b[:0], 85))
+
+
+def test_groups_stay_whole_over_batches():
+    keys = [1, 1, 2, 3, 3, 3, 3, 4]
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i:i + 2], pa.int64())], names=["k"]) for i in range(0, 8, 2)]
+    empty = batches[0].slice(0, 0)
+    got = [t["k"].to_pylist()[s:e] for t, starts in jaccard._whole_groups([empty, *batches, empty], ["k"])
+           for s, e in zip(starts, [*starts[1:], t.num_rows])]
+    assert got == [[1, 1], [2], [3, 3, 3, 3], [4]]
+
+
 def test_jaccard_of_nothing(nothing):
     assert jaccard.join(nothing).count() == 0
 
