@@ -236,15 +236,22 @@ def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(side == 1), np.flatnonzero(side == 2)
 
 
-def _block_rows(members: DataFrame, key: str, size: int, carry: list[str]) -> DataFrame:
-    """Members of each key in pairs of blocks of about `size`: key, low, high, side and `carry`, sorted by block."""
+def _block_rows(members: DataFrame, key: str, size: int, carry: list[str], more: DataFrame | None = None) -> DataFrame:
+    """Members of each key in pairs of blocks of about `size`: key, low, high, side and `carry`, sorted by block.
+
+    What a node carries may come from `more`: it is joined last, so that it is shuffled by block only; members
+    that it lacks are left out.
+    """
     count = members.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
     at = [key, "low", "high"]
     rows = (members.join(count, key).withColumn("block", block)
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select(key, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), side.alias("side"), *carry))
+            .select(key, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), side.alias("side"),
+                    *(carry if more is None else ["node"])))
+    if more is not None:
+        rows = rows.join(more.select(*carry), "node").select(*at, "side", *carry)
     return rows.repartition(tasks(members.sparkSession), *at).sortWithinPartitions(*at, "node")
 
 
@@ -444,8 +451,8 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_
     of = lambda side: able.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
     pairs = (met.filter("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared")).filter("shared > 1")
              .join(of("a"), "a").join(of("b"), "b"))
-    many = met.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node")).join(able, "node")
-    dense = _sketch_links(_block_rows(many, "key", KEY_BLOCK, ["node", "n", "sketch"]), "key", percent)
+    many = met.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"))
+    dense = _sketch_links(_block_rows(many, "key", KEY_BLOCK, ["node", "n", "sketch"], able), "key", percent)
     clusters = components(_near_rows(pairs, percent).unionByName(dense), "a", "b", "node", "cluster")
 
     members = materialize(clusters.join(nodes.select("node", F.col("first").alias("doc_id"), "n"), "node"), "members")
