@@ -6,16 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segmentry.llm.common import bound_batches, chunks, components, distinct_pairs, mix, shingles, table, tasks
 from segmentry.session import materialize
 
-#: Parts beyond the pigeonhole's: linked sets agree on SPARE + 1 parts at least.
-SPARE = 8
-#: Parts without a bit that a set may hide, and keys that linked sets share at least.
-EMPTY, SHARED = 2, SPARE + 1 - 2
+#: Least parts beyond the pigeonhole's, and differing shingles for one more of them.
+SPARE, PER_SPARE = 8, 8
+#: Parts without a bit that a set may hide.
+EMPTY = 2
+#: Keys of few sets that a pair must share to be compared for them; linked sets that share less share keys of many sets.
+TOGETHER = 2
 #: Ratio of neighbouring size bands.
 BAND = 0.72
 #: Sets under one part key that become pairs at once; more are compared in blocks by their sketches.
@@ -33,6 +35,15 @@ _EDGES = [1]
 while _EDGES[-1] < 1 << 40:
     _EDGES.append(max(_EDGES[-1] + 1, int(_EDGES[-1] / BAND)))
 _EDGES = np.array(_EDGES)
+#: Low bits of a key that are hash; the others are its size band.
+KEY_BITS = 57
+
+
+def band_bounds(band: int, percent: int) -> tuple[int, int]:
+    """(differing shingles of linked sets at most, keys that linked sets share at least) in a size band."""
+    largest = int(_EDGES[band + 1]) - 1
+    differ = (100 - percent) * 2 * largest // (100 + percent)
+    return differ, SPARE + differ // PER_SPARE + 1 - EMPTY
 
 
 def node_of(hashes: np.ndarray) -> int:
@@ -80,9 +91,10 @@ def part_keys(sets: list[np.ndarray], nodes: np.ndarray, percent: int) -> tuple[
     """(keys, nodes): the part keys of every set in each size band where it may meet a larger set.
 
     In the band whose largest size is N, linked sets differ in at most D = (100 - p) 2N / (100 + p)
-    shingles. A shingle flips one of 256 bits of one of D + 1 + SPARE parts, so linked sets agree on
-    SPARE + 1 parts at least. Parts without a bit are no keys, unless a set has more than EMPTY of them:
-    then it shows them to its like. So linked sets share SHARED keys at least.
+    shingles. A shingle flips one of 256 bits of one of D + 1 + S parts, so linked sets agree on
+    S + 1 parts at least. Parts without a bit are no keys, unless a set has more than EMPTY of them:
+    then it shows them to its like. So linked sets share S + 1 - EMPTY keys at least. The band is in
+    the high bits of a key.
     """
     sizes = np.array([len(s) for s in sets])
     band = np.searchsorted(_EDGES, sizes, "right") - 1
@@ -92,12 +104,13 @@ def part_keys(sets: list[np.ndarray], nodes: np.ndarray, percent: int) -> tuple[
         b = band + step
         largest = _EDGES[b + 1] - 1
         differ = (100 - percent) * 2 * largest // (100 + percent)
+        high = b.astype(np.uint64) << np.uint64(KEY_BITS)
         take = np.flatnonzero((b <= top) & (differ > 0) & (sizes > 0))
         if not len(take):
             continue
         flat = np.concatenate([sets[i] for i in take])
         row = np.repeat(np.arange(len(take)), sizes[take])
-        parts = (differ[take] + 1 + SPARE).astype(np.uint64)
+        parts = (differ[take] + 1 + SPARE + differ[take] // PER_SPARE).astype(np.uint64)
         part = ((flat >> np.uint64(32)) * parts[row]) >> np.uint64(32)
         starts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (row[1:] != row[:-1])])
         word = (flat >> np.uint64(6)) & np.uint64(3)
@@ -109,12 +122,12 @@ def part_keys(sets: list[np.ndarray], nodes: np.ndarray, percent: int) -> tuple[
             bits = np.bitwise_xor.reduceat(np.where(word == w, flip, np.uint64(0)), starts)
             some |= bits != 0
             value = mix(value ^ bits) + _ODD
-        keys.append(value[some])
+        keys.append(value[some] >> np.uint64(64 - KEY_BITS) | high[take][seen_row[some]])
         owners.append(nodes[take][seen_row[some]])
         filled = np.bincount(seen_row[some], minlength=len(take))
         for r in np.flatnonzero(parts.astype(np.int64) - filled > EMPTY):
             empty = np.setdiff1d(np.arange(parts[r], dtype=np.uint64), seen_part[some & (seen_row == r)])
-            keys.append(~mix(salt[r] + empty))
+            keys.append(~mix(salt[r] + empty) >> np.uint64(64 - KEY_BITS) | high[take[r]])
             owners.append(np.full(len(empty), nodes[take[r]]))
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -154,10 +167,10 @@ def _key_rows(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFr
 
 
 def candidate_pairs(keys: np.ndarray, nodes: np.ndarray) -> tuple[tuple[np.ndarray, ...], ...]:
-    """((a, b, shared keys), (key, node), (node, keys)) of keys that two nodes or more have.
+    """((a, b, shared keys), (key, node, keys, nodes), (node, band, keys)) of keys that two nodes or more have.
 
-    First the pairs under keys of up to PAIRED nodes, then the members of the others (once for keys with the
-    same members), last how many such keys each node has.
+    First the pairs under keys of up to PAIRED nodes, then the members of the others (once for keys of a band
+    with the same members, with how many they are), last how many keys each node shares in each band.
     """
     keys, nodes = distinct_pairs(keys, nodes)
     n = len(keys)
@@ -176,29 +189,55 @@ def candidate_pairs(keys: np.ndarray, nodes: np.ndarray) -> tuple[tuple[np.ndarr
     a, b = a[order], b[order]
     first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
     large = np.flatnonzero(sizes > PAIRED)
-    alike = np.add.reduceat(mix(nodes.view(np.uint64)), starts)[large] if n else np.zeros(0, np.uint64)
-    large = large[np.unique(alike, return_index=True)[1]]
-    many = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in large]) if len(large) else np.zeros(0, np.int64)
-    met = np.unique(nodes[size > 1], return_counts=True)
-    return (a[first], b[first], np.diff(np.r_[first, len(a)])), (keys[many].view(np.int64), nodes[many]), met
+    band = keys >> np.uint64(KEY_BITS)
+    alike = (np.add.reduceat(mix(nodes.view(np.uint64)), starts) + mix(band[starts] + _ODD))[large] if n else np.zeros(0, np.uint64)
+    _, only, times = np.unique(alike, return_index=True, return_counts=True)
+    large, counts = large[only], sizes[large[only]]
+    begin = np.cumsum(counts) - counts
+    many = np.arange(counts.sum()) + np.repeat(starts[large] - begin, counts)
+    node, its_band = nodes[size > 1], band[size > 1].view(np.int64)
+    order = np.lexsort((its_band, node))
+    node, its_band = node[order], its_band[order]
+    met = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (its_band[1:] != its_band[:-1])]) if len(node) else np.zeros(0, np.int64)
+    return ((a[first], b[first], np.diff(np.r_[first, len(a)])),
+            (keys[many].view(np.int64), nodes[many], np.repeat(times, counts), np.repeat(counts, counts)),
+            (node[met], its_band[met], np.diff(np.r_[met, len(node)])))
 
 
 def _pair_rows(packed: DataFrame) -> DataFrame:
-    """kind, a, b, shared: 0 pairs of nodes, 1 keys (a) of many nodes and a node (b), 2 nodes (a) and their keys (shared)."""
+    """kind, a, b, shared, size: 0 pairs of nodes, 1 keys (a) of many nodes (size) and a node (b), 2 nodes (a) in a band (b).
+
+    shared counts keys: those of the pair, those with the same members, those of the node.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for batch in batches:
             keys += [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("keys")]
             nodes += [np.frombuffer(x.as_py(), np.int64) for x in batch.column("nodes")]
         pairs, many, met = candidate_pairs(np.concatenate(keys), np.concatenate(nodes))
-        for kind, (a, b, shared) in enumerate((pairs, (*many, None), (met[0], None, met[1]))):
-            for at in range(0, len(a), 50_000):
-                part = [pa.nulls(len(a[at:at + 50_000]), pa.int64()) if c is None else pa.array(c[at:at + 50_000])
-                        for c in (a, b, shared)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, np.int32)), *part],
-                                                 names=["kind", "a", "b", "shared"])
+        for kind, columns in enumerate(((*pairs, None), many, (*met, None))):
+            for at in range(0, len(columns[0]), 50_000):
+                rows = len(columns[0][at:at + 50_000])
+                part = [pa.nulls(rows, pa.int64()) if c is None else pa.array(c[at:at + 50_000], pa.int64()) for c in columns]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, kind, np.int32)), *part],
+                                                 names=["kind", "a", "b", "shared", "size"])
 
-    return packed.mapInArrow(run, "kind int, a long, b long, shared long")
+    return packed.mapInArrow(run, "kind int, a long, b long, shared long, size long")
+
+
+def _telling_keys(met: DataFrame, able: DataFrame, percent: int) -> DataFrame:
+    """key, node of keys of many nodes, without the commonest keys of each node.
+
+    Linked sets that share fewer than TOGETHER keys of few nodes share at least so many keys of many nodes that
+    each of them can leave out all but TOGETHER - 1 fewer: the rarest key they share is behind the others in both orders.
+    """
+    least = F.array(*(F.lit(band_bounds(band, percent)[1]) for band in range(len(_EDGES) - 1)))
+    many = (met.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "shared", "size",
+                                          F.shiftrightunsigned("a", KEY_BITS).alias("band"))
+            .join(able, ["node", "band"], "left_semi"))
+    commonest = Window.partitionBy("node", "band").orderBy(F.desc("size"), "key").rowsBetween(Window.unboundedPreceding, 0)
+    return (many.withColumn("left_out", F.sum("shared").over(commonest))
+            .filter(F.col("left_out") > least[F.col("band").cast("int")] - TOGETHER).select("key", "node"))
 
 
 def near_pairs(sketches: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray,
@@ -242,7 +281,8 @@ def _block_rows(members: DataFrame, key: str, size: int, carry: list[str], more:
     What a node carries may come from `more`: it is joined last, so that it is shuffled by block only; members
     that it lacks are left out.
     """
-    count = members.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks"))
+    count = (members.groupBy(key).agg(F.count(F.lit(1)).alias("n_members")).filter("n_members > 1")
+             .select(key, F.ceil(F.col("n_members") / size).cast("int").alias("blocks")))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
     at = [key, "low", "high"]
@@ -431,6 +471,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_
     in no minimum; with others of their set they get its component, else null.
 
     Equal sets collapse first, so groups of copies of any size are one node. Part keys travel packed.
+    Linked sets share many of them, so each set leaves out its commonest keys (shared passages) in a fixed order.
     Pairs under a key must also pass the comparison of whole sketches; under a key of many nodes (a
     common passage, many near copies) that runs as pairs of blocks in many tasks, which return links
     enough to join what passes, never all pairs. What is joined so is a candidate cluster; its texts
@@ -445,13 +486,16 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_
 
     packed = _key_rows(given, words, percent, 8 * tasks(spark)).repartition(tasks(spark), "bucket")
     met = materialize(_pair_rows(packed), "met")
-    # a node that shares fewer keys with all others than linked sets share is linked with nothing
-    able = met.filter("kind = 2").groupBy(F.col("a").alias("node")).agg(F.sum("shared").alias("keys")).filter(F.col("keys") >= SHARED)
-    able = materialize(nodes.join(able.select("node"), "node"), "able")
+    # a node that shares fewer keys of a band with all others than linked sets share is linked with nothing there
+    least = F.array(*(F.lit(band_bounds(band, percent)[1]) for band in range(len(_EDGES) - 1)))
+    bands = materialize(met.filter("kind = 2").groupBy(F.col("a").alias("node"), F.col("b").alias("band"))
+                        .agg(F.sum("shared").alias("keys")).filter(F.col("keys") >= least[F.col("band").cast("int")])
+                        .select("node", "band"), "bands")
+    able = materialize(nodes.join(bands, "node", "left_semi"), "able")
     of = lambda side: able.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
-    pairs = (met.filter("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared")).filter("shared > 1")
+    pairs = (met.filter("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared")).filter(F.col("shared") >= TOGETHER)
              .join(of("a"), "a").join(of("b"), "b"))
-    many = met.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"))
+    many = materialize(_telling_keys(met, bands, percent), "many")
     dense = _sketch_links(_block_rows(many, "key", KEY_BLOCK, ["node", "n", "sketch"], able), "key", percent)
     clusters = components(_near_rows(pairs, percent).unionByName(dense), "a", "b", "node", "cluster")
 

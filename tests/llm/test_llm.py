@@ -270,7 +270,29 @@ def test_part_keys_never_lose_a_link():
                 b = c
             keys, nodes = jaccard.part_keys([a, b], np.array([1, 2]), 85)
             if not np.array_equal(a, b):
-                assert len(np.intersect1d(keys[nodes == 1], keys[nodes == 2])) >= jaccard.SHARED
+                shared = np.intersect1d(keys[nodes == 1], keys[nodes == 2])
+                band = int(np.searchsorted(jaccard._EDGES, max(len(a), len(b)), "right")) - 1
+                assert (shared >> np.uint64(jaccard.KEY_BITS) == band).sum() >= jaccard.band_bounds(band, 85)[1]
+
+
+def test_common_keys_left_out_lose_no_pair(spark):
+    rnd = np.random.default_rng(8)
+    percent, band = 85, 20
+    least = jaccard.band_bounds(band, percent)[1]
+    sizes = {k: int(n) for k, n in enumerate(rnd.integers(4, 12, 60))}
+    owned = {node: sorted(rnd.choice(60, 2 * least, replace=False).tolist()) for node in range(12)}
+    rows = [(1, (band << jaccard.KEY_BITS) + k, node, int(k % 7 == 0) + 1, sizes[k]) for node, own in owned.items() for k in own]
+    met = spark.createDataFrame(rows, "kind int, a long, b long, shared long, size long")
+    able = spark.createDataFrame([(node, band) for node in range(11)], "node long, band long")
+    kept = {}
+    for key, node in jaccard._telling_keys(met, able, percent).collect():
+        kept.setdefault(node, set()).add(key - (band << jaccard.KEY_BITS))
+    assert 11 not in kept and any(len(kept[node]) < len(owned[node]) for node in kept)
+    for a in range(11):
+        for b in range(a):
+            both = set(owned[a]) & set(owned[b])
+            if sum(int(k % 7 == 0) + 1 for k in both) >= least - jaccard.TOGETHER + 1:
+                assert kept[a] & kept[b]
 
 
 def test_sketches_compared_at_once_as_one_by_one():
