@@ -28,8 +28,8 @@ KEY_BLOCK, TEXT_BLOCK = 1_024, 256
 SMALL, COMPARED = 64, 1 << 20
 #: Least and most bits of the sketch that whole sets are compared by; in between a bit or two a shingle.
 SKETCH_BITS = (256, 16_384)
-#: Keys a task gathers before it hands them on.
-FLUSH = 400_000
+#: Keys a task gathers before it hands them on, and before it looks for those of several sets.
+FLUSH, GATHERED = 400_000, 200_000
 
 _EDGES = [1]
 while _EDGES[-1] < 1 << 40:
@@ -204,23 +204,46 @@ def candidate_pairs(keys: np.ndarray, nodes: np.ndarray) -> tuple[tuple[np.ndarr
             (node[met], its_band[met], np.diff(np.r_[met, len(node)])))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, nodes) of whole buckets, one after the other; small ones together."""
+    keys, nodes, have, last = [], [], 0, None
+    for batch in batches:
+        for bucket, key, node in zip(*(batch.column(c) for c in ("bucket", "keys", "nodes"))):
+            if have >= GATHERED and bucket.as_py() != last:
+                yield np.concatenate(keys), np.concatenate(nodes)
+                keys, nodes, have = [], [], 0
+            last = bucket.as_py()
+            keys.append(np.frombuffer(key.as_py(), np.uint64))
+            nodes.append(np.frombuffer(node.as_py(), np.int64))
+            have += len(keys[-1])
+    if have:
+        yield np.concatenate(keys), np.concatenate(nodes)
+
+
 def _pair_rows(packed: DataFrame) -> DataFrame:
     """kind, a, b, shared, size: 0 pairs of nodes, 1 keys (a) of many nodes (size) and a node (b), 2 nodes (a) in a band (b).
 
     shared counts keys: those of the pair, those with the same members, those of the node.
     """
+    def rows(kind: int, columns: tuple[np.ndarray | None, ...]) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(columns[0]), 50_000):
+            n = len(columns[0][at:at + 50_000])
+            part = [pa.nulls(n, pa.int64()) if c is None else pa.array(c[at:at + 50_000], pa.int64()) for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *part], names=["kind", "a", "b", "shared", "size"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for batch in batches:
-            keys += [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("keys")]
-            nodes += [np.frombuffer(x.as_py(), np.int64) for x in batch.column("nodes")]
-        pairs, many, met = candidate_pairs(np.concatenate(keys), np.concatenate(nodes))
-        for kind, columns in enumerate(((*pairs, None), many, (*met, None))):
-            for at in range(0, len(columns[0]), 50_000):
-                rows = len(columns[0][at:at + 50_000])
-                part = [pa.nulls(rows, pa.int64()) if c is None else pa.array(c[at:at + 50_000], pa.int64()) for c in columns]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, kind, np.int32)), *part],
-                                                 names=["kind", "a", "b", "shared", "size"])
+        met = []
+        for keys, nodes in _gathered(batches):
+            pairs, many, shared = candidate_pairs(keys, nodes)
+            met.append(shared)
+            yield from rows(0, (*pairs, None))
+            yield from rows(1, many)
+        if met:
+            node, band, count = (np.concatenate([m[k] for m in met]) for k in range(3))
+            order = np.lexsort((band, node))
+            node, band, count = node[order], band[order], count[order]
+            first = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (band[1:] != band[:-1])]) if len(node) else np.zeros(0, np.int64)
+            yield from rows(2, (node[first], band[first], np.add.reduceat(count, first) if len(first) else first, None))
 
     return packed.mapInArrow(run, "kind int, a long, b long, shared long, size long")
 
@@ -484,7 +507,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_
     nodes = materialize(sets.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min(F.struct(
         "doc_id", "n", "sketch")).alias("x")).select("node", F.col("x.doc_id").alias("first"), "x.n", "x.sketch"), "nodes")
 
-    packed = _key_rows(given, words, percent, 8 * tasks(spark)).repartition(tasks(spark), "bucket")
+    packed = _key_rows(given, words, percent, 8 * tasks(spark)).repartition(tasks(spark), "bucket").sortWithinPartitions("bucket")
     met = materialize(_pair_rows(packed), "met")
     # a node that shares fewer keys of a band with all others than linked sets share is linked with nothing there
     least = F.array(*(F.lit(band_bounds(band, percent)[1]) for band in range(len(_EDGES) - 1)))

@@ -314,6 +314,18 @@ def test_sketches_compared_at_once_as_one_by_one():
     assert not len(jaccard.near_mask(words, sizes, a[:0], b[:0], 85))
 
 
+def test_buckets_stay_whole_when_gathered(monkeypatch):
+    monkeypatch.setattr(jaccard, "GATHERED", 3)
+    buckets, pack = [0, 0, 0, 1, 2, 2], lambda x: np.array(x, np.int64).tobytes()
+    keys = [[1], [2, 3], [4], [5], [6, 7], [8]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(buckets[i:i + 2], pa.int32()), pa.array([pack(k) for k in keys[i:i + 2]], pa.binary()),
+                                           pa.array([pack(k) for k in keys[i:i + 2]], pa.binary())], names=["bucket", "keys", "nodes"])
+               for i in range(0, 6, 2)]
+    got = [(k.tolist(), n.tolist()) for k, n in jaccard._gathered(batches)]
+    assert got == [([1, 2, 3, 4], [1, 2, 3, 4]), ([5, 6, 7, 8], [5, 6, 7, 8])]
+    assert list(jaccard._gathered([batches[0].slice(0, 0)])) == []
+
+
 def test_groups_stay_whole_over_batches():
     keys = [1, 1, 2, 3, 3, 3, 3, 4]
     batches = [pa.RecordBatch.from_arrays([pa.array(keys[i:i + 2], pa.int64())], names=["k"]) for i in range(0, 8, 2)]
