@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from segmentry.session import materialize
 
 #: Bytes of text that numpy works on at once, besides a single longer text.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
+#: Powers that a worker keeps; longer texts compute their own.
+KEPT_POWERS = 1 << 19
 #: Rows of one Arrow batch sent to a Python worker.
 BATCH_ROWS = 1_000
 
@@ -67,14 +69,14 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1), wrapping at 64 bits; grown on demand and kept per worker."""
+    """base**0 .. base**(n-1), wrapping at 64 bits; grown on demand and kept per worker up to a bound."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = 1 << max(16, int(n - 1).bit_length()) if n <= KEPT_POWERS else n
         steps = np.full(size, base, np.uint64)
         steps[0] = 1
         have = np.cumprod(steps, dtype=np.uint64)
-        if size <= 1 << 22:
+        if size <= KEPT_POWERS:
             _powers[base] = have
     return have[:n]
 
