@@ -17,6 +17,8 @@ from segmentry.session import materialize
 
 #: Pages that must share a style node before its entropy counts, and the importance below which it goes.
 LEAST_PAGES, IMPORTANCE = 8, 0.3
+#: Share of a node's pages from which one of its texts is a notice, and the importance that outweighs an outside mark.
+REPEATED, OUTWEIGHS = 0.5, 0.7
 #: Share of a node's characters inside links from which it counts as a menu.
 LINKED = 0.7
 
@@ -30,7 +32,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
           "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"},
           "tfoot": {"tbody", "tr", "td", "th"}, "body": {"head"}}
 SCOPES = frozenset("ul ol dl table body html div section article main aside nav header footer form".split())
-#: Presentation nodes that never hold the article, by element, role and words of class or id.
+#: Presentation nodes that seldom hold the article, by element, role and words of class or id.
 OUTSIDE = frozenset("nav aside form footer head button dialog menu fieldset".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 OUTSIDE_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments
@@ -42,8 +44,8 @@ WITHIN = frozenset(("article", "main"))
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: 0: outside the article, 1: contested, left to the style tree, 2: inside.
-NOISE, CONTESTED, MAIN = 0, 1, 2
+#: Marks that the style tree weighs: never shown, outside the article, none, inside.
+HIDDEN, NOISE, CONTESTED, MAIN = -1, 0, 1, 2
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -52,16 +54,17 @@ def _attributes(raw: str) -> dict[str, str]:
 
 def _judged(tag: str, attributes: dict[str, str], parent: int) -> int:
     """Class of a node from its own marks and its parent's class."""
+    if (parent == HIDDEN or "hidden" in attributes or attributes.get("aria-hidden") == "true"
+            or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""))):
+        return HIDDEN
     if parent == NOISE or tag in OUTSIDE or (tag == "header" and parent != MAIN):
         return NOISE
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in OUTSIDE_ROLES:
+    if attributes.get("role", "").lower() in OUTSIDE_ROLES:
         return NOISE
     marks = f"{attributes.get('class', '')} {attributes.get('id', '')}"
     words = {w.lower() for w in _WORD.findall(marks)} if marks.strip() else ()
     if tag not in ("html", "body", "article", "main") and not OUTSIDE_WORDS.isdisjoint(words):
         return NOISE
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
-        return NOISE
     if tag in WITHIN or attributes.get("role", "").lower() in WITHIN:
         return MAIN
     if tag == "header" and parent == MAIN:
@@ -92,7 +95,7 @@ def blocks(page: str) -> list[tuple[str, int, str, int]]:
 
     def read(text: str) -> None:
         nonlocal linked
-        if text and stack[-1][2] != NOISE:
+        if text and stack[-1][2] != HIDDEN:
             text = html.unescape(text)
             pieces.append(text)
             if in_link:
@@ -156,7 +159,10 @@ def blocks(page: str) -> list[tuple[str, int, str, int]]:
 
 
 def _tree_rows(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, row and parallel arrays path, judged, text, linked, content of every page row."""
+    """page_id, url, host, row and parallel arrays path, judged, text, linked, content of every page row.
+
+    A path's hash takes in its marks, a content's its path.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [blocks(p or "") for p in batch.column("html").to_pylist()]
@@ -165,9 +171,9 @@ def _tree_rows(pages: DataFrame) -> DataFrame:
             listed = lambda values, kind: pa.ListArray.from_arrays(offsets, pa.array(values, kind))  # noqa: E731,B023
             yield pa.RecordBatch.from_arrays([
                 *(batch.column(n) for n in ("page_id", "url", "host")),
-                listed([xxhash.xxh3_64_intdigest(b[0]) - 2**63 for b in flat], pa.int64()), listed([b[1] for b in flat], pa.int32()),
+                listed([xxhash.xxh3_64_intdigest(f"{b[1]} {b[0]}") - 2**63 for b in flat], pa.int64()), listed([b[1] for b in flat], pa.int32()),
                 listed([b[2] for b in flat], pa.string()), listed([b[3] for b in flat], pa.int32()),
-                listed([xxhash.xxh3_64_intdigest(b[2]) - 2**63 for b in flat], pa.int64())],
+                listed([xxhash.xxh3_64_intdigest(f"{b[1]} {b[0]}\n{b[2]}") - 2**63 for b in flat], pa.int64())],
                 names=["page_id", "url", "host", "path", "judged", "text", "linked", "content"])
 
     return pages.mapInArrow(run, "page_id long, url string, host string, path array<long>, judged array<int>, "
@@ -175,49 +181,84 @@ def _tree_rows(pages: DataFrame) -> DataFrame:
 
 
 def importance(trees: DataFrame) -> DataFrame:
-    """host, path, pages, importance of the style nodes of every site.
+    """host, path, judged, pages, importance, repeated of the style nodes of every site.
 
     A node that m pages of a host have is worth 1 - the mean entropy of its contents: a text on k of the m
     pages has entropy log k / log m. So what all pages repeat is worth 0 and what each has for itself 1.
-    Nodes of few pages are worth 1. Presentation counts as well: a node that is mostly links is a menu, worth 0.
+    A node of few pages takes its worth from the host's domain, or else from all sites, where enough pages
+    have it, and is worth 1 otherwise; `pages` are those of the level used. Presentation counts as well: a node that is
+    mostly links is a menu, worth 0. `repeated` are contents on REPEATED of the host's pages with the node,
+    whatever else it holds. Equal pages of a host count once.
     """
-    node = trees.select("row", "host", F.explode(F.arrays_zip("path", "judged", "content", "linked", F.transform(
-        "text", lambda t: F.length(t)).alias("size"))).alias("b")).select("row", "host", "b.*")
-    node = node.withColumnRenamed(node.columns[-1], "size").filter(F.col("judged") == CONTESTED)
-    page = node.groupBy("host", "path", "content", "row").agg(F.sum("linked").alias("linked"), F.sum("size").alias("size"))
-    content = page.groupBy("host", "path", "content").agg(
+    seen = trees.select("row", "host", F.xxhash64("content").alias("page"))
+    copied = seen.groupBy("host", "page").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first")).filter("n > 1")
+    copies = materialize(seen.join(copied, ["host", "page"]).filter("row > first").select("row"), "copies")
+    once = trees.join(copies, "row", "left_anti")
+    sized = F.arrays_zip("path", "judged", "content", "linked", F.transform("text", lambda t: F.length(t)).alias("size"))
+    node = once.select("host", F.explode(F.array_distinct(sized)).alias("b")).select("host", "b.*")
+    node = node.withColumnRenamed(node.columns[-1], "size")
+    domain = F.substring_index("host", ".", -2)
+    content = node.groupBy("host", "path", "judged", "content").agg(
         F.count(F.lit(1)).alias("k"), F.sum("linked").alias("linked"), F.sum("size").alias("size"))
-    on = node.select("host", "path", "row").distinct().groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"))
-    mean = content.groupBy("host", "path").agg((F.sum(F.col("k") * F.log("k")) / F.sum("k")).alias("entropy"),
-                                               (F.sum("linked") / F.sum("size")).alias("linked"))
-    value = F.when(F.col("linked") >= LINKED, 0.0).when(F.col("pages") < LEAST_PAGES, 1.0).otherwise(
-        1 - F.col("entropy") / F.log("pages"))
-    return mean.join(on, ["host", "path"]).select("host", "path", "pages", value.alias("importance"))
+    on = once.select("host", F.explode(F.array_distinct("path")).alias("path")).groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"))
+    content, on = materialize(content, "contents"), materialize(on, "nodes")
+    dealt = content.withColumn("domain", domain).repartition("path", "content")  # one shuffle for domains and all sites
+
+    def mean(*by: str) -> DataFrame:
+        held = content if by == ("host",) else dealt.groupBy(*by, "path", "content").agg(
+            F.sum("k").alias("k"), F.sum("linked").alias("linked"), F.sum("size").alias("size"))
+        held = held.groupBy(*by, "path").agg((F.sum(F.col("k") * F.log("k")) / F.sum("k")).alias("entropy"),
+                                             (F.sum("linked") / F.sum("size")).alias("linked"))
+        wide = on.withColumn("domain", domain).groupBy(*by, "path").agg(F.sum("pages").alias("pages"))
+        return held.join(wide, [*by, "path"]).select(*by, "path", F.struct("pages", "entropy", "linked").alias(f"of_{by[0] if by else 'all'}"))
+
+    judged = content.groupBy("host", "path").agg(F.first("judged").alias("judged"))  # one, as the path's hash has it
+    often = content.join(on, ["host", "path"]).filter((F.col("pages") >= LEAST_PAGES) & (F.col("k") >= REPEATED * F.col("pages"))
+                                                      ).groupBy("host", "path").agg(F.collect_set("content").alias("repeated"))
+    known = (judged.withColumn("domain", domain).join(mean("host"), ["host", "path"]).join(mean("domain"), ["domain", "path"])
+             .join(mean(), "path").join(often, ["host", "path"], "left"))
+    levels = [F.col(f"of_{k}") for k in ("host", "domain", "all")]
+    level = F.coalesce(*(F.when(x["pages"] >= LEAST_PAGES, x) for x in levels), levels[0])
+    value = F.when(level["linked"] >= LINKED, 0.0).when(level["pages"] < LEAST_PAGES, 1.0).otherwise(
+        1 - level["entropy"] / F.log(level["pages"]))
+    return known.select("host", "path", "judged", level["pages"].alias("pages"), value.alias("importance"),
+                        F.coalesce("repeated", F.array().cast("array<long>")).alias("repeated"))
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """page_id, url, text of every page row; the text is empty where there is none.
 
-    Pages of a host are merged into a style tree. Presentation nodes marked as menus, headers, footers,
-    asides, forms, adverts, notices or comments have no importance, nodes inside an article full importance; what lies
-    between is decided by the tree. If a page has an article, only that is its text. Null pages and
+    Pages of a host are merged into a style tree of all that they show, and branches of low importance and
+    repeated notices go, also inside an article. Marks weigh in as evidence of presentation: if what is left inside articles is at
+    least as long as what is left without a mark, only that is the text, else both are. Nodes marked as menus, headers, footers,
+    asides, forms, adverts, notices or comments are the text only of a page that has nothing else, and only where
+    enough pages show that they are important. Null pages and
     hosts are allowed; pages without host form one site. Repeated rows stay.
 
     Style nodes are counted by (host, path, content), so a site with a third of all pages combines map-side.
-    The nodes to drop are joined to (page, path) rows; page texts only meet the few ids that lose any.
+    The nodes to tell apart are joined to (page, path, content) rows; page texts only meet the few ids that are told.
     """
     bound_batches(pages.sparkSession)
     given = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.lower(F.coalesce(F.regexp_extract(
         F.col(url), r"^[a-zA-Z]+://([^/:?#]+)", 1), F.lit(""))).alias("host"), F.col(page).alias("html"))
     trees = materialize(_tree_rows(given).withColumn("row", F.monotonically_increasing_id()), "trees")
-    low = importance(trees).filter(F.col("importance") < IMPORTANCE).select("host", "path")
-    held = F.filter(F.arrays_zip("path", "judged"), lambda b: b["judged"] == CONTESTED)
-    paths = trees.select("row", "host", F.explode(F.array_distinct(F.transform(held, lambda b: b["path"]))).alias("path"))
-    drop = materialize(paths.join(low, ["host", "path"]).groupBy("row").agg(F.collect_set("path").alias("drop")), "drop")
-    kept = trees.select("row", "page_id", "url", "path", "judged", "text").join(drop, "row", "left")
-    main = F.exists("judged", lambda j: j == MAIN)
-    take = F.filter(F.arrays_zip("path", "judged", "text"), lambda b: F.when(main, b["judged"] == MAIN).otherwise(
-        ~F.coalesce(F.array_contains("drop", b["path"]), F.lit(False))))
+    # told apart: important nodes among those marked as outside, unimportant ones and notices among the others
+    outside = F.col("judged") == NOISE
+    whole = F.when(outside, (F.col("importance") >= OUTWEIGHS) & (F.col("pages") >= LEAST_PAGES)).otherwise(F.col("importance") < IMPORTANCE)
+    told = importance(trees).select("host", "path", whole.alias("whole"), F.when(outside, F.array().cast("array<long>")).otherwise(
+        F.col("repeated")).alias("repeated")).filter(F.col("whole") | (F.size("repeated") > 0))
+    held = trees.select("row", "host", F.explode(F.array_distinct(F.arrays_zip("path", "content"))).alias("b")).select("row", "host", "b.*")
+    told = materialize(held.join(told, ["host", "path"]).filter(F.col("whole") | F.array_contains("repeated", F.col("content")))
+                       .groupBy("row").agg(F.collect_set("content").alias("told")), "told")
+    kept = trees.select("row", "page_id", "url", "judged", "text", "content").join(told, "row", "left")
+    left = F.filter(F.arrays_zip("judged", "text", "content"), lambda b: (b["judged"] == NOISE) == F.coalesce(
+        F.array_contains("told", b["content"]), F.lit(False)))
+    chars = lambda mark: F.aggregate(F.filter("left", lambda b: b["judged"] == mark), F.lit(0),
+                                     lambda n, b: n + F.length(b["text"]))
+    kept = kept.select("page_id", "url", left.alias("left")).withColumns({"inside": chars(MAIN), "between": chars(CONTESTED)})
+    least = F.when((F.col("inside") > 0) & (F.col("inside") >= F.col("between")), MAIN).when(
+        F.col("inside") + F.col("between") > 0, CONTESTED).otherwise(NOISE)
+    take = F.filter(F.col("left"), lambda b: b["judged"] >= least)
     return kept.select("page_id", "url", F.array_join(F.transform(take, lambda b: b["text"]), " ").alias("text"))
 
 

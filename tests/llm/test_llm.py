@@ -405,6 +405,21 @@ def test_pages_of_the_given_table(spark, folder):
         assert got[r["page_id"]] == " ".join(html.unescape(re.sub(r"<[^>]+>", "\n", plain)).split())
 
 
+def test_main_text_weighs_marks_by_the_tree(spark):
+    rows = []
+    for i in range(12):
+        story = prose(30)
+        rows.append((i, f"http://teaser.com/{i}", f"<article>{prose(4)}</article><div class=story>{story}</div>", story))
+        rows.append((20 + i, f"http://notice.com/{i}", f"<article><p>{story}</p><p>Read our terms of use</p></article>", story))
+        rows.append((40 + i, f"http://form.com/{i}", f"<form><nav>Home and more</nav><div>{story}</div></form>", story))
+        # every host has one page; its frame is known from the others of the domain
+        rows.append((60 + i, f"http://h{i}.small.com/", f"<div class=frame>Welcome to all of us</div><div>{story}</div>", story))
+    rows.append((90, "http://other.com/", "<nav>Home</nav><footer>end of 90</footer>", ""))
+    got = {r[0]: r[2] for r in pages.main_text(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")).collect()}
+    assert all(got[i].endswith(story) for i, _, _, story in rows if i < 20)
+    assert all(got[i] == story for i, _, _, story in rows if i >= 20)
+
+
 # --- op9 ---
 
 def test_tokens_equal_the_library(spark, folder, nothing):
