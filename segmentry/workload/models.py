@@ -16,9 +16,6 @@ from segmentry.workload import views as V
 from segmentry.workload.text import corpus, negatives
 from segmentry.workload.views import table
 
-# fewer restarts than the defaults of the library, which are parameters
-RESTARTS = 2
-
 
 def _embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings")
@@ -63,18 +60,18 @@ def svd_reduce(spark: SparkSession, folder: str) -> DataFrame:
 
 def sweep_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     points = clusters.array_features(_embeddings(spark, folder)).select("vec_id", "features")
-    return clusters.sweep_cluster_counts(points, range(3, 16), RESTARTS, "cosine")
+    return clusters.sweep_cluster_counts(points, range(3, 16), metric="cosine")
 
 
 def sweep_reviews(spark: SparkSession, folder: str) -> DataFrame:
     docs = negatives(spark, folder).select("doc_id", "cleaned_review")
     fitted = T.fit(docs, "doc_id", "cleaned_review", T.REVIEWS)
-    return clusters.sweep_cluster_counts(fitted.features(), range(3, 11), RESTARTS, "cosine")
+    return clusters.sweep_cluster_counts(fitted.features(), range(3, 11), metric="cosine")
 
 
 def cluster_labels(spark: SparkSession, folder: str) -> DataFrame:
     points = clusters.array_features(_embeddings(spark, folder)).select("vec_id", "features").cache()
-    model = clusters.fit_kmeans(points, 10, RESTARTS)
+    model = clusters.fit_kmeans(points, 10)
     path = scratch_path(spark, "kmeans")
     clusters.save_model(model, path)
     return clusters.label_points(clusters.load_kmeans(path), points).select("vec_id", "cluster_id")
@@ -83,8 +80,7 @@ def cluster_labels(spark: SparkSession, folder: str) -> DataFrame:
 # ---------------------------------------------------------------- end-to-end runs
 
 def _segments(spark: SparkSession, folder: str) -> segments.Segments:
-    return segments.build_segments(V.described(spark, folder), ks=range(3, 9), restarts=RESTARTS,
-                                   final_restarts=RESTARTS, key=("app_id", "chart_type"))
+    return segments.build_segments(V.described(spark, folder), key=("app_id", "chart_type"))
 
 
 def segment_build(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,13 +94,12 @@ def opportunity_build(spark: SparkSession, folder: str) -> DataFrame:
 
 def embedding_segment_build(spark: SparkSession, folder: str) -> DataFrame:
     vectors = _embeddings(spark, folder).select(F.col("vec_id").cast("string").alias("app_id"), "embedding")
-    return segments.build_embedding_segments(V.described(spark, folder), vectors, range(3, 9), RESTARTS, RESTARTS).summary
+    return segments.build_embedding_segments(V.described(spark, folder), vectors).summary
 
 
 def pain_point_build(spark: SparkSession, folder: str) -> DataFrame:
     games = V.described(spark, folder).select(F.concat(F.lit("src"), F.col("cluster_id")).alias("app_id"), "cluster_id")
-    built = pain_points.build_pain_points(V.reviews(spark, folder), games, ["doc_id"], range(3, 7), RESTARTS, RESTARTS,
-                                          min_reviews=2)
+    built = pain_points.build_pain_points(V.reviews(spark, folder), games, ["doc_id"], min_reviews=2)
     return built.links.join(built.summary.select("pain_point_id", "keywords"), "pain_point_id")
 
 

@@ -126,6 +126,25 @@ def test_queries_without_sql(name, spark, folder):
     assert workload.queries()[name](spark, folder).count() > 0
 
 
+@pytest.mark.parametrize("name,swept,restarts,final", [
+    ("sweep_embeddings", range(3, 16), 20, None), ("sweep_reviews", range(3, 11), 20, None), ("cluster_labels", [10], None, 20),
+    ("segment_build", range(3, 21), 20, 30), ("opportunity_build", range(3, 21), 20, 30),
+    ("embedding_segment_build", range(3, 16), 30, 50), ("pain_point_build", range(3, 11), 30, 50)])
+def test_queries_run_the_whole_search(name, swept, restarts, final, spark, folder, monkeypatch):
+    asked, fit = [], clusters._fit_all
+
+    def one_fit(features, ks, restarts, *rest):
+        asked.append((list(ks), restarts))
+        return fit(features, ks, 1, *rest)
+
+    monkeypatch.setattr(clusters, "_fit_all", one_fit)
+    workload.queries()[name](spark, folder)
+    if restarts:
+        assert asked[0] == (list(swept), restarts)
+    if final:
+        assert asked[-1][1] == final and len(asked[-1][0]) == 1
+
+
 def test_entry(spark):
     import __spark_entry__ as registry
     assert registry.entry(spark).count() > 0
