@@ -26,8 +26,8 @@ _RANDOM = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 
 #: What stands in a masked secret's place.
 MARK = "[SECRET]"
-#: A value copied to more owners or documents than this is an example.
-LIVE_OWNERS, LIVE_DOCUMENTS = 1, 3
+#: A value copied to more known owners than this is an example, however many documents each has.
+LIVE_OWNERS = 1
 #: Bits a character of an added value.
 LIVE_BITS = 3.5
 
@@ -59,7 +59,7 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source") -> DataFrame:
     """doc_id, owner, digest of the text, found: candidates of every whole text.
 
-    Of a secret itself only a digest goes on. Null text has none; a null owner counts as an owner of its own per document. Repeated rows stay. No shuffle.
+    Of a secret itself only a digest goes on. Null text has none; a null owner is unknown. Repeated rows stay. No shuffle.
     """
     bound_batches(docs.sparkSession)
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(owner).cast("string").alias("owner"), F.col(text).alias("text"))
@@ -79,14 +79,13 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
 def ownership(hits: DataFrame) -> DataFrame:
     """value, documents, owners, live: over the whole corpus, from one row per candidate.
 
-    Counted in two steps, (value, owner, document) then value, so that a value copied very often or a
+    Owners are the known ones: a document of unknown owner makes no value an example. Counted in two steps, (value, owner, document) then value, so that a value copied very often or a
     source with a third of the documents combines map-side.
     """
-    held = hits.select("value", F.coalesce("owner", F.concat(F.lit("\0"), F.col("doc_id").cast("string"))).alias("owner"),
-                       "doc_id").distinct()
+    held = hits.select("value", "owner", "doc_id").distinct()
     per_owner = held.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("documents"))
-    counts = per_owner.groupBy("value").agg(F.sum("documents").alias("documents"), F.count(F.lit(1)).alias("owners"))
-    return counts.withColumn("live", (F.col("owners") <= LIVE_OWNERS) & (F.col("documents") <= LIVE_DOCUMENTS))
+    counts = per_owner.groupBy("value").agg(F.sum("documents").alias("documents"), F.count("owner").alias("owners"))
+    return counts.withColumn("live", F.col("owners") <= LIVE_OWNERS)
 
 
 _SPANS = "array<struct<start:int,kind:int,stop:int,live:boolean,documents:bigint,owners:bigint>>"
@@ -104,7 +103,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
     """Per document row: doc_id, spans as array of struct(start, kind, stop, live, documents, owners).
 
     Base matches stay whatever their class; an added candidate stays only when it is live: at most
-    LIVE_OWNERS owners and LIVE_DOCUMENTS documents hold it. Texts are read once and not shuffled.
+    LIVE_OWNERS known owners hold it, in any number of documents. Texts are read once and not shuffled.
     """
     found = materialize(find(docs, doc_id, text, owner).withColumn("row", F.monotonically_increasing_id()), "candidates")
     return (found.select("row", "doc_id").join(_spans(found, "row"), "row", "left")

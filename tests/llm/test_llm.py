@@ -361,6 +361,18 @@ def test_secrets(spark, nothing):
     assert secrets.scan(nothing).count() == 0
 
 
+def test_secrets_of_one_owner_stay_live_at_any_number_of_copies(spark):
+    mine, unknown, shared = "Zx9Kd82hQpL0vRt5Ym3Wc7", "Hb3Nf64jTsM1wXu8Pq5Ve9", "Qa1Ws2Ed3Rf4Tg5Yh6Uj7Ik8"
+    rows = [(i, f"key {mine} end", "a") for i in range(6)] + [(10 + i, f"key {unknown} end", None) for i in range(6)]
+    rows += [(20, f"key {shared} end", "a"), (21, f"key {shared} end", "b"), (22, f"key {shared} end", None), (30, f"key {mine} end", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: [(s["live"], s["documents"], s["owners"]) for s in r["spans"]] for r in secrets.scan(df).collect()}
+    assert all(got[i] == [(True, 7, 1)] for i in (*range(6), 30)) and all(got[10 + i] == [(True, 6, 0)] for i in range(6))
+    assert all(got[i] == [] for i in (20, 21, 22))
+    masked = {r[0]: r[1] for r in secrets.redact(df).select("doc_id", "text").collect()}
+    assert all((t == "key [SECRET] end") == (i not in (20, 21, 22)) for i, t in masked.items())
+
+
 def test_secret_rules_against_a_plain_scan():
     rnd = random.Random(2)
     parts = ["password", "Secret", "api_key", "apikey", "=", ":", " ", "'", '"', "abcdef", "AKIA", "0123456789abcdef", "Z", "x" * 7, "é"]
