@@ -13,8 +13,8 @@ from segmentry.session import materialize
 
 #: Rounds of exchange, and the probability from which a view's label is lent to the other view.
 ROUNDS, CONFIDENT = 2, 0.97
-#: Labelled rows that classifiers are fitted on, and unlabelled rows that may lend labels: rows of least hash.
-LABELLED, POOL = 40_000, 20_000
+#: Labelled rows that classifiers are fitted on: rows of least hash. All unlabelled rows may lend labels.
+LABELLED = 40_000
 #: Every such labelled row is held out for calibration.
 HELD_OUT = 5
 TEXT_SLOTS, META_SLOTS = 1 << 14, 1 << 10
@@ -66,8 +66,8 @@ def score(docs: DataFrame, labels: DataFrame, target: str = "quality", doc_id: s
     are ignored, a doc_id labelled twice takes the larger label. Without both labels every score is
     the labels' mean (0.5 without any). Kept from 0.5. Repeated rows stay; extra columns are ignored.
 
-    Fitting takes at most LABELLED labelled and POOL unlabelled rows, those of least hash of doc_id;
-    scoring takes all. Features are written once, texts are not shuffled; labels meet features without texts.
+    Fitting takes at most LABELLED labelled rows, those of least hash of doc_id, and all unlabelled ones
+    that a view is sure of; scoring takes all. Features are written once, texts are not shuffled; labels meet features without texts.
     """
     features = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_terms(F.col(text)).alias("words"),
                            meta_terms(docs, list(metadata)).alias("marks"))
@@ -76,13 +76,11 @@ def score(docs: DataFrame, labels: DataFrame, target: str = "quality", doc_id: s
     features = materialize(features.select("doc_id", F.xxhash64("doc_id").alias("order"), "text", "meta"), "features")
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("double").alias("label")).filter(
         "label in (0.0, 1.0) and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
+    given = materialize(given, "labels")
 
-    keys = features.select("doc_id", "order").join(given, "doc_id", "left")
-    known = keys.filter("label is not null").orderBy("order", "doc_id").limit(LABELLED)
-    pool = keys.filter("label is null and doc_id is not null").orderBy("order", "doc_id").limit(POOL)
-    picked = materialize(known.unionByName(pool).dropDuplicates(["doc_id"]).select("doc_id", "label"), "picked")
-    picked = materialize(features.join(picked, "doc_id"), "picked").persist()  # LABELLED + POOL rows
-    known = picked.filter("label is not null")
+    known = features.select("doc_id", "order").join(given, "doc_id").orderBy("order", "doc_id").limit(LABELLED)
+    picked = materialize(known.dropDuplicates(["doc_id"]).select("doc_id", "label"), "picked")
+    known = materialize(features.join(picked, "doc_id"), "picked").persist()  # LABELLED rows
     train = known.filter(F.pmod(F.xxhash64("order"), F.lit(HELD_OUT)) > 0)
     held = known.filter(F.pmod(F.xxhash64("order"), F.lit(HELD_OUT)) == 0)
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -92,7 +90,8 @@ def score(docs: DataFrame, labels: DataFrame, target: str = "quality", doc_id: s
         flat = F.lit(mean)
         return features.select("doc_id", flat.alias("p_text"), flat.alias("p_meta"), flat.alias("score"), (flat >= 0.5).alias("kept"))
 
-    free = picked.filter("label is null")
+    # scored from the stored features in each round; a fit keeps its own blocks of the rows lent
+    free = features.filter("doc_id is not null").join(given.select("doc_id"), "doc_id", "left_anti")
     models = {view: _fitted(train, view) for view in ("text", "meta")}
     for _ in range(ROUNDS):
         lent = {}
@@ -108,7 +107,7 @@ def score(docs: DataFrame, labels: DataFrame, target: str = "quality", doc_id: s
         scored = models[view].transform(scored).withColumn(f"l_{view}", _logit(view))
     scored = materialize(scored.select("label", "l_text", "l_meta"), "held")
     slopes = {view: _calibrated(scored, f"l_{view}") for view in models}
-    picked.unpersist()
+    known.unpersist()
 
     out = features
     for view in models:

@@ -194,6 +194,22 @@ def test_quality_separates_held_out_documents(spark, nothing):
     assert quality.score(nothing, label).count() == 0
 
 
+def test_all_unlabelled_documents_may_lend_labels(spark, monkeypatch):
+    rnd, sizes, fit = random.Random(5), [], quality._fitted
+
+    def counted(rows, view):
+        sizes.append(rows.count())
+        return fit(rows, view)
+
+    monkeypatch.setattr(quality, "POOL", 20, raising=False)
+    monkeypatch.setattr(quality, "_fitted", counted)
+    rows = [(i, prose(30, rnd) if i % 3 else " ".join(w + "%%%" for w in prose(30, rnd).split()), "en", "clean" if i % 3 else "junk", 200)
+            for i in range(400)]
+    label = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(200)], "doc_id long, quality int")
+    assert quality.score(spark.createDataFrame(rows, DOCS), label).count() == 400
+    assert min(sizes[2:]) - sizes[0] >= 150  # of 200 unlabelled ones
+
+
 # --- op5 ---
 
 def test_language_fuses_evidence(spark, folder, nothing):
