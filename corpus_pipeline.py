@@ -18,7 +18,7 @@ from segmentry.session import materialize
 
 def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents whose language is known with confidence."""
-    return language.keep_identified(docs)
+    return language.keep_identified(docs, suffix=language.country_end())
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

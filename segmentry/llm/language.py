@@ -209,11 +209,15 @@ def page_evidence(pages: DataFrame) -> DataFrame:
                         F.coalesce(empty(path), empty(end)).alias("suffix"), empty(host).alias("host"))
 
 
+def country_end(source: str = "source") -> Column:
+    """Country ending of a source's address, null without one: the suffix evidence of documents."""
+    end = F.regexp_extract(source, r"\.([a-z]{2})$", 1)
+    return F.when(end != "", end)
+
+
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """All documents: the table's lang is the declared language, its source the host."""
-    docs = table(spark, folder, "documents")
-    end = F.regexp_extract("source", r"\.([a-z]{2})$", 1)
-    return identify(docs, suffix=F.when(end != "", end))
+    return identify(table(spark, folder, "documents"), suffix=country_end())
 
 
 def language_of_pages(spark: SparkSession, folder: str) -> DataFrame:

@@ -232,6 +232,19 @@ def test_language_fuses_evidence(spark, folder, nothing):
     assert not language.identify(docs, declared=None).first()["kept"]
 
 
+def test_pipeline_and_query_use_the_same_evidence(spark, monkeypatch):
+    import corpus_pipeline
+
+    seen = []
+    monkeypatch.setattr(language, "identify", lambda docs, **evidence: seen.append(evidence) or docs.withColumn("kept", F.lit(True)))
+    given = spark.createDataFrame([(1, "a", "de", "site.de", 1), (2, "b", "en", "src0", 1), (3, "c", "en", None, 1)], DOCS)
+    monkeypatch.setattr(language, "table", lambda *_: given)
+    language.op5_language_id(spark, "")
+    assert corpus_pipeline.identify_language(spark, given, "").count() == 3
+    ends = [[r[0] for r in given.orderBy("doc_id").select(e["suffix"]).collect()] for e in seen]
+    assert ends == [["de", None, None]] * 2
+
+
 def test_page_evidence(spark):
     rows = [(1, "https://a.example.fr/x", '<html lang="FR-ca"><body>le<script>x</script> la'), (2, "http://b.org/de/1", "<p>x"), (3, None, None)]
     got = language.page_evidence(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
