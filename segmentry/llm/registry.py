@@ -1,7 +1,7 @@
 """Registered queries of this package and their SQL."""
 
 import corpus_pipeline
-from segmentry.llm import bpe, chat, decontaminate, jaccard, language, pages, quality, repeats, secrets, vectors
+from segmentry.llm import bpe, chat, decontaminate, jaccard, language, pages, quality, repeats, runs, secrets, vectors
 
 QUERIES = {
     "op1_suffix_dedup": repeats.op1_suffix_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op8_html_extract": pages.op8_html_extract,
     "op9_bpe": bpe.op9_bpe,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op13_periodic_runs": runs.op13_periodic_runs,
     "language_of_pages": language.language_of_pages,
     "pipeline": corpus_pipeline.run,
 }
