@@ -64,10 +64,10 @@ _SIGNS = re.compile(
     rf"|(?<=[^\s_-])(?:[ \t]+|[-_]+)(?:(?P<loose_at>{LOOSE_AT}|@)|(?P<loose_dot>{LOOSE_DOT}))(?:[ \t]+|[-_]+)(?=\S)", re.IGNORECASE)
 _DIGITS = re.compile(rf"(?<!\w)(?:(?P<plus>{_either(PLUS_WORDS)})[ \t]+(?=(?:{_either(_DIGIT)}|[0-9])(?!\w))"
                      rf"|(?P<digit>{_either(_DIGIT)})(?!\w)(?P<gap>[ \t]+(?=(?:{_either(_DIGIT)})(?!\w)))?)", re.IGNORECASE)
-#: Whether signs or digits may be spelled at all: a dot or a bracketed or lone at, or two digits in a row.
-_MAYBE_SIGNS = re.compile(rf"{_OPEN}[ \t]*(?:{_either(AT_WORDS)}|@)[ \t]*{_CLOSE}|[ \t]@[ \t]|[\s\[({{<_-](?:{_either(DOT_WORDS)}|\.)[\s\])}}>_-]",
-                          re.IGNORECASE)
-_MAYBE_DIGITS = re.compile(rf"(?<!\w)(?:{_either(_DIGIT)})[\s.-]+(?:{_either(_DIGIT)}|{_either(DOT_WORDS)})(?!\w)", re.IGNORECASE)
+#: Whether lower-cased text may spell signs or digits at all: a dot or a bracketed or lone at, or two digits in a row.
+_MAYBE_SIGNS = re.compile(rf"[\[({{<][ \t]*(?:{_either(AT_WORDS)}|@)[ \t]*{_CLOSE}|[\[({{<][ \t]*(?:{_either(DOT_WORDS)}|\.)[ \t]*{_CLOSE}"
+                          rf"|[ \t](?:@|{LOOSE_DOT})[ \t]|[-_](?:{LOOSE_AT}|{LOOSE_DOT})[-_]")
+_MAYBE_DIGITS = re.compile(rf"(?:{_either(_DIGIT)})[\s.\])}}>[({{<-]+(?:{_either((*_DIGIT, *DOT_WORDS))})(?!\w)")
 
 
 # --- transducers ----------------------------------------------------------------------------
@@ -170,7 +170,7 @@ def plain_characters(of: Tape) -> Tape:
 
 def plain_digits(of: Tape) -> Tape:
     """Spelled digits as digits, those in a row without the blanks between them; a spelled plus before digits as a sign."""
-    if not _MAYBE_DIGITS.search(of.text):
+    if not _MAYBE_DIGITS.search(of.text.lower()):
         return of
     edits = [(m.start(), m.end(), "+" if m["plus"] else _DIGIT[m["digit"].lower()]) for m in _DIGITS.finditer(of.text)]
     return rewrite(of, edits) if edits else of
@@ -178,7 +178,7 @@ def plain_digits(of: Tape) -> Tape:
 
 def plain_signs(of: Tape) -> tuple[Tape, list[int], list[int], set[int]]:
     """At and dot disguises as signs; places of loose at words, of rewritten dots and of the loose ones in the new text."""
-    if not _MAYBE_SIGNS.search(of.text):
+    if not _MAYBE_SIGNS.search(of.text.lower()):
         return of, [], [], set()
     edits, loose_at, dots, loose_dots, shift = [], [], [], set(), 0
     for m in _SIGNS.finditer(of.text):
