@@ -1,7 +1,7 @@
 """Registered queries of this package and their SQL."""
 
 import corpus_pipeline
-from segmentry.llm import bpe, chat, decontaminate, identifiers, jaccard, language, pages, quality, repeats, runs, secrets, vectors
+from segmentry.llm import bpe, chat, decontaminate, identifiers, jaccard, language, pages, quality, repeats, runs, secrets, trie, vectors
 
 QUERIES = {
     "op1_suffix_dedup": repeats.op1_suffix_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op8_html_extract": pages.op8_html_extract,
     "op9_bpe": bpe.op9_bpe,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_prefix_trie": trie.op11_prefix_trie,
     "op12_pii": identifiers.op12_pii,
     "op13_periodic_runs": runs.op13_periodic_runs,
     "language_of_pages": language.language_of_pages,
@@ -24,4 +25,5 @@ SQL = {
     "op3_chat_format": chat.OP3_SQL,
     "op6_ngram_jaccard": jaccard.OP6_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
+    "op11_prefix_trie": trie.OP11_SQL,
 }
