@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segmentry.llm.common import CHUNK_BYTES, RangeHash, bound_batches, chunks, mix, table, tasks
@@ -147,6 +147,12 @@ def _segments(offsets: np.ndarray, base: int) -> Iterator[tuple[int, int, int, i
         yield base, a, min(size, a + CHUNK_BYTES + LENGTH - 1), a
 
 
+#: What tells document rows apart: both come from the data alone, so every scan gives a row the same key.
+_ROW = ("doc_id", "row")
+#: Stands for a null id inside.
+_NO_ID = -2**63
+
+
 def _anchor_rows(docs: DataFrame) -> DataFrame:
     """One row per anchor of every document row: h, c, where its windows begin."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +166,7 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
                     got = split(part, anchor, first, last, WIDTHS[0])
                     row = np.searchsorted(edges, first, "right") - 1
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(got["h"]), pa.array(got["c"]), pa.array(ids[base + row], pa.int64(), from_pandas=True),
+                        pa.array(got["h"]), pa.array(got["c"]), pa.array(ids[base + row]),
                         pa.array(rows[base + row]), pa.array(got["start"] - edges[row] + skipped), pa.array(got["shift"]),
                         pa.array(got["width"]), pa.array(got["width"] + np.int32(LENGTH - 1))],
                         names=["h", "c", "doc_id", "row", "start", "shift", "width", "size"])
@@ -190,9 +196,9 @@ def _resplit(items: DataFrame, width: int) -> DataFrame:
 
 
 def _sorted_rows(contexts: DataFrame, keep_first: bool) -> DataFrame:
-    """row, begin, end of repeats among the contexts of each anchor; rows arrive sorted by h, row, start."""
+    """doc_id, row, begin, end of repeats among the contexts of each anchor; rows arrive sorted by h, doc_id, row, start."""
     def repeats(batch: list[tuple]) -> pa.RecordBatch:
-        texts = [b[4] for b in batch]
+        texts = [b[5] for b in batch]
         sizes = np.array([len(t) for t in texts])
         data = np.frombuffer(b"".join(texts), np.uint8)
         begins = np.cumsum(sizes) - sizes
@@ -209,25 +215,27 @@ def _sorted_rows(contexts: DataFrame, keep_first: bool) -> DataFrame:
         o, p = owner[picked], inside[picked]
         first = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (p[1:] != p[:-1] + 1)]) if len(o) else o
         last = np.r_[first[1:], len(o)] - 1 if len(o) else o
-        rows, starts = np.array([b[1] for b in batch]), np.array([b[2] for b in batch])
+        ids, rows, starts = (np.array([b[i] for b in batch]) for i in (1, 2, 3))
         return pa.RecordBatch.from_arrays([
-            pa.array(rows[o[first]], pa.int64()), pa.array(starts[o[first]] + p[first], pa.int64()),
-            pa.array(starts[o[last]] + p[last] + LENGTH, pa.int64())], names=["row", "begin", "end"])
+            pa.array(ids[o[first]], pa.int64()), pa.array(rows[o[first]], pa.int64()), pa.array(starts[o[first]] + p[first], pa.int64()),
+            pa.array(starts[o[last]] + p[last] + LENGTH, pa.int64())], names=["doc_id", "row", "begin", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, key = [], 0, None
         for batch in batches:
-            for item in zip(*(batch.column(n).to_pylist() for n in ("h", "row", "start", "width", "context"))):
+            for item in zip(*(batch.column(n).to_pylist() for n in ("h", "doc_id", "row", "start", "width", "context"))):
+                if held and item[:4] == held[-1][:4]:  # of a row that is there twice
+                    continue
                 if item[0] != key and size > SORTED_BYTES:
                     yield repeats(held)
                     held, size = [], 0
                 key = item[0]
                 held.append(item)
-                size += len(item[4])
+                size += len(item[5])
         if held:
             yield repeats(held)
 
-    return contexts.mapInArrow(run, "row long, begin long, end long")
+    return contexts.mapInArrow(run, "doc_id long, row long, begin long, end long")
 
 
 def _round(items: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame]:
@@ -236,19 +244,25 @@ def _round(items: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame]:
     Items of equal c are equal: all are repeats, and the first stands for them in the comparison, if
     any other context has the same anchor.
     """
-    place = F.struct("row", "start")
+    place = F.struct(*_ROW, "start")
     equal = materialize(items.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")), "equal")
     known = items.join(equal.filter("n > 1").select("h", "c", "first"), ["h", "c"])
     if keep_first:
         known = known.filter(F.col("first") != place)
-    spans = known.select("row", F.col("start").alias("begin"), (F.col("start") + F.col("size")).alias("end"))
+    spans = known.select(*_ROW, F.col("start").alias("begin"), (F.col("start") + F.col("size")).alias("end"))
     anchors_ = equal.groupBy("h").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1")
-    compare = equal.join(anchors_, "h").select("h", "c", "contexts", "first.row", "first.start")
+    compare = equal.join(anchors_, "h").select("h", "c", "contexts", "first.doc_id", "first.row", "first.start")
     return spans, compare
 
 
+def _contexts(compare: DataFrame, items: DataFrame) -> DataFrame:
+    """The items to compare, one of each place: rows equal in id and text have the same places."""
+    keys = ["h", "c", *_ROW, "start"]
+    return materialize(compare.join(items, keys).dropDuplicates(keys), "contexts")
+
+
 def repeated_spans(docs: DataFrame, keep_first: bool = True) -> DataFrame:
-    """row, begin, end (bytes, may overlap) of repeats; docs has doc_id, row, text.
+    """doc_id, row, begin, end (bytes, may overlap) of repeats; docs has doc_id, row, text.
 
     Windows of LENGTH bytes are grouped by anchors; only anchors that occur again are followed. Contexts
     of an anchor are suffix-sorted together. An anchor with more than GROUP contexts is split by the
@@ -262,22 +276,22 @@ def repeated_spans(docs: DataFrame, keep_first: bool = True) -> DataFrame:
     out = []
     spans, compare = _round(items, keep_first)
     out.append(spans)
-    wanted = materialize(compare.join(items.drop("doc_id"), ["h", "c", "row", "start"]), "contexts")
-    cuts = wanted.groupBy("row").agg(F.collect_list(F.struct("h", "contexts", "start", "shift", "width", "size")).alias("cuts"))
+    wanted = _contexts(compare, items)
+    cuts = wanted.groupBy(*_ROW).agg(F.collect_list(F.struct("h", "contexts", "start", "shift", "width", "size")).alias("cuts"))
     text = F.encode("text", "utf-8")
-    held = docs.join(cuts, "row").select("doc_id", "row", text.alias("bytes"), F.explode("cuts").alias("cut")).select(
-        "doc_id", "row", "cut.*", F.expr("substring(bytes, cut.start + 1, cut.size)").alias("context"))
+    held = docs.join(cuts, list(_ROW)).select(*_ROW, text.alias("bytes"), F.explode("cuts").alias("cut")).select(
+        *_ROW, "cut.*", F.expr("substring(bytes, cut.start + 1, cut.size)").alias("context"))
     held = materialize(held, "contexts")
     for width in (*WIDTHS[1:], None):
         small = held.filter(F.col("contexts") <= GROUP)
-        out.append(_sorted_rows(small.repartition(tasks(docs.sparkSession), "h").sortWithinPartitions("h", "row", "start"), keep_first))
+        out.append(_sorted_rows(small.repartition(tasks(docs.sparkSession), "h").sortWithinPartitions("h", *_ROW, "start"), keep_first))
         large = held.filter(F.col("contexts") > GROUP)
         if width is None or large.isEmpty():
             break
         items = materialize(_resplit(large.drop("contexts", "h"), width), "anchors")
         spans, compare = _round(items.drop("context"), keep_first)
         out.append(spans)
-        held = materialize(compare.join(items, ["h", "c", "row", "start"]), "contexts")
+        held = _contexts(compare, items)
     found = out[0]
     for more in out[1:]:
         found = found.unionByName(more)
@@ -288,21 +302,33 @@ def remove_repeats(docs: DataFrame, keep_first: bool = True, doc_id: str = "doc_
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes) of every document row.
 
     Texts are UTF-8 bytes, null is empty. A byte goes if a LENGTH-byte string over it also begins
-    earlier (smaller row, then offset; rows in input order), or, without `keep_first`, anywhere else. Overlapping copies count and
-    all strings are judged on the input. Texts shorter than LENGTH stay whole. Repeated rows and ids
-    are rows of their own.
+    earlier (smaller doc_id, null first, then hash of the text, then offset), or, without `keep_first`,
+    anywhere else. Overlapping copies count and all strings are judged on the input. Texts shorter than
+    LENGTH stay whole. Of rows equal in id and text one is the first, the others copies of it.
+
+    A row is known by its id and a hash of its text, so that scans dealt out differently, as after a lost
+    executor, agree on it.
     """
     bound_batches(docs.sparkSession)
-    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    given = given.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", "text")
-    spans = repeated_spans(given, keep_first).groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    joined = given.join(spans, "row", "left").select("doc_id", "text", "spans")
+    given = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+    given = given.withColumn("row", F.xxhash64("text")).select(*_ROW, "text")
+    spans = repeated_spans(given, keep_first).groupBy(*_ROW).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    joined = given.join(spans, list(_ROW), "left")
+    if keep_first:  # all but one of equal rows go whole
+        twins = materialize(given.groupBy(*_ROW).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*_ROW), "twins")
+        once = Window.partitionBy(*_ROW).orderBy("row")
+        whole = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.octet_length("text").cast("long").alias("end")))
+        copy = (F.row_number().over(once) > 1) & (F.octet_length("text") >= LENGTH)
+        paired = joined.join(twins, list(_ROW), "left_semi").withColumn("spans", F.when(copy, whole).otherwise(F.col("spans")))
+        joined = joined.join(twins, list(_ROW), "left_anti").unionByName(paired)
+    joined = joined.select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [_cut(t.encode(), s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())]
             columns = list(zip(*out)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]),
+            ids = [None if i == _NO_ID else i for i in batch.column("doc_id").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.int64()) for c in columns[:3]),
                                               pa.array(columns[3], pa.binary())],
                                              names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 

@@ -98,6 +98,34 @@ def test_repeats_of_long_rows_and_empty_table(spark, nothing, monkeypatch):
     assert repeats.remove_repeats(nothing).count() == 0
 
 
+def test_repeats_when_executors_come_and_go(spark, tmp_path, monkeypatch):
+    passage = prose(90)
+    rows = [(i, (prose(30) + " " + passage if i % 3 else prose(60)) + f" {i}") for i in range(80)] + [(5, passage), (5, passage), (None, passage)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(40).write.parquet(str(tmp_path / "docs"))
+    stored, steps = repeats.materialize, []
+
+    def shifting(df, name):
+        out = stored(df, name)
+        steps.append(name)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", str(1 + 5 * (len(steps) % 3)))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1m" if len(steps) % 2 else "128m")
+        return out
+
+    monkeypatch.setattr(repeats, "materialize", shifting)
+    try:
+        for first in (False, True):
+            got = repeats.remove_repeats(spark.read.parquet(str(tmp_path / "docs")), keep_first=first).collect()
+            order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+            want = repeats_plainly([t for _, t in order], first)
+            if first:  # which of the rows with id 5 comes first is a matter of equal rows
+                assert collections.Counter((r[0], *r[1:4]) for r in got) == collections.Counter((o[0], *w[:3]) for o, w in zip(order, want))
+            else:
+                assert collections.Counter((r[0], *r[1:4], bytes(r[4])) for r in got) == collections.Counter((o[0], *w) for o, w in zip(order, want))
+    finally:
+        for key in ("spark.sql.leafNodeDefaultParallelism", "spark.sql.files.maxPartitionBytes"):
+            spark.conf.unset(key)
+
+
 def test_previous_and_next_smaller():
     values = np.array([RND.randrange(50) for _ in range(200)])
     before, after = repeats.previous_and_next_smaller(values)
