@@ -11,6 +11,8 @@ from segmentry.contracts import assert_unique
 from segmentry.session import materialize
 
 _RN = "__rn"
+#: Segments at most where one value of each is looked up: sweeps try far fewer clusters.
+SEGMENTS = 5_000
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str | Column]) -> DataFrame:
@@ -57,6 +59,18 @@ def small_join(left: DataFrame, right: DataFrame, key: str | Sequence[str], how:
     return left.join(right, [key] if isinstance(key, str) else list(key), how)
 
 
+def per_segment(table: DataFrame, key: str, value: Column, limit: int = SEGMENTS) -> Column:
+    """`value` of the row of `table` with each key, as one map for all rows: nothing is shuffled to look it up.
+
+    `table` has one row per segment; more than `limit` of them raise an error when the plan runs.
+    """
+    entries = F.collect_list(F.struct(F.col(key), value))
+    message = F.lit(f"more than {limit} rows in a table of one row per {key}")
+    looked_up = table.filter(F.col(key).isNotNull()).agg(
+        F.when(F.count(F.lit(1)) > limit, F.raise_error(message)).otherwise(F.map_from_entries(entries)).alias("m")).scalar()
+    return F.try_element_at(looked_up, F.col(key))
+
+
 def number_rows(df: DataFrame, order: Sequence[str | Column], column: str = "row_index",
                 partitions: int | None = None) -> DataFrame:
     """Consecutive numbers 1..n over the whole table in `order`, without one big task.

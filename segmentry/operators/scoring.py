@@ -11,7 +11,7 @@ from segmentry.contracts import assert_unique, require_columns
 from segmentry.functions import constants as K
 from segmentry.functions.columns import clip01, round_even, to_number
 from segmentry.functions.text import capitalize
-from segmentry.operators.rows import lookup_join, small_join, top_per_key
+from segmentry.operators.rows import lookup_join, per_segment, top_per_key
 
 SUMMARY_COLUMNS = (
     "cluster_id", "game_count", "developer_count", "average_rating", "median_rating_count",
@@ -103,11 +103,11 @@ def representative_score(position: Column, rating: Column, log_count: Column,
 
 
 def score_representatives(games: DataFrame) -> DataFrame:
-    """Games with `representative_score`; segment maxima join as a small table."""
+    """Games with `representative_score`; segment maxima come as one map, so games stay where they are."""
     log_count = F.log1p(F.coalesce(to_number(F.col("rating_count")), F.lit(0.0)))
     scored = games.withColumn("__log", log_count)
     peaks = scored.groupBy("cluster_id").agg(F.max("__log").alias("__peak"))
-    joined = small_join(scored, peaks, "cluster_id")
+    joined = scored.withColumn("__peak", per_segment(peaks, "cluster_id", F.col("__peak")))
     score = representative_score(to_number(F.col("chart_position")), to_number(F.col("average_rating")),
                                  F.col("__log"), F.col("__peak"))
     return joined.withColumn("representative_score", score).drop("__log", "__peak")
