@@ -1,16 +1,19 @@
-"""TF-IDF as a long table (doc, term, weight), and what is computed from it.
+"""TF-IDF on packed rows: every text is cleaned and tokenised once, for all profiles together.
 
-Plan: documents are hash-partitioned once on their key; exploding, counting terms
-per document and the row norm all keep that partitioning, so no (doc, term) row is
-shuffled. Only per-term partial counts travel. The vocabulary holds at most
-`max_features` rows, which bounds what is broadcast.
+Plan: one scan turns texts into rows of terms and counts, written without the texts. Document
+frequencies of all profiles come from one map-side combined pass over these rows. The vocabularies
+(at most `max_features` terms each) then turn every row into column numbers and weights. A document
+stays one row throughout; only counts and sums per term travel.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,8 +21,7 @@ from pyspark.sql import types as T
 
 from segmentry.functions import constants as K
 from segmentry.functions.columns import let
-from segmentry.operators.rows import small_join
-from segmentry.session import materialize
+from segmentry.session import materialize, scratch_path
 
 
 @dataclass(frozen=True)
@@ -32,6 +34,11 @@ class Profile:
     max_features: int
     stopwords: Sequence[str] = K.ENGLISH_STOPWORDS
 
+    @property
+    def tokenizer(self) -> tuple[str, tuple[str, ...]]:
+        """What decides the tokens: profiles that agree on it share them."""
+        return self.token_pattern, tuple(self.stopwords)
+
 
 # The four profiles.
 CATALOG = Profile(K.WORD_TOKEN, min_df=3, max_df=0.70, max_features=6000)
@@ -39,6 +46,11 @@ REVIEWS = Profile(K.REVIEW_TOKEN, min_df=2, max_df=0.80, max_features=5000)
 COHERENCE = Profile(K.DEFAULT_TOKEN, min_df=2, max_df=0.80, max_features=5000)
 EMBEDDING_KEYWORDS = Profile(K.WORD_TOKEN, min_df=2, max_df=0.75, max_features=6000)
 
+#: Values of the cluster centres (clusters x terms) that rows are compared with at most.
+CENTRE_VALUES = 4_000_000
+
+
+# --- packed rows ----------------------------------------------------------------------------
 
 def tokens(text: Column, profile: Profile) -> Column:
     """Lower-case tokens without stopwords."""
@@ -55,46 +67,197 @@ def unigrams_and_bigrams(words: Column) -> Column:
         lambda a, b: F.concat(a, F.lit(" "), b))))
 
 
+def _flat(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Values of a list column and the row of each; a null list is empty."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return column.flatten(), np.repeat(np.arange(len(column)), lengths)
+
+
+def _lists(rows: np.ndarray, size: int, values: pa.Array) -> pa.ListArray:
+    """A list column of `size` rows from values in order of their row."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(size + 1)).astype(np.int32)), values)
+
+
+def _counted(words: pa.Array) -> tuple[pa.ListArray, pa.ListArray]:
+    """Distinct words and pairs of neighbouring words of every row, and how often each stands there."""
+    flat, row = _flat(words)
+    flat = flat.cast(pa.large_string())
+    near = np.flatnonzero(row[1:] == row[:-1])
+    pairs = pc.binary_join_element_wise(flat.take(pa.array(near)), flat.take(pa.array(near + 1)), pa.scalar(" ", pa.large_string()))
+    coded = pc.dictionary_encode(pa.concat_arrays([flat, pairs]))
+    terms = coded.dictionary
+    place = np.concatenate([row, row[near]]).astype(np.int64) * max(len(terms), 1) + coded.indices.to_numpy()
+    place, counts = np.unique(place, return_counts=True)
+    rows, codes = np.divmod(place, max(len(terms), 1))
+    return (_lists(rows, len(words), terms.take(pa.array(codes)).cast(pa.string())),
+            _lists(rows, len(words), pa.array(counts.astype(np.int32))))
+
+
+def packed_terms(docs: DataFrame, text: str, profiles: Sequence[Profile], keep: Sequence[str]) -> DataFrame:
+    """One row per document: the columns `keep`, and terms_i, counts_i for each different tokenizer i.
+
+    Texts are read and cleaned once and go no further; nothing is shuffled.
+    """
+    different = list({p.tokenizer: p for p in profiles}.values())
+    words = docs.select(*keep, F.col(text).alias("__text")).select(
+        *keep, *(tokens(F.col("__text"), p).alias(f"__words_{i}") for i, p in enumerate(different)))
+    kept = words.select(*keep).schema
+    schema = T.StructType([*kept.fields, *(f for i in range(len(different)) for f in (
+        T.StructField(f"terms_{i}", T.ArrayType(T.StringType())), T.StructField(f"counts_{i}", T.ArrayType(T.IntegerType()))))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counted = [c for i in range(len(different)) for c in _counted(batch.column(len(kept) + i))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], *counted], names=schema.names)
+
+    return words.mapInArrow(run, schema)
+
+
+def _tokenizer(profiles: Sequence[Profile], profile: Profile) -> int:
+    return list(dict.fromkeys(p.tokenizer for p in profiles)).index(profile.tokenizer)
+
+
 def term_counts(docs: DataFrame, key: str, text: str, profile: Profile,
                 extra: Sequence[str] = ()) -> DataFrame:
-    """(key, extra.., term, tf). `key` must be unique per document."""
-    placed = docs.select(key, *extra, text).repartition(F.col(key))
-    exploded = placed.select(key, *extra, F.explode(
-        unigrams_and_bigrams(tokens(F.col(text), profile))).alias("term"))
-    return exploded.groupBy(key, *extra, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, extra.., term, tf), one row per document and term, from packed rows where they are."""
+    rows = packed_terms(docs, text, [profile], [key, *extra])
+    return rows.select(key, *extra, F.explode(F.arrays_zip("terms_0", "counts_0")).alias("t")).select(
+        key, *extra, F.col("t.terms_0").alias("term"), F.col("t.counts_0").cast("long").alias("tf"))
 
 
-def vocabulary(counts: DataFrame, docs: DataFrame, profile: Profile) -> DataFrame:
-    """Kept terms (term, df, total, idf), at most `max_features` of them.
+# --- vocabularies ---------------------------------------------------------------------------
 
-    Terms outside the document-frequency limits go first; then the largest total
-    counts stay, ties by term.
-    """
-    n_docs = docs.agg(F.count(F.lit(1))).scalar()
+def vocabulary(counts: DataFrame, docs: DataFrame, profile: Profile) -> DataFrame:
+    """Kept terms (term, df, total, idf), at most `max_features` of them, from (term, tf) rows."""
     stats = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    kept = (stats.withColumn("__n", n_docs)
+    return _kept_terms(stats, docs.agg(F.count(F.lit(1))).scalar(), profile)
+
+
+def _kept_terms(stats: DataFrame, documents: Column, profile: Profile) -> DataFrame:
+    """Terms outside the document-frequency limits go first; then the largest totals stay, ties by term."""
+    kept = (stats.withColumn("__n", documents)
             .filter((F.col("df") >= profile.min_df) & (F.col("df") <= profile.max_df * F.col("__n"))))
     idf = F.log((F.lit(1.0) + F.col("__n")) / (F.lit(1.0) + F.col("df"))) + 1.0
     return (kept.withColumn("idf", idf).drop("__n")
             .orderBy(F.desc("total"), "term").limit(profile.max_features))
 
 
-def weigh(counts: DataFrame, vocab: DataFrame, key: str, extra: Sequence[str] = (),
-          carry: Sequence[str] = ()) -> DataFrame:
-    """(key, extra.., term, carry.., weight): sublinear tf x idf, rows of length 1."""
-    raw = (counts.join(F.broadcast(vocab.select("term", "idf", *carry)), "term")
-           .withColumn("raw", (F.lit(1.0) + F.log(F.col("tf"))) * F.col("idf")))
-    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-    return raw.select(key, *extra, "term", *carry, (F.col("raw") / length).alias("weight"))
+def vocabularies(rows: DataFrame, profiles: Sequence[Profile]) -> list[pa.Table]:
+    """Vocabulary of every profile (term, df, total, idf) by term, from one pass over packed rows."""
+    n = rows.count()
+    different = len({p.tokenizer for p in profiles})
+
+    def tagged(i: int) -> Column:
+        return F.transform(F.arrays_zip(f"terms_{i}", f"counts_{i}"), lambda t: F.struct(
+            F.lit(i).alias("tokenizer"), t[f"terms_{i}"].alias("term"), t[f"counts_{i}"].alias("tf")))
+
+    stats = rows.select(F.explode(F.concat(*map(tagged, range(different)))).alias("t")).groupBy("t.tokenizer", "t.term").agg(
+        F.count(F.lit(1)).alias("df"), F.sum("t.tf").alias("total"))
+    stats = materialize(stats.filter(F.col("df") >= min(p.min_df for p in profiles)), "terms")
+    return [_kept_terms(stats.filter(F.col("tokenizer") == _tokenizer(profiles, p)).drop("tokenizer"), F.lit(n), p)
+            .toArrow().sort_by("term") for p in profiles]
+
+
+# --- weights --------------------------------------------------------------------------------
+
+@dataclass(frozen=True)
+class Fitted:
+    """A fitted profile: vocabulary with column numbers, and rows of column numbers and weights."""
+
+    vocabulary: DataFrame  # index, term, df, total, idf
+    entries: DataFrame  # key, kept columns, indices, values
+    size: int
+    key: str
+    keep: tuple[str, ...] = ()
+
+    @property
+    def weights(self) -> DataFrame:
+        """(key, kept columns.., term, weight): one row per document and term; nothing is shuffled."""
+        long = self.entries.select(self.key, *self.keep, F.explode(F.arrays_zip("indices", "values")).alias("e"))
+        # at most `max_features` rows
+        terms = F.broadcast(self.vocabulary.select("index", "term"))
+        return (long.select(self.key, *self.keep, F.col("e.indices").alias("index"), F.col("e.values").alias("weight"))
+                .join(terms, "index").select(self.key, *self.keep, "term", "weight"))
+
+    def features(self) -> DataFrame:
+        """Sparse ML vectors (key, features)."""
+        return to_vectors(self.entries, self.key, self.size)
+
+
+def weighed(rows: DataFrame, keep: Sequence[str], terms: pa.Array, idf: np.ndarray, tokenizer: int = 0) -> DataFrame:
+    """Packed rows as (keep.., indices, values): sublinear tf x idf of the vocabulary's terms, rows of length 1.
+
+    Rows without such terms have empty arrays.
+    """
+    kept = rows.select(*keep).schema
+    schema = T.StructType([*kept.fields, T.StructField("indices", T.ArrayType(T.IntegerType())),
+                           T.StructField("values", T.ArrayType(T.DoubleType()))])
+    names = terms.cast(pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, row = _flat(batch.column(len(kept)))
+            counts = _flat(batch.column(len(kept) + 1))[0].to_numpy(zero_copy_only=False)
+            found = pc.fill_null(pc.index_in(words, names), -1).to_numpy(zero_copy_only=False)
+            known = found >= 0
+            row, index, raw = row[known], found[known], (1.0 + np.log(counts[known])) * idf[found[known]]
+            length = np.sqrt(np.bincount(row, raw * raw, batch.num_rows))
+            order = np.lexsort((index, row))
+            row, index, raw = row[order], index[order], raw[order]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:len(kept)], _lists(row, batch.num_rows, pa.array(index.astype(np.int32))),
+                 _lists(row, batch.num_rows, pa.array(raw / length[row]))], names=schema.names)
+
+    return rows.select(*keep, f"terms_{tokenizer}", f"counts_{tokenizer}").mapInArrow(run, schema)
+
+
+def fit_all(docs: DataFrame, key: str, text: str, profiles: Sequence[Profile], keep: Sequence[str] = (),
+            min_features: int = 0) -> list[Fitted]:
+    """Fit several profiles in one scan of the texts; `keep` names columns that stay with every row.
+
+    Packed rows and weights are written once to the shared folder, since later stages (SVD, KMeans,
+    keywords, similarities) make many passes. Too few terms in a vocabulary raise ValueError.
+    """
+    spark = docs.sparkSession
+    columns = list(dict.fromkeys([key, *keep]))
+    rows = materialize(packed_terms(docs, text, profiles, columns), "terms-of-texts")
+    out = []
+    for profile, vocab in zip(profiles, vocabularies(rows, profiles)):
+        if vocab.num_rows < min_features:
+            raise ValueError(f"too few usable text features: {vocab.num_rows}, need {min_features}")
+        table = vocab.add_column(0, "index", pa.array(np.arange(vocab.num_rows, dtype=np.int32)))
+        entries = weighed(rows, columns, vocab["term"].combine_chunks(), vocab["idf"].to_numpy(), _tokenizer(profiles, profile))
+        out.append(Fitted(spark.createDataFrame(table), materialize(entries, "weights"), vocab.num_rows, key,
+                          tuple(c for c in columns if c != key)))
+    return out
+
+
+def fit(docs: DataFrame, key: str, text: str, profile: Profile, min_features: int = 10, keep: Sequence[str] = ()) -> Fitted:
+    """Fit one profile; too few terms raise ValueError."""
+    return fit_all(docs, key, text, [profile], keep, min_features)[0]
 
 
 def tfidf(docs: DataFrame, key: str, text: str, profile: Profile = CATALOG,
           extra: Sequence[str] = ()) -> DataFrame:
-    """Long TF-IDF table of a corpus; documents without kept terms have no rows."""
-    counts = term_counts(docs, key, text, profile, extra)
-    return weigh(counts, vocabulary(counts, docs, profile), key, extra)
+    """Long TF-IDF table (key, extra.., term, weight); documents without kept terms have no rows."""
+    return fit_all(docs, key, text, [profile], extra)[0].weights
 
 
+def to_vectors(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """(key, features): sparse ML vectors of (indices, values).
+
+    They are written in the stored form of Spark's vector type and read back as such, so no row passes
+    through Python or text.
+    """
+    stored = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), "indices", "values").alias("features")
+    path = scratch_path(rows.sparkSession, "vectors")
+    rows.select(key, stored).write.parquet(path)
+    schema = T.StructType([rows.schema[key], T.StructField("features", VectorUDT())])
+    return rows.sparkSession.read.schema(schema).parquet(path)
+
+
+# --- clusters -------------------------------------------------------------------------------
+
 def cluster_term_means(weights: DataFrame, docs: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     """Mean weight of each term over all documents of a cluster (zeros count)."""
     sizes = docs.groupBy(cluster).agg(F.count(F.lit(1)).alias("cluster_size"))
@@ -133,77 +296,50 @@ def coherence(weights: DataFrame, docs: DataFrame, cluster: str = "cluster_id")
     return sizes.join(lengths, cluster, "left").select(cluster, value.alias("semantic_coherence"))
 
 
-def centre_similarity(weights: DataFrame, centres: DataFrame, docs: DataFrame, key: str,
-                      cluster: str = "cluster_id") -> DataFrame:
-    """Cosine of each document to the centre of its cluster: (key, cluster, similarity).
+def member_centres(entries: DataFrame, size: int, cluster: str = "cluster_id") -> dict[int, np.ndarray]:
+    """Mean row of each cluster: sums per (cluster, column) combine map-side, one vector a cluster returns."""
+    cells = entries.select(cluster, F.explode(F.arrays_zip("indices", "values")).alias("e"))
+    sums = cells.groupBy(cluster, "e.indices").agg(F.sum("e.values").alias("s"))
+    counts = entries.groupBy(cluster).agg(F.count(F.lit(1)).alias("n")).filter(F.col(cluster).isNotNull()).limit(
+        CENTRE_VALUES // max(size, 1) + 1).toArrow()
+    _check_centres(counts.num_rows, size)
+    out = {c: np.zeros(size) for c in counts[cluster].to_pylist()}
+    rows = sums.filter(F.col(cluster).isNotNull()).toArrow()
+    owners, columns, values = rows[cluster].to_numpy(), rows["indices"].to_numpy(), rows["s"].to_numpy()
+    for c, n in zip(counts[cluster].to_pylist(), counts["n"].to_pylist()):
+        mine = owners == c
+        out[c][columns[mine]] = values[mine] / n
+    return out
 
-    `centres` is (cluster, term, mean_weight). A document without terms, or a zero
-    centre, has similarity 0. Sums of one document stay in its partition.
-    """
-    length = F.sqrt(F.sum(F.col("mean_weight") * F.col("mean_weight")))
-    lengths = centres.groupBy(cluster).agg(length.alias("centre_length"))
-    dots = (small_join(weights, centres, [cluster, "term"])
-            .groupBy(key).agg(
-                F.sum(F.col("weight") * F.coalesce("mean_weight", F.lit(0.0))).alias("dot"),
-                F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("row_length")))
-    scale = F.col("row_length") * F.col("centre_length")
-    return (small_join(docs.select(key, cluster).join(dots, key, "left"), lengths, cluster)
-            .select(key, cluster, F.when(scale > 0, F.col("dot") / scale).otherwise(0.0).alias("similarity")))
 
+def _check_centres(clusters: int, size: int) -> None:
+    if clusters * size > CENTRE_VALUES:
+        raise ValueError(f"centres of {clusters} clusters x {size} terms, more than {CENTRE_VALUES} values")
 
-def indexed_vocabulary(vocab: DataFrame) -> DataFrame:
-    """Vocabulary with a column number per term (at most `max_features` rows, so one task)."""
-    return vocab.withColumn("index", F.row_number().over(Window.orderBy("term")) - 1)
-
-
-def entries(weights: DataFrame, docs: DataFrame, key: str) -> DataFrame:
-    """(key, indices, values): one sparse row per document, from weights with `index`.
-
-    A document without terms has empty arrays; none has more than the vocabulary.
-    """
-    packed = weights.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("index", "weight"))).alias("e"))
-    return docs.select(key).join(packed, key, "left").select(
-        key, F.coalesce(F.col("e.index"), F.array().cast("array<int>")).alias("indices"),
-        F.coalesce(F.col("e.weight"), F.array().cast("array<double>")).alias("values"))
 
+def centre_similarity(entries: DataFrame, centres: dict[int, np.ndarray], key: str, cluster: str = "cluster_id") -> DataFrame:
+    """Cosine of each document to the centre of its cluster: (key, cluster, similarity).
 
-def to_vectors(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """(key, features): sparse ML vectors of `entries`.
-
-    Spark reads them from the stored form of its vector type, so no row passes
-    through Python.
-    """
-    stored = F.struct(F.struct(F.lit(0).alias("type"), F.lit(size).alias("size"), "indices", "values").alias("v"))
-    schema = T.StructType([T.StructField("v", VectorUDT())])
-    return rows.select(key, F.from_json(F.to_json(stored), schema)["v"].alias("features"))
-
-
-@dataclass(frozen=True)
-class Fitted:
-    """A fitted profile: vocabulary with column numbers, weights, sparse rows."""
-
-    vocabulary: DataFrame
-    weights: DataFrame
-    entries: DataFrame
-    size: int
-    key: str
-
-    def features(self) -> DataFrame:
-        """Sparse ML vectors (key, features)."""
-        return to_vectors(self.entries, self.key, self.size)
-
-
-def fit(docs: DataFrame, key: str, text: str, profile: Profile, min_features: int = 10) -> Fitted:
-    """Fit a profile and write vocabulary, weights and rows once to the shared folder.
-
-    Later stages (SVD, KMeans, keywords, similarities) make many passes; they read
-    what is written instead of cleaning and counting the texts again. Too few terms
-    raise ValueError.
+    `entries` is (key, cluster, indices, values), `centres` cluster -> vector. A document without terms or
+    cluster, or a zero centre, has similarity 0. Rows stay where they are; centres, of bounded size, go to
+    the tasks.
     """
-    counts = term_counts(docs, key, text, profile)
-    vocab = materialize(indexed_vocabulary(vocabulary(counts, docs, profile)), "vocabulary")
-    size = vocab.count()
-    if size < min_features:
-        raise ValueError(f"too few usable text features: {size}, need {min_features}")
-    weights = materialize(weigh(counts, vocab, key, carry=("index",)), "weights")
-    return Fitted(vocab, weights, materialize(entries(weights, docs, key), "entries"), size, key)
+    _check_centres(len(centres), max((len(c) for c in centres.values()), default=0))
+    place = {c: i for i, c in enumerate(centres)}
+    matrix = np.array([*centres.values(), np.zeros(max((len(c) for c in centres.values()), default=1))])
+    length = np.linalg.norm(matrix, axis=1)
+    shared = entries.sparkSession.sparkContext.broadcast((place, matrix, length))
+    schema = T.StructType([entries.schema[key], entries.schema[cluster], T.StructField("similarity", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, matrix, length = shared.value
+        for batch in batches:
+            index, row = _flat(batch.column(2))
+            weight = _flat(batch.column(3))[0].to_numpy(zero_copy_only=False)
+            own = np.array([place.get(c, len(place)) for c in batch.column(1).to_pylist()], np.int64)
+            dot = np.bincount(row, weight * matrix[own[row], index.to_numpy(zero_copy_only=False)], batch.num_rows)
+            scale = np.sqrt(np.bincount(row, weight * weight, batch.num_rows)) * length[own]
+            value = np.divide(dot, scale, out=np.zeros(batch.num_rows), where=scale > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value)], names=schema.names)
+
+    return entries.select(key, cluster, "indices", "values").mapInArrow(run, schema)

@@ -30,31 +30,20 @@ class PainPoints:
     model: KMeansModel
 
 
-def pain_point_table(negatives: DataFrame, weights: DataFrame, centres: DataFrame | None = None,
+def pain_point_table(negatives: DataFrame, fitted: T.Fitted, centres: dict[int, np.ndarray] | None = None,
                      key: str = KEY, keywords: int = 10, examples: int = 4) -> DataFrame:
     """Summary per pain point: counts, keywords, representative reviews.
 
-    `negatives` holds key, app_id, review_text, review_rating, pain_point_id;
-    `weights` holds key, term, weight. Without fitted `centres` (pain_point_id,
-    term, mean_weight) the means of the members serve as centres.
+    `negatives` holds key, app_id, review_text, review_rating, pain_point_id; the rows of `fitted` carry
+    pain_point_id. Without the model's `centres` the means of the members serve as centres.
     """
-    labelled = weights.join(negatives.select(key, "pain_point_id"), key)
-    if centres is None:
-        centres = materialize(T.cluster_term_means(labelled, negatives, "pain_point_id"), "centres")
-    near = T.centre_similarity(labelled, centres, negatives, key, "pain_point_id")
+    centres = T.member_centres(fitted.entries, fitted.size, "pain_point_id") if centres is None else centres
+    near = T.centre_similarity(fitted.entries, centres, key, "pain_point_id")
     return (R.pain_point_statistics(negatives)
-            .join(T.cluster_keywords(labelled, negatives, keywords, "pain_point_id"), "pain_point_id", "left")
+            .join(T.cluster_keywords(fitted.weights, fitted.entries, keywords, "pain_point_id"), "pain_point_id", "left")
             .join(R.representative_reviews(near, negatives, key, examples), "pain_point_id", "left"))
 
 
-def model_centres(model: KMeansModel, vocabulary: DataFrame) -> DataFrame:
-    """Fitted centres as (pain_point_id, term, mean_weight): at most k x max_features rows."""
-    rows = clusters.centre_table(model, vocabulary.sparkSession)
-    long = rows.select(F.col("cluster_id").alias("pain_point_id"), F.posexplode("centre").alias("index", "mean_weight"))
-    return (long.filter(F.col("mean_weight") != 0).join(vocabulary.select("index", "term"), "index")
-            .select("pain_point_id", "term", "mean_weight"))
-
-
 def build_pain_points(reviews: DataFrame, clustered: DataFrame, order: Sequence[str | Column],
                       ks: Sequence[int] = range(3, 11), restarts: int = 30, final_restarts: int = 50,
                       min_reviews: int = 20, min_cluster: int = 10,

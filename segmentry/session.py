@@ -19,6 +19,8 @@ SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "10MB",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # documents may be long: Arrow batches are bounded by bytes too
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
 }
 
 

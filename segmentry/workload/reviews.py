@@ -27,8 +27,7 @@ def _segments(spark: SparkSession, folder: str) -> DataFrame:
 def _pain_points(spark: SparkSession, folder: str) -> DataFrame:
     """Pain-point summary of the negative document reviews, with keywords and examples."""
     docs = materialize(negatives(spark, folder), "negatives")
-    weights = materialize(T.tfidf(docs, "doc_id", "cleaned_review", T.REVIEWS), "weights")
-    return pain_point_table(docs, weights, key="doc_id")
+    return pain_point_table(docs, T.fit(docs, "doc_id", "cleaned_review", T.REVIEWS, 0, ["pain_point_id"]), key="doc_id")
 
 
 # ---------------------------------------------------------------- queries

@@ -13,6 +13,7 @@ from segmentry.workload import views as V
 from segmentry.workload.text import CORPUS, SQL_COHERENCE, TITLE_SQL, corpus, quoted, sql_keywords, sql_tfidf
 from segmentry.workload.views import table
 
+GAME_COLUMNS = ("cluster_id", "title", "developer", "chart_type", "chart_position", "average_rating", "rating_count")
 TIE = ("app_id", "chart_type", "entry", "chart_position", "seller")
 
 
@@ -30,14 +31,14 @@ def market_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def text_segments(spark: SparkSession, folder: str) -> DataFrame:
-    """Segments of the described games, everything from the whole texts."""
-    docs = corpus(spark, folder)
-    keywords = T.cluster_keywords(T.tfidf(docs, "doc_id", "cleaned_text", T.CATALOG, ["cluster_id"]), docs)
+    """Segments of the described games, everything from the whole texts, which are read once."""
+    catalog, coherent = T.fit_all(corpus(spark, folder), "doc_id", "cleaned_text", [T.CATALOG, T.COHERENCE], GAME_COLUMNS)
+    docs = catalog.entries
+    keywords = T.cluster_keywords(catalog.weights, docs)
     summary = (scoring.with_median(scoring.segment_profile(docs), docs)
                .join(scoring.representative_games(docs, 5, ("doc_id",)), "cluster_id", "left")
                .join(keywords, "cluster_id", "left"))
-    weights = T.tfidf(docs, "doc_id", "cleaned_text", T.COHERENCE, ["cluster_id"])
-    return scoring.with_coherence(summary, T.coherence(weights, docs))
+    return scoring.with_coherence(summary, T.coherence(coherent.weights, coherent.entries))
 
 
 SCORE_OUTPUT = (
@@ -106,8 +107,8 @@ def score_breakdown(spark: SparkSession, folder: str) -> DataFrame:
 def summary_join(spark: SparkSession, folder: str) -> DataFrame:
     """Statistics, concentration and coherence of one row per segment each, keys checked."""
     charts = V.charts(spark, folder)
-    docs = corpus(spark, folder)
-    coherence = T.coherence(T.tfidf(docs, "doc_id", "cleaned_text", T.COHERENCE, ["cluster_id"]), docs)
+    fitted = T.fit(corpus(spark, folder), "doc_id", "cleaned_text", T.COHERENCE, 0, ["cluster_id"])
+    coherence = T.coherence(fitted.weights, fitted.entries)
     joined = scoring.with_concentration(
         scoring.segment_statistics(charts), scoring.developer_concentration(charts), check=True)
     return scoring.with_coherence(joined, coherence, check=True).select(

@@ -103,11 +103,10 @@ def negatives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _term_report(docs: DataFrame, key: str, text: str, profile: T.Profile) -> DataFrame:
-    counts = T.term_counts(docs, key, text, profile)
-    vocab = T.vocabulary(counts, docs, profile)
-    weights = T.weigh(counts, vocab, key, carry=("df", "total"))
-    return weights.groupBy("term", "df", "total").agg(
+    fitted = T.fit(docs, key, text, profile, 0)
+    sums = fitted.weights.groupBy("term").agg(
         F.round(F.sum("weight"), 6).alias("weight_sum"), F.round(F.max("weight"), 6).alias("weight_max"))
+    return sums.join(fitted.vocabulary.select("term", "df", "total"), "term")
 
 
 def _sql_report(prefix: str, docs: str, key: str, text: str, profile: T.Profile) -> str:
@@ -183,21 +182,19 @@ def tfidf_embedding_keywords(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def segment_keywords(spark: SparkSession, folder: str) -> DataFrame:
-    docs = corpus(spark, folder)
-    return T.cluster_keywords(T.tfidf(docs, "doc_id", "cleaned_text", T.CATALOG, ["cluster_id"]), docs)
+    fitted = T.fit(corpus(spark, folder), "doc_id", "cleaned_text", T.CATALOG, 0, ["cluster_id"])
+    return T.cluster_keywords(fitted.weights, fitted.entries)
 
 
 def segment_coherence(spark: SparkSession, folder: str) -> DataFrame:
-    docs = corpus(spark, folder)
-    weights = T.tfidf(docs, "doc_id", "cleaned_text", T.COHERENCE, ["cluster_id"])
-    out = T.coherence(weights, docs)
+    fitted = T.fit(corpus(spark, folder), "doc_id", "cleaned_text", T.COHERENCE, 0, ["cluster_id"])
+    out = T.coherence(fitted.weights, fitted.entries)
     return out.select("cluster_id", F.round("semantic_coherence", 9).alias("semantic_coherence"))
 
 
 def pain_point_keywords(spark: SparkSession, folder: str) -> DataFrame:
-    docs = negatives(spark, folder)
-    weights = T.tfidf(docs, "doc_id", "cleaned_review", T.REVIEWS, ["pain_point_id"])
-    return T.cluster_keywords(weights, docs, 10, "pain_point_id")
+    fitted = T.fit(negatives(spark, folder), "doc_id", "cleaned_review", T.REVIEWS, 0, ["pain_point_id"])
+    return T.cluster_keywords(fitted.weights, fitted.entries, 10, "pain_point_id")
 
 
 QUERIES = {f.__name__: f for f in (
