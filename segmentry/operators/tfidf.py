@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from segmentry.functions import constants as K
 from segmentry.functions.columns import let
-from segmentry.session import materialize, scratch_path
+from segmentry.session import materialize
 
 
 @dataclass(frozen=True)
@@ -250,10 +250,8 @@ def to_vectors(rows: DataFrame, key: str, size: int) -> DataFrame:
     through Python or text.
     """
     stored = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), "indices", "values").alias("features")
-    path = scratch_path(rows.sparkSession, "vectors")
-    rows.select(key, stored).write.parquet(path)
     schema = T.StructType([rows.schema[key], T.StructField("features", VectorUDT())])
-    return rows.sparkSession.read.schema(schema).parquet(path)
+    return materialize(rows.select(key, stored), "vectors", schema)
 
 
 # --- clusters -------------------------------------------------------------------------------

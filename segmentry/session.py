@@ -7,6 +7,7 @@ import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -57,13 +58,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
     """Write `df` to the shared folder once and read it back.
 
     Cuts lineage like a checkpoint and survives lost executors, while later
-    readers keep column pruning and filter pushdown.
+    readers keep column pruning and filter pushdown. `schema` may name other types
+    of the same stored form, such as ML vectors.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(schema or df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def release(*stored: DataFrame) -> None:
+    """Delete what `materialize` wrote for these tables, once nothing reads them any more."""
+    for df in stored:
+        if path := getattr(df, "_scratch_path", None):
+            spark = df.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
