@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from segmentry.llm.common import table
 from segmentry.session import materialize
@@ -37,6 +38,29 @@ def meta_terms(docs: DataFrame, columns: list[str]) -> Column:
         F.lit("\u0001none"))) for c in columns))
 
 
+def _slots(terms: Column, size: int) -> Column:
+    """The slots of terms, in order."""
+    return F.array_sort(F.array_distinct(F.transform(terms, lambda t: F.pmod(F.xxhash64(t), F.lit(size)).cast("int"))))
+
+
+def _vector(slots: str, size: int) -> Column:
+    """Slots in the stored form of a sparse ML vector of ones."""
+    return F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), F.col(slots).alias("indices"),
+                    F.transform(slots, lambda _: F.lit(1.0)).alias("values")).alias(slots)
+
+
+def labelled_features(docs: DataFrame, labels: DataFrame, target: str, doc_id: str, text: str, metadata: list[str]) -> DataFrame:
+    """doc_id, order, label, text, meta of every row, written once: the label (null: none) joins slots, not texts."""
+    features = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _slots(text_terms(F.col(text)), TEXT_SLOTS).alias("text"),
+                           _slots(meta_terms(docs, metadata), META_SLOTS).alias("meta"))
+    given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("double").alias("label")).filter(
+        "label in (0.0, 1.0) and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
+    rows = features.join(materialize(given, "labels"), "doc_id", "left").select(
+        "doc_id", F.xxhash64("doc_id").alias("order"), "label", _vector("text", TEXT_SLOTS), _vector("meta", META_SLOTS))
+    vector = lambda name: StructField(name, VectorUDT())
+    return materialize(rows, "features", StructType([*rows.schema.fields[:3], vector("text"), vector("meta")]))
+
+
 def _logit(view: str) -> Column:
     return vector_to_array(f"raw_{view}")[1]
 
@@ -67,20 +91,14 @@ def score(docs: DataFrame, labels: DataFrame, target: str = "quality", doc_id: s
     the labels' mean (0.5 without any). Kept from 0.5. Repeated rows stay; extra columns are ignored.
 
     Fitting takes at most LABELLED labelled rows, those of least hash of doc_id, and all unlabelled ones
-    that a view is sure of; scoring takes all. Features are written once, texts are not shuffled; labels meet features without texts.
+    that a view is sure of; scoring takes all. Features and labels are joined and written once, texts are not
+    shuffled; the rounds are maps over what was written.
     """
-    features = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_terms(F.col(text)).alias("words"),
-                           meta_terms(docs, list(metadata)).alias("marks"))
-    features = HashingTF(inputCol="words", outputCol="text", numFeatures=TEXT_SLOTS, binary=True).transform(features)
-    features = HashingTF(inputCol="marks", outputCol="meta", numFeatures=META_SLOTS, binary=True).transform(features)
-    features = materialize(features.select("doc_id", F.xxhash64("doc_id").alias("order"), "text", "meta"), "features")
-    given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("double").alias("label")).filter(
-        "label in (0.0, 1.0) and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-    given = materialize(given, "labels")
-
-    known = features.select("doc_id", "order").join(given, "doc_id").orderBy("order", "doc_id").limit(LABELLED)
-    picked = materialize(known.dropDuplicates(["doc_id"]).select("doc_id", "label"), "picked")
-    known = materialize(features.join(picked, "doc_id"), "picked").persist()  # LABELLED rows
+    rows = labelled_features(docs, labels, target, doc_id, text, list(metadata))
+    marked = rows.filter("label is not null")
+    cut = marked.select("order").distinct().orderBy("order").limit(LABELLED).agg(F.max("order")).first()[0]
+    known = marked.filter(F.col("order") <= cut) if cut is not None else marked
+    known = materialize(known.dropDuplicates(["doc_id"]), "known").persist()  # LABELLED rows
     train = known.filter(F.pmod(F.xxhash64("order"), F.lit(HELD_OUT)) > 0)
     held = known.filter(F.pmod(F.xxhash64("order"), F.lit(HELD_OUT)) == 0)
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -88,10 +106,10 @@ def score(docs: DataFrame, labels: DataFrame, target: str = "quality", doc_id: s
     mean = counts.get(1.0, 0) / sum(counts.values()) if counts else 0.5
     if any(len(b) < 2 for b in both):
         flat = F.lit(mean)
-        return features.select("doc_id", flat.alias("p_text"), flat.alias("p_meta"), flat.alias("score"), (flat >= 0.5).alias("kept"))
+        return rows.select("doc_id", flat.alias("p_text"), flat.alias("p_meta"), flat.alias("score"), (flat >= 0.5).alias("kept"))
 
-    # scored from the stored features in each round; a fit keeps its own blocks of the rows lent
-    free = features.filter("doc_id is not null").join(given.select("doc_id"), "doc_id", "left_anti")
+    # scored from what is stored in each round; a fit keeps its own blocks of the rows lent while it runs
+    free = rows.filter("doc_id is not null and label is null").drop("label")
     models = {view: _fitted(train, view) for view in ("text", "meta")}
     for _ in range(ROUNDS):
         lent = {}
@@ -109,7 +127,7 @@ def score(docs: DataFrame, labels: DataFrame, target: str = "quality", doc_id: s
     slopes = {view: _calibrated(scored, f"l_{view}") for view in models}
     known.unpersist()
 
-    out = features
+    out = rows
     for view in models:
         slope, offset = slopes[view]
         out = models[view].transform(out).withColumn(f"c_{view}", _logit(view) * slope + offset)
