@@ -22,8 +22,10 @@ TOGETHER = 2
 BAND = 0.72
 #: Sets under one part key that become pairs at once; more are compared in blocks by their sketches.
 PAIRED = 3
-#: Sets of a block, when the sets under one key or the texts of one cluster are compared.
-KEY_BLOCK, TEXT_BLOCK = 1_024, 256
+#: Sets of a block, when the sets under one key or in one cluster are compared.
+KEY_BLOCK, SET_BLOCK = 1_024, 1_024
+#: Texts of a cluster that one task sets against the cluster's pivot.
+TEXT_BLOCK = 256
 #: Sets under one key up to which keys are compared many at once, and words of sketches compared at once.
 SMALL, COMPARED = 64, 1 << 20
 #: Least and most bits of the sketch that whole sets are compared by; in between a bit or two a shingle.
@@ -449,41 +451,82 @@ class _Forest:
         return x
 
 
-def verified_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def verified_links(deltas: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that join the members of a block as all its links would; exact on the sets.
 
-    Of what the sketches do not rule out, a pair is checked unless checked links join it already.
+    A delta holds the shingles that only a set or only the pivot has, so two sets differ in as many shingles as
+    their deltas do. Of what the sketches of the deltas do not rule out, a pair is checked unless checked links
+    join it already.
     """
-    forest, links = _Forest(len(sets)), []
+    forest, links = _Forest(len(deltas)), []
     if not len(left) or not len(right):
         return links
-    sizes = np.array([len(s) for s in sets])
-    width = sketch_width(int(sizes.max()))
-    for i, j in near_pairs(np.stack([sketch_of(s, width) for s in sets]), sizes, left, right, percent):
+    width = sketch_width(max(len(d) for d in deltas))
+    for i, j in near_pairs(np.stack([sketch_of(d, width) for d in deltas]), sizes, left, right, percent):
         if forest.root(i) == forest.root(j):
             continue
-        small, large = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
-        place = np.minimum(np.searchsorted(large, small), len(large) - 1)
-        shared = int((large[place] == small).sum())
-        if 100 * shared >= percent * (len(small) + len(large) - shared):
+        differ = len(np.setxor1d(deltas[i], deltas[j], assume_unique=True))
+        both = int(sizes[i] + sizes[j])
+        if 100 * (both - differ) >= percent * (both + differ):  # twice the shared ones and the union
             forest.up[forest.root(i)] = forest.root(j)
             links.append((i, j))
     return links
 
 
-def _link_rows(blocks: DataFrame, words: int, percent: int) -> DataFrame:
-    """a, b (document ids) of verified links. Of several texts under one doc_id only the node's own counts."""
+def _link_rows(blocks: DataFrame, percent: int) -> DataFrame:
+    """a, b (document ids) of verified links."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _each_block(batches, "cluster", ["node", "doc_id", "text"]):
-            sets = [s for _, data, offsets in chunks(pa.array([r[3] for r in rows], pa.string())) for s in shingles(data, offsets, words)]
-            own = [i for i, s in enumerate(sets) if node_of(s) == rows[i][1]]
-            rows, sets = [rows[i] for i in own], [sets[i] for i in own]
-            found = verified_links(sets, *_sides(np.array([r[0] for r in rows])), percent)
-            yield pa.RecordBatch.from_arrays([pa.array([rows[e[k]][2] for e in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        for rows in _each_block(batches, "cluster", ["doc_id", "n", "delta"]):
+            side, ids, sizes, deltas = zip(*rows)
+            found = verified_links([np.frombuffer(d, np.uint64) for d in deltas], np.array(sizes), *_sides(np.array(side)), percent)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[e[k]] for e in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return blocks.mapInArrow(run, "a long, b long")
 
 
+def _against_pivots(members: DataFrame) -> DataFrame:
+    """Members of clusters of two or more with `part` and `pivots`: each is set against its cluster's pivot in one part.
+
+    The pivot, the member of least doc_id, goes to every part of its cluster.
+    """
+    clusters = (members.groupBy("cluster").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+                .select("cluster", "pivot", F.ceil(F.col("size") / TEXT_BLOCK).cast("int").alias("parts")))
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    own = F.array(F.struct(part.alias("part"), F.lit(False).alias("is_pivot")))
+    every = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), F.lit(True).alias("is_pivot")))
+    return members.join(clusters, "cluster").select(
+        "cluster", "node", "doc_id", F.when(F.col("doc_id") == F.col("pivot"), F.concat(every, own)).otherwise(own).alias("places"))
+
+
+def _delta_rows(texts: DataFrame, words: int) -> DataFrame:
+    """cluster, node, doc_id, n, delta of every member: the shingles that only it or only the pivot has.
+
+    Rows arrive by cluster and part, the pivot first. Of several texts under one doc_id only the node's own
+    counts, and of equal ones one.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pivot, last = None, None, None
+        for batch in batches:
+            out = []
+            sets = (s for _, data, offsets in chunks(batch.column("text")) for s in shingles(data, offsets, words))
+            keys = zip(*(batch.column(c).to_pylist() for c in ("cluster", "part", "is_pivot", "node", "doc_id")))
+            for (cluster, part, is_pivot, node, doc_id), own in zip(keys, sets):
+                if node_of(own) != node:
+                    continue
+                if (cluster, part) != now:
+                    now, pivot, last = (cluster, part), None, None
+                if is_pivot:
+                    pivot = own
+                elif node != last:
+                    last = node
+                    out.append((cluster, node, doc_id, len(own), np.setxor1d(own, pivot, assume_unique=True).tobytes()))
+            columns = list(zip(*out)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())],
+                                             names=["cluster", "node", "doc_id", "n", "delta"])
+
+    return texts.mapInArrow(run, "cluster long, node long, doc_id long, n long, delta binary")
+
+
 def join(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every document row.
 
@@ -497,8 +540,9 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_
     Linked sets share many of them, so each set leaves out its commonest keys (shared passages) in a fixed order.
     Pairs under a key must also pass the comparison of whole sketches; under a key of many nodes (a
     common passage, many near copies) that runs as pairs of blocks in many tasks, which return links
-    enough to join what passes, never all pairs. What is joined so is a candidate cluster; its texts
-    are gathered, again as pairs of blocks, and verified exactly.
+    enough to join what passes, never all pairs. What is joined so is a candidate cluster. Its texts meet
+    the text of one member, the pivot, and leave as the shingles in which they differ from it; these are
+    compared, again as pairs of blocks, and the links verified exactly.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -522,9 +566,13 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_
     dense = _sketch_links(_block_rows(many, "key", KEY_BLOCK, ["node", "n", "sketch"], able), "key", percent)
     clusters = components(_near_rows(pairs, percent).unionByName(dense), "a", "b", "node", "cluster")
 
-    members = materialize(clusters.join(nodes.select("node", F.col("first").alias("doc_id"), "n"), "node"), "members")
-    texts = given.join(members.filter("n > 0"), "doc_id")
-    links = _link_rows(_block_rows(texts, "cluster", TEXT_BLOCK, ["node", "doc_id", "text"]), words, percent)
+    members = materialize(_against_pivots(clusters.join(nodes.select("node", F.col("first").alias("doc_id")), "node")), "members")
+    at = ["cluster", "part"]
+    texts = (given.join(members, "doc_id").withColumn("place", F.explode("places"))
+             .select("cluster", "place.part", "place.is_pivot", "node", "doc_id", "text")
+             .repartition(tasks(spark), *at).sortWithinPartitions(*at, F.desc("is_pivot"), "node"))
+    deltas = materialize(_delta_rows(texts, words), "deltas")
+    links = _link_rows(_block_rows(deltas, "cluster", SET_BLOCK, ["node", "doc_id", "n", "delta"]), percent)
     reached = components(links, "a", "b", "first", "component")
 
     return (sets.drop("sketch").join(nodes.select("node", "first"), "node", "left").join(reached, "first", "left")

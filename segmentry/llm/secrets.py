@@ -23,6 +23,8 @@ KINDS = ("assign", "access", "hex")
 #: Kind of the spans the method adds: random-looking strings that one owner has.
 ADDED = "random"
 _RANDOM = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+#: What every candidate holds, for Spark's own search: texts without it pass by all joins.
+_MAYBE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|[A-Za-z0-9+/_-]{20}"""
 
 #: What stands in a masked secret's place.
 MARK = "[SECRET]"
@@ -114,10 +116,13 @@ def redact(docs: DataFrame, mark: str = MARK) -> DataFrame:
     """`docs` with every live span of `text` replaced by `mark`; other rows and columns as they were.
 
     Copied examples stay. Spans meet their rows by a digest of the text, on which alone they depend, so
-    repeated rows and null ids need no care. The spans are stored before the join: Spark broadcasts
-    them only if their files are small, else it joins by shuffling.
+    repeated rows and null ids need no care. Texts that can hold no candidate are passed on as they are; the
+    others, few in prose, join the stored spans: Spark broadcasts those only if their files are small, else
+    it shuffles both. `docs` needs doc_id, source and text.
     """
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    maybe = F.coalesce(F.col("text").rlike(_MAYBE), F.lit(False))
+    clean, docs = docs.filter(~maybe), docs.filter(maybe)
     found = materialize(find(docs.select("doc_id", "source", "text")).filter(F.size("found") > 0), "candidates")
     live = F.filter("spans", lambda s: s["live"])
     cuts = materialize(_spans(found, "digest").select("digest", live.alias("cuts")).filter(F.size("cuts") > 0), "cuts")
@@ -134,7 +139,7 @@ def redact(docs: DataFrame, mark: str = MARK) -> DataFrame:
     done = F.aggregate("__cuts", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), cut,
                        lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, 2**31 - 1)))
     text = F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(done)
-    return joined.withColumn("text", text).select(*docs.columns)
+    return clean.unionByName(joined.withColumn("text", text).select(*docs.columns))
 
 
 def _listed(spans: Column) -> Column:
