@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.ml.clustering import KMeansModel
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +14,8 @@ from segmentry.functions.columns import normalize_id
 from segmentry.operators import clusters
 from segmentry.operators import reviews as R
 from segmentry.operators import tfidf as T
+from segmentry.operators.kmeans import KMeansFit
+from segmentry.operators.model import TextSegmenter
 from segmentry.session import materialize
 
 KEY = "review_key"
@@ -27,7 +29,8 @@ class PainPoints:
     summary: DataFrame
     links: DataFrame
     evaluation: DataFrame
-    model: KMeansModel
+    model: KMeansFit
+    segmenter: TextSegmenter
 
 
 def pain_point_table(negatives: DataFrame, fitted: T.Fitted, centres: dict[int, np.ndarray] | None = None,
@@ -63,16 +66,17 @@ def build_pain_points(reviews: DataFrame, clustered: DataFrame, order: Sequence[
     negatives = materialize(keyed, "negatives")
     require_rows(negatives, min_reviews, "negative reviews")
     fitted = T.fit(negatives.select(KEY, "cleaned_review"), KEY, "cleaned_review", profile)
-    features = materialize(fitted.features(), "review-features")
+    features = fitted.features()
     evaluation = clusters.sweep_cluster_counts(features, ks, restarts, "cosine", key=KEY)
     chosen = clusters.choose_cluster_count(evaluation, min_cluster).first()["number_of_clusters"]
-    model = clusters.fit_kmeans(features.cache(), chosen, final_restarts)
-    labels = clusters.label_points(model, features, "pain_point_id").select(KEY, "pain_point_id")
+    model = clusters.fit_kmeans(features, chosen, final_restarts)
+    labels = materialize(clusters.label_points(model, features, "pain_point_id"), "labels")
     labelled = materialize(negatives.drop("pain_point_id").join(labels, KEY), "pain-points")
-    features.unpersist()
-    summary = pain_point_table(labelled, fitted.weights, model_centres(model, fitted.vocabulary))
+    packed = replace(fitted, entries=materialize(fitted.entries.join(labels, KEY), "labelled-weights"), keep=("pain_point_id",))
+    summary = pain_point_table(labelled, packed, dict(enumerate(model.centres)))
     segments = R.segment_map(clustered.withColumn("app_id", normalize_id(F.col("app_id"), strip=False)))
     return PainPoints(R.attach_segments(labelled.drop("cluster_id"), segments), summary,
-                      R.segment_pain_points_from_apps(labelled, segments), evaluation, model)
+                      R.segment_pain_points_from_apps(labelled, segments), evaluation, model,
+                      TextSegmenter.of(fitted, profile, model))
 
 

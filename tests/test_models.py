@@ -161,3 +161,91 @@ def test_resumed_loading_adds_nothing(spark, folder, tmp_path):
     V.review_pages(spark, folder).write.mode("append").parquet(landed)
     ingest.load_reviews(spark, landed, out, state)
     assert ingest.compacted(spark, out).count() == 2 * first
+
+
+def test_all_fits_together_equal_spark_from_the_same_starts(spark):
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.linalg import Vectors
+    from pyspark.mllib.clustering import KMeans, KMeansModel
+    from pyspark.mllib.linalg import Vectors as Old
+
+    from segmentry.operators import kmeans
+
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(c, 0.3, (40, 4)) for c in rng.normal(0, 3, (5, 4))])
+    x[5, 1] = 0
+    vectors = [Vectors.dense(v) if i % 2 else Vectors.sparse(4, np.flatnonzero(v).tolist(), v[v != 0].tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(list(enumerate(vectors)), ["id", "features"]).repartition(5)
+    rows, size = kmeans.kept_rows(df)
+    begun = kmeans.starts(rows, size, [(k, s) for k in (3, 5) for s in range(3)])
+    assert [len(m.centres) for m in begun] == [3] * 3 + [5] * 3
+    assert all((np.abs(x - c).sum(axis=1) < 1e-12).any() for m in begun for c in m.centres)
+    fits = kmeans.advance(rows, begun, size)
+    old = spark.sparkContext.parallelize([Old.dense(v) for v in x], 3).cache()
+    for start, fit in zip(begun, fits):
+        spark_fit = KMeans.train(old, fit.k, 300, initialModel=KMeansModel([Old.dense(c) for c in start.centres]), epsilon=1e-4)
+        assert np.allclose(np.array(spark_fit.clusterCenters), fit.centres, atol=1e-6)
+        assert spark_fit.computeCost(old) == pytest.approx(fit.cost) and sum(fit.sizes) == len(x)
+    for metric in ("cosine", "squaredEuclidean"):
+        mine = kmeans.silhouettes(rows, size, fits[2:4], metric)
+        for fit, score in zip(fits[2:4], mine):
+            labelled = kmeans.labelled(df, fit, "prediction").join(df, "id")
+            theirs = ClusteringEvaluator(distanceMeasure=metric).evaluate(labelled)
+            assert score == pytest.approx(theirs, abs=1e-9)
+
+
+def test_jobs_do_not_grow_with_restarts(spark, monkeypatch):
+    from segmentry.operators import kmeans
+
+    rng = np.random.default_rng(1)
+    points = clusters.array_features(spark.createDataFrame(
+        [(i, [float(v) for v in rng.normal(8 * (i % 3), 0.2, 2)]) for i in range(90)], "id int, embedding array<double>"))
+    calls, one = [], kmeans._pass
+    monkeypatch.setattr(kmeans, "_pass", lambda rows, models, *rest: calls.append(len(models)) or one(rows, models, *rest))
+    clusters.fit_kmeans(points.select("id", "features"), 3, 2, max_iter=4)
+    few = len(calls)
+    clusters.fit_kmeans(points.select("id", "features"), 3, 40, max_iter=4)
+    assert len(calls) - few <= 5 and max(calls) == 40
+
+
+def test_equal_rows_leave_clusters_empty(spark):
+    points = clusters.array_features(spark.createDataFrame([(i, [1.0, 2.0]) for i in range(9)], "id int, embedding array<double>"))
+    model = clusters.fit_kmeans(points.select("id", "features"), 3, 2)
+    assert model.cost == 0.0 and sorted(model.sizes) == [0, 0, 9]
+
+
+def test_bounds_keep_far_clusters_apart(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal([c ** 2 * 10, c], 1.0, (60, 2)) for c in range(8)])
+    points = spark.createDataFrame([(i, [float(v) for v in x[i]], i // 60) for i in range(480)], "id long, v array<double>, c long")
+    placed = clusters._placed(points, clusters._cluster_bounds(points), 15)
+    blocks = placed.select("b").distinct().count()
+    pairs = clusters.block_pairs(placed)
+    copies = pairs.filter("i <> j").count() * 2 / blocks + 1  # of a block, on average
+    assert blocks == 32 and copies <= 0.4 * blocks
+    labels = np.repeat(np.arange(8), 60)
+    gap = np.linalg.norm(x[:, None] - x[None], axis=2)
+    got = {r["id"]: r["silhouette"] for r in clusters.silhouette_euclidean(points, "id", "v", "c", 15).collect()}
+    for i in range(480):
+        mean = [gap[i][(labels == c) & (np.arange(480) != i)].mean() for c in range(8)]
+        own = mean.pop(labels[i])
+        assert got[i] == pytest.approx((min(mean) - own) / max(own, min(mean)), abs=1e-7)
+
+
+@pytest.mark.parametrize("reduced", [True, False])
+def test_saved_text_model_labels_the_same(spark, folder, tmp_path, reduced):
+    from segmentry.operators.model import TextSegmenter
+    from segmentry.workload.text import corpus
+
+    docs = corpus(spark, folder).select("doc_id", "cleaned_text").persist()
+    fitted = T.fit(docs, "doc_id", "cleaned_text", T.CATALOG)
+    features, basis = (clusters.project(fitted.entries, "doc_id", clusters.singular_basis(fitted.entries, fitted.size, 10))
+                       if reduced else (fitted.features(), None))
+    model = clusters.fit_kmeans(features, 4, 2)
+    whole = TextSegmenter.of(fitted, T.CATALOG, model, basis)
+    whole.write().overwrite().save(str(tmp_path / "model"))
+    again = TextSegmenter.load(str(tmp_path / "model"))
+    labels = {r[0]: r[1] for r in clusters.label_points(model, features).collect()}
+    assert {r["doc_id"]: r["cluster_id"] for r in again.label_new(docs.withColumn("note", F.lit("x"))).collect()} == labels
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "unseen words only")], "doc_id long, cleaned_text string")
+    assert len({r["cluster_id"] for r in again.transform(odd).collect()}) == 1 and again.transform(odd.limit(0)).count() == 0
