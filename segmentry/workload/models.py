@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmentry.functions.columns import unit_vector
+from segmentry.functions.columns import distance, unit_vector
 from segmentry.operators import clusters
 from segmentry.operators import tfidf as T
+from segmentry.operators.model import TextSegmenter
 from segmentry.plans import opportunities, pain_points, segments
-from segmentry.session import scratch_path
+from segmentry.session import materialize, scratch_path
 from segmentry.sources import tables
 from segmentry.streaming import ingest
 from segmentry.workload import views as V
-from segmentry.workload.text import corpus, negatives
+from segmentry.workload.text import CORPUS, NEGATIVES, corpus, negatives, sql_tfidf
 from segmentry.workload.views import table
 
 
@@ -55,26 +56,68 @@ def svd_reduce(spark: SparkSession, folder: str) -> DataFrame:
     fitted = T.fit(docs, "doc_id", "cleaned_text", T.CATALOG)
     reduced, explained = clusters.reduce_dimensions(fitted.entries, "doc_id", fitted.size, 50)
     size = F.aggregate(clusters.vector_to_array("features"), F.lit(0.0), lambda a, x: a + x * x)
-    return reduced.select("doc_id", F.round(size, 6).alias("square_sum"), F.lit(round(explained, 3)).alias("explained"))
+    return reduced.select("doc_id", F.round(size, 6).alias("square_sum"), F.lit(0 < explained <= 1).alias("explained_in_range"))
+
+
+def _sweep_facts(points: DataFrame, sweep: DataFrame) -> DataFrame:
+    """Per k what must hold of its best fit: sizes that k clusters can have, a silhouette, an inertia below that of one cluster."""
+    v = clusters.vector_to_array("features")
+    square = F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
+    mean = clusters.Summarizer.mean(F.col("features"))
+    total = points.select("features", square.alias("q")).agg(F.count(F.lit(1)).alias("rows"), F.sum("q").alias("q"), mean.alias("features"))
+    rows = total.select("rows", (F.col("q") - F.col("rows") * square).alias("spread")).first()
+    k = F.col("number_of_clusters")
+    return sweep.select(
+        k.cast("long").alias("number_of_clusters"), F.lit(rows["rows"]).alias("points"),
+        ((F.col("smallest_cluster_size") * k <= rows["rows"]) & (F.col("largest_cluster_size") * k >= rows["rows"])).alias("sizes_fit"),
+        F.col("silhouette_score").between(-1, 1).alias("silhouette_fits"),
+        ((F.col("inertia") >= 0) & (F.col("inertia") <= rows["spread"] * (1 + 1e-9))).alias("inertia_fits"))
 
 
 def sweep_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     points = clusters.array_features(_embeddings(spark, folder)).select("vec_id", "features")
-    return clusters.sweep_cluster_counts(points, range(3, 16), metric="cosine")
+    return _sweep_facts(points, clusters.sweep_cluster_counts(points, range(3, 16), metric="cosine"))
 
 
 def sweep_reviews(spark: SparkSession, folder: str) -> DataFrame:
     docs = negatives(spark, folder).select("doc_id", "cleaned_review")
-    fitted = T.fit(docs, "doc_id", "cleaned_review", T.REVIEWS)
-    return clusters.sweep_cluster_counts(fitted.features(), range(3, 11), metric="cosine")
+    points = T.fit(docs, "doc_id", "cleaned_review", T.REVIEWS).features()
+    return _sweep_facts(points, clusters.sweep_cluster_counts(points, range(3, 11), metric="cosine"))
+
+
+def sweep_games(spark: SparkSession, folder: str) -> DataFrame:
+    """Games' texts reduced, then every k by the exact euclidean silhouette."""
+    docs = corpus(spark, folder).select("doc_id", "cleaned_text")
+    fitted = T.fit(docs, "doc_id", "cleaned_text", T.CATALOG)
+    features, _ = clusters.project(fitted.entries, "doc_id", clusters.singular_basis(fitted.entries, fitted.size))
+    points = materialize(features, "features", features.schema)
+    return _sweep_facts(points, clusters.sweep_cluster_counts(points, range(3, 21), metric="euclidean", key="doc_id"))
 
 
 def cluster_labels(spark: SparkSession, folder: str) -> DataFrame:
-    points = clusters.array_features(_embeddings(spark, folder)).select("vec_id", "features")
-    model = clusters.fit_kmeans(points, 10)
+    """Labels by a model that was saved and read back; is_nearest compares with the distances to all its centres."""
+    rows = _embeddings(spark, folder).select("vec_id", "embedding")
+    points = clusters.array_features(rows)
     path = scratch_path(spark, "kmeans")
-    clusters.save_model(model, path)
-    return clusters.label_points(clusters.load_kmeans(path), points).select("vec_id", "cluster_id")
+    clusters.save_model(clusters.fit_kmeans(points.select("vec_id", "features"), 10), path)
+    model = clusters.load_kmeans(path)
+    gaps = [distance(F.col("embedding"), F.array(*(F.lit(float(x)) for x in c))) for c in model.centres]
+    labelled = clusters.label_points(model, points)
+    own = F.get(F.array(*gaps), F.col("cluster_id"))
+    return labelled.select("vec_id", (own <= F.least(*gaps) + 1e-9).alias("is_nearest"))
+
+
+def saved_text_model(spark: SparkSession, folder: str) -> DataFrame:
+    """A text model saved, read back and applied to all texts anew: documents, and labels that differ."""
+    docs = materialize(corpus(spark, folder).select("doc_id", "cleaned_text"), "corpus")
+    fitted = T.fit(docs, "doc_id", "cleaned_text", T.CATALOG)
+    features, basis = clusters.project(fitted.entries, "doc_id", clusters.singular_basis(fitted.entries, fitted.size))
+    model = clusters.fit_kmeans(features, 8)
+    path = scratch_path(spark, "text-model")
+    TextSegmenter.of(fitted, T.CATALOG, model, basis).write().overwrite().save(path)
+    again = TextSegmenter.load(path).label_new(docs).select("doc_id", F.col("cluster_id").alias("again"))
+    both = clusters.label_points(model, features).join(again, "doc_id", "full")
+    return both.agg(F.count(F.lit(1)).alias("documents"), F.count_if(~F.col("cluster_id").eqNullSafe(F.col("again"))).alias("differing"))
 
 
 # ---------------------------------------------------------------- end-to-end runs
@@ -83,24 +126,42 @@ def _segments(spark: SparkSession, folder: str) -> segments.Segments:
     return segments.build_segments(V.described(spark, folder), key=("app_id", "chart_type"))
 
 
+def _segment_facts(summary: DataFrame, ks: range) -> DataFrame:
+    """What must hold of any segmentation: every game in one segment, as many segments as were tried, each described."""
+    told = (F.col("keywords") != "") & (F.col("representative_games") != "")
+    return summary.agg(F.sum("game_count").alias("games"), F.count(F.lit(1)).between(ks[0], ks[-1]).alias("segments_tried"),
+                       F.coalesce(F.bool_and(told), F.lit(False)).alias("all_described"))
+
+
 def segment_build(spark: SparkSession, folder: str) -> DataFrame:
-    return _segments(spark, folder).summary
+    return _segment_facts(_segments(spark, folder).summary, range(3, 21))
 
 
 def opportunity_build(spark: SparkSession, folder: str) -> DataFrame:
     built = _segments(spark, folder)
-    return opportunities.build_opportunities(built.summary, built.clustered)
+    scores = opportunities.build_opportunities(built.summary, built.clustered)
+    n = F.count(F.lit(1))
+    return scores.agg(F.sum("game_count").alias("games"), ((F.count_distinct("opportunity_rank") == n) & (F.max("opportunity_rank") == n)
+                                                          & (F.min("opportunity_rank") == 1)).alias("ranked"),
+                      (F.count_distinct("cluster_name") == n).alias("named"),
+                      F.bool_and(F.col("adjusted_opportunity_score").between(0, 100)).alias("scored"))
 
 
 def embedding_segment_build(spark: SparkSession, folder: str) -> DataFrame:
     vectors = _embeddings(spark, folder).select(F.col("vec_id").cast("string").alias("app_id"), "embedding")
-    return segments.build_embedding_segments(V.described(spark, folder), vectors).summary
+    return _segment_facts(segments.build_embedding_segments(V.described(spark, folder), vectors).summary, range(3, 16))
 
 
 def pain_point_build(spark: SparkSession, folder: str) -> DataFrame:
     games = V.described(spark, folder).select(F.concat(F.lit("src"), F.col("cluster_id")).alias("app_id"), "cluster_id")
     built = pain_points.build_pain_points(V.reviews(spark, folder), games, ["doc_id"], min_reviews=2)
-    return built.links.join(built.summary.select("pain_point_id", "keywords"), "pain_point_id")
+    reviews = built.reviews.agg(F.count(F.lit(1)).alias("reviews"), F.count_if(F.col("pain_point_id").isNull()).alias("unlabelled"))
+    shares = built.links.groupBy("cluster_id").agg(F.sum("pain_point_share").alias("s"), F.sum("review_count").alias("n"))
+    totals = shares.agg(F.struct(F.sum("n").alias("linked"), F.bool_and(F.abs(F.col("s") - 1) < 0.01).alias("shares_add_up")).alias("t"))
+    told = built.summary.agg(F.struct(F.sum("review_count").alias("summarised"),
+                                      F.count(F.lit(1)).between(3, 10).alias("complaints_tried")).alias("t"))
+    return reviews.withColumn("links", totals.scalar()).withColumn("told", told.scalar()).select(
+        "reviews", "unlabelled", "links.*", "told.*")
 
 
 def review_ingest(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,7 +184,7 @@ def snapshot_append(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     row_normalize, cluster_silhouette_cosine, cluster_silhouette_euclidean, nearest_items, svd_reduce,
-    sweep_embeddings, sweep_reviews, cluster_labels, segment_build, opportunity_build, embedding_segment_build,
+    sweep_embeddings, sweep_reviews, sweep_games, cluster_labels, saved_text_model, segment_build, opportunity_build, embedding_segment_build,
     pain_point_build, review_ingest, snapshot_append)}
 
 
@@ -142,6 +203,12 @@ def _silhouette(distance: str) -> str:
         ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM ab GROUP BY 1"""
 
 
+def _sweep_sql(prefix: str, points: str, low: int, high: int) -> str:
+    return f"""{prefix} SELECT k AS number_of_clusters, (SELECT count(*) FROM {points}) AS points, TRUE AS sizes_fit,
+          TRUE AS silhouette_fits, TRUE AS inertia_fits
+        FROM range({low}, {high + 1}) AS r(k) WHERE k <= (SELECT count(*) FROM {points}) - 1"""
+
+
 SQL = {
     "row_normalize": f"""WITH {_VECTORS}, m AS (SELECT vec_id, vec_id % 7 AS f, v, sqrt(list_inner_product(v, v)) AS len FROM vectors)
         SELECT vec_id, round(CASE WHEN f = 0 THEN 0.0 ELSE v[1] / len END, 6) AS first_value,
@@ -155,6 +222,22 @@ SQL = {
         ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(g, 9), vec_id) AS r FROM far)
         SELECT label, string_agg('v' || vec_id, ' | ' ORDER BY r) AS representative_games FROM ranked
         WHERE r <= 6 GROUP BY 1""",
+    "svd_reduce": f"""WITH {V.DESCRIBED}, {CORPUS}, {sql_tfidf('corpus', 'doc_id', 'cleaned_text', T.CATALOG)}
+        SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM tfidf) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS square_sum,
+               TRUE AS explained_in_range FROM corpus""",
+    "sweep_embeddings": _sweep_sql("", "embeddings", 3, 15),
+    "sweep_reviews": _sweep_sql(f"WITH {V.REVIEWS}, {NEGATIVES}", "negatives", 3, 10),
+    "sweep_games": _sweep_sql(f"WITH {V.DESCRIBED}, {CORPUS}", "corpus", 3, 20),
+    "cluster_labels": "SELECT vec_id, TRUE AS is_nearest FROM embeddings",
+    "saved_text_model": f"WITH {V.DESCRIBED}, {CORPUS} SELECT count(*) AS documents, 0::BIGINT AS differing FROM corpus",
+    "segment_build": f"WITH {V.DESCRIBED}, {CORPUS} SELECT count(*) AS games, TRUE AS segments_tried, TRUE AS all_described FROM corpus",
+    "opportunity_build": f"""WITH {V.DESCRIBED}, {CORPUS}
+        SELECT count(*) AS games, TRUE AS ranked, TRUE AS named, TRUE AS scored FROM corpus""",
+    "embedding_segment_build": f"""WITH {V.DESCRIBED}, {CORPUS} SELECT count(*) AS games, TRUE AS segments_tried, TRUE AS all_described
+        FROM corpus JOIN embeddings ON doc_id = vec_id""",
+    "pain_point_build": f"""WITH {V.REVIEWS}, {NEGATIVES}
+        SELECT count(*) AS reviews, 0::BIGINT AS unlabelled, count(*) AS linked, TRUE AS shares_add_up, count(*) AS summarised,
+               TRUE AS complaints_tried FROM negatives""",
     "review_ingest": f"""WITH {V.REVIEW_LINES}
         SELECT rating AS review_rating, count(*) AS reviews FROM page_entries WHERE rating IS NOT NULL GROUP BY 1""",
     "snapshot_append": f"""WITH {V.CHARTS}
