@@ -18,6 +18,44 @@ from segmentry.llm.common import CHUNK_BYTES, bound_batches, table
 #: Words a worker remembers, and the longest word it remembers.
 MEMORY_WORDS, MEMORY_LENGTH = 100_000, 40
 
+# Where the tokenizers library's Unicode tables differ from those of Python 3.13 and of regex, as found
+# by trying all code points (a test does so again). Ranges are hexadecimal, ends included.
+#: Letters and numbers of later versions: the library's splitting takes them for other signs.
+LATER_LETTERS = """558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959
+10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6
+187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81
+1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD"""
+#: Combining marks of later versions: the library's normalisation does not move them.
+LATER_MARKS = """7FD 898-89F 8CA-8D3 9FE C3C D3B-D3C EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50
+10F82-10F85 11070 1133B 1145E 11839-1183A 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1
+1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"""
+#: Capital letters of later versions (range, first small letter): the library lower-cases them.
+LATER_CAPITALS = (("1C89", "1C8A"), ("A7CB", "264"), ("A7CC", "A7CD"), ("A7CE", "A7CF"), ("A7D2", "A7D3"), ("A7D4", "A7D5"),
+                  ("A7DA", "A7DB"), ("A7DC", "19B"), ("10D50-10D65", "10D70"), ("16EA0-16EB8", "16EBB"))
+
+
+def _class(ranges: str) -> str:
+    """Hexadecimal ranges as the inside of a character class."""
+    return "".join("-".join(f"\\U{int(end, 16):08X}" for end in part.split("-")) for part in ranges.split())
+
+
+_LATER_LETTERS, _LATER_MARKS = regex.compile(f"[{_class(LATER_LETTERS)}]"), regex.compile(f"([{_class(LATER_MARKS)}])")
+_SMALL = {int(r.split("-")[0], 16) + i: int(small, 16) + i for r, small in LATER_CAPITALS
+          for i in range(int(r.split("-")[-1], 16) - int(r.split("-")[0], 16) + 1)}
+_LATER_CAPITALS = regex.compile("[" + "".join(map(chr, _SMALL)) + "]")
+
+
+def normalized(text: str) -> str:
+    """NFC and lower case as the library has them: characters are lower-cased one by one, so there is no final sigma."""
+    if text.isascii():
+        return text.lower()
+    if _LATER_MARKS.search(text):
+        text = "".join(unicodedata.normalize("NFC", part) for part in _LATER_MARKS.split(text))
+    else:
+        text = unicodedata.normalize("NFC", text)
+    text = text.replace("Σ", "σ").lower()
+    return text.translate(_SMALL) if _LATER_CAPITALS.search(text) else text
+
 
 def _byte_characters() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
@@ -48,7 +86,11 @@ class Vocabulary:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.merged = keys[order], order, merged[order]
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split["pattern"]["Regex"])
+        pattern, later = split["pattern"]["Regex"], _class(LATER_LETTERS)
+        self.words = regex.compile(pattern)
+        # the same with later letters among the other signs
+        self.later_words = regex.compile("(?V1)" + pattern.replace(r"[\p{L}]", rf"[\p{{L}}--[{later}]]").replace(
+            r"[\p{N}]", rf"[\p{{N}}--[{later}]]").replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{later}]]"))
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special))) + ")") if self.special else None
 
     def split(self, text: str) -> list[str]:
@@ -60,8 +102,9 @@ class Vocabulary:
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
-        # characters are lower-cased one by one: no final sigma
-        return self.words.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        text = normalized(text)
+        words = self.words if text.isascii() or not _LATER_LETTERS.search(text) else self.later_words
+        return words.findall(text)
 
     def merge(self, items: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of many words: every round merges each word's lowest-ranked pair."""

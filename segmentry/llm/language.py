@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmentry.llm.common import bound_batches, chunks, table
-from segmentry.operators.rows import top_per_key
 from segmentry.session import materialize
 
-#: Labelled texts per language that the text model is fitted on, and languages it can know.
-SAMPLE_TEXTS, LANGUAGES = 1_000, 64
+#: Labelled texts per language that the text model is fitted on, about, and texts that make a language known.
+SAMPLE_TEXTS, LEAST_TEXTS = 1_000, 2
+#: Languages that texts are scored for at once.
+BLOCK = 64
 #: Slots that byte trigrams hash into.
 SLOTS = 1 << 14
 #: Trigrams that count as independent evidence: longer texts weigh no more.
@@ -49,16 +50,16 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log shares of slots) from declared languages of a bounded sample of whole texts.
 
-    The sample: the LANGUAGES languages declared most often, SAMPLE_TEXTS texts of each in the order of a
-    hash. Counts are grouped by (language, slot) and at most LANGUAGES x SLOTS of them come back.
+    Every language that LEAST_TEXTS texts or more declare is known. Of each, about SAMPLE_TEXTS texts are taken:
+    those whose hash is below a bound that follows from the language's count, so nothing is shuffled but
+    counts per (language, slot), of which languages x SLOTS come back.
     """
     known = rows.filter("declared is not null and length(text) > 0")
-    often = (known.groupBy("declared").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "declared").limit(LANGUAGES))
-    names = sorted(r["declared"] for r in often.select("declared").collect())
-    order = known.filter(F.col("declared").isin(names)).select("row", "declared", F.xxhash64("row").alias("order"))
-    # the group limit runs before the shuffle; the ids are stored, so their size is known to the join
-    sample = materialize(top_per_key(order, ["declared"], ["order", "row"], SAMPLE_TEXTS).select("row"), "sample")
-    picked = rows.join(sample, "row").select("declared", "text")
+    often = known.groupBy("declared").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_TEXTS)
+    often = materialize(often, "languages")
+    names = sorted(often.select("declared").toArrow()["declared"].to_pylist())
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) * F.col("n") < (1 << 30) * SAMPLE_TEXTS
+    picked = known.join(often, "declared").filter(drawn).select("declared", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -75,25 +76,29 @@ def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
                                               pa.array(counts[at].astype(np.int64))], names=["declared", "slot", "n"])
 
     counts = picked.mapInArrow(run, "declared string, slot int, n long").groupBy("declared", "slot").agg(F.sum("n").alias("n"))
+    counts = counts.toArrow()
     share = np.full((len(names), SLOTS), 0.5)
-    for r in counts.collect():
-        share[names.index(r["declared"]), r["slot"]] += r["n"]
+    if counts.num_rows:
+        place = {name: i for i, name in enumerate(names)}
+        share[[place[d] for d in counts["declared"].to_pylist()], counts["slot"].to_numpy()] += counts["n"].to_numpy()
     return names, np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 def _scored(rows: DataFrame, names: list[str], weights: np.ndarray) -> DataFrame:
     """doc_id, declared, suffix, host, scores (tempered log likelihood per language), seen (trigrams)."""
-    shared = rows.sparkSession.sparkContext.broadcast(weights)  # at most LANGUAGES x SLOTS values
+    shared = rows.sparkSession.sparkContext.broadcast(weights)  # languages x SLOTS values
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.ascontiguousarray(shared.value.T)
+        blocks = [np.ascontiguousarray(shared.value[at:at + BLOCK].T) for at in range(0, len(names), BLOCK)]
         for batch in batches:
             scores, seen = np.zeros((len(batch), len(names))), np.zeros(len(batch), np.int64)
             for first, data, offsets in chunks(batch.column("text")):
                 row, slot = trigrams(data, offsets)
                 if len(row):
                     starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-                    scores[first + row[starts]] = np.add.reduceat(weights[slot], starts, axis=0, dtype=np.float64)
+                    for k, part in enumerate(blocks):
+                        scores[first + row[starts], k * BLOCK:k * BLOCK + part.shape[1]] = np.add.reduceat(
+                            part[slot], starts, axis=0, dtype=np.float64)
                     seen[first:first + len(offsets) - 1] = np.bincount(row, minlength=len(offsets) - 1)
             scores *= (np.minimum(seen, EVIDENCE) / np.maximum(seen, 1))[:, None]
             yield pa.RecordBatch.from_arrays([
@@ -108,22 +113,21 @@ def _values(numbers: Sequence[float]) -> Column:
     return F.array(*(F.lit(float(x)) for x in numbers))
 
 
-def _reliability(scored: DataFrame, column: str, names: list[str]) -> Column:
-    """Log likelihood of the stated language per true one, from their table of counts; zero where none is stated.
+def _reliability(scored: DataFrame, column: str, names: list[str]) -> tuple[Column, DataFrame]:
+    """What a row states (null: nothing), and log likelihoods of that per true language, from their table of counts.
 
     The text's best language stands for the true one. States that name no known language are one more.
     """
+    place = {name: i for i, name in enumerate([*names, ""])}
     stated = F.when(F.col(column).isNull(), None).when(F.col(column).isin(names), F.col(column)).otherwise("")
     counts = scored.filter("seen > 0").groupBy(stated.alias("stated"), "best").agg(F.count(F.lit(1)).alias("n"))
-    states = [*names, ""]
-    seen = np.full((len(states), len(names)), 0.1)
-    for r in counts.filter("stated is not null").collect():  # at most (LANGUAGES + 1) x LANGUAGES rows
-        seen[states.index(r["stated"]), r["best"]] += r["n"]
+    counts = counts.filter("stated is not null").toArrow()  # at most (languages + 1) x languages rows
+    seen = np.full((len(place), len(names)), 0.1)
+    if counts.num_rows:
+        seen[[place[x] for x in counts["stated"].to_pylist()], counts["best"].to_numpy()] += counts["n"].to_numpy()
     likelihood = np.log(seen / seen.sum(axis=0))
-    out = _values([0.0] * len(names))
-    for state, row in zip(states, likelihood):
-        out = F.when(stated == state, _values(row)).otherwise(out)
-    return out
+    table = pa.table({f"__{column}": pa.array(list(place)), f"__by_{column}": pa.array(likelihood.tolist(), pa.list_(pa.float64()))})
+    return stated, materialize(scored.sparkSession.createDataFrame(table), "stated")
 
 
 def identify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", declared: str | Column | None = "lang",
@@ -136,14 +140,15 @@ def identify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", declar
     texts'; the row itself is taken out of its host's counts. Rows without a trigram of letters (null, empty, digits only)
     get no language and are not kept; others are kept at CONFIDENCE, if `accepted` names their language
     or is None. Null declared, suffix or host give no evidence. Repeated rows stay rows of their own.
-    Without any declared language there are no languages and nothing is kept.
+    Without any declared language there are no languages and nothing is kept; a language that fewer than
+    LEAST_TEXTS texts declare is not known, and its texts get the likeliest known one.
 
     Texts are read twice (fit, score) and never shuffled; priors are grouped counts that combine
     map-side, joined to rows without texts.
     """
     bound_batches(docs.sparkSession)
     col = lambda c: F.lit(None) if c is None else F.col(c) if isinstance(c, str) else c
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"),
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"),
                        F.col(text).alias("text"), F.lower(F.substring_index(col(declared).cast("string"), "-", 1)).alias("declared"),
                        F.lower(col(suffix).cast("string")).alias("suffix"), F.lower(col(host).cast("string")).alias("host"))
     names, weights = fit(rows)
@@ -171,11 +176,14 @@ def identify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", declar
     less = F.transform("own", lambda n, i: n - F.when(i == F.col("best"), 1.0).otherwise(0.0))
     prior = F.when(F.col("own").isNull(), _values(overall)).otherwise(share(less, F.col("of_domain"), HOST_WEIGHT))
 
-    sums = lambda *parts: F.transform(parts[0], lambda x, i: sum((p[i] for p in parts[1:]), x))
-    logs = sums(F.col("scores"), F.transform(prior, lambda p: F.log(p)), _reliability(scored, "declared", names),
-                _reliability(scored, "suffix", names))
+    joined, parts = scored.join(priors, "host", "left"), [F.transform(prior, lambda p: F.log(p))]
+    for column in ("declared", "suffix"):
+        stated, table_ = _reliability(scored, column, names)
+        joined = joined.join(table_, stated == F.col(f"__{column}"), "left")
+        parts.append(F.coalesce(F.col(f"__by_{column}"), F.array_repeat(F.lit(0.0), size)))
+    logs = F.transform("scores", lambda x, i: sum((p[i] for p in parts), x))
     top = F.array_max("logs")
-    found = (scored.join(priors, "host", "left").withColumn("logs", logs)
+    found = (joined.withColumn("logs", logs)
              .withColumn("place", F.array_position("logs", top).cast("int"))
              .withColumn("confidence", 1 / F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.exp(x - top))))
     language = F.when(F.col("seen") > 0, F.element_at(F.array(*(F.lit(n) for n in names)), F.col("place")))

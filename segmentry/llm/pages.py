@@ -40,12 +40,17 @@ consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigat
 notification overlay pager pagination popup promo promoted promotion related respond sharing share sidebar sidenav
 signup skip social sponsor sponsored subscribe toc toolbar topbar widget""".split())
 WITHIN = frozenset(("article", "main"))
+#: Of the outside words those that stand on stories too, and words of class or id that speak for a story.
+LOOSE_WORDS = frozenset("notice notices promoted related social toc widget".split())
+STORY_WORDS = frozenset("article body content entry post prose story text".split())
+#: Unmarked text so many times as long as that inside articles makes those teasers.
+TEASER = 2
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: Marks that the style tree weighs: never shown, outside the article, none, inside.
-HIDDEN, NOISE, CONTESTED, MAIN = -1, 0, 1, 2
+#: Marks that the style tree weighs: never shown, outside the article, none, inside, and outside by a loose word only.
+HIDDEN, NOISE, CONTESTED, MAIN, LOOSE = -1, 0, 1, 2, 3
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -63,8 +68,11 @@ def _judged(tag: str, attributes: dict[str, str], parent: int) -> int:
         return NOISE
     marks = f"{attributes.get('class', '')} {attributes.get('id', '')}"
     words = {w.lower() for w in _WORD.findall(marks)} if marks.strip() else ()
-    if tag not in ("html", "body", "article", "main") and not OUTSIDE_WORDS.isdisjoint(words):
+    outside = OUTSIDE_WORDS.intersection(words) if tag not in ("html", "body", "article", "main") else ()
+    if outside and not LOOSE_WORDS.issuperset(outside):
         return NOISE
+    if outside and STORY_WORDS.isdisjoint(words):
+        return LOOSE
     if tag in WITHIN or attributes.get("role", "").lower() in WITHIN:
         return MAIN
     if tag == "header" and parent == MAIN:
@@ -232,7 +240,8 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page
     repeated notices go, also inside an article. Marks weigh in as evidence of presentation: if what is left inside articles is at
     least as long as what is left without a mark, only that is the text, else both are. Nodes marked as menus, headers, footers,
     asides, forms, adverts, notices or comments are the text only of a page that has nothing else, and only where
-    enough pages show that they are important. Null pages and
+    enough pages show that they are important; nodes marked by a loose word (LOOSE_WORDS) count as unmarked
+    there. Articles much shorter than the unmarked text (TEASER) are teasers and go. Null pages and
     hosts are allowed; pages without host form one site. Repeated rows stay.
 
     Style nodes are counted by (host, path, content), so a site with a third of all pages combines map-side.
@@ -243,7 +252,7 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page
         F.col(url), r"^[a-zA-Z]+://([^/:?#]+)", 1), F.lit(""))).alias("host"), F.col(page).alias("html"))
     trees = materialize(_tree_rows(given).withColumn("row", F.monotonically_increasing_id()), "trees")
     # told apart: important nodes among those marked as outside, unimportant ones and notices among the others
-    outside = F.col("judged") == NOISE
+    outside = F.col("judged").isin(NOISE, LOOSE)
     whole = F.when(outside, (F.col("importance") >= OUTWEIGHS) & (F.col("pages") >= LEAST_PAGES)).otherwise(F.col("importance") < IMPORTANCE)
     told = importance(trees).select("host", "path", whole.alias("whole"), F.when(outside, F.array().cast("array<long>")).otherwise(
         F.col("repeated")).alias("repeated")).filter(F.col("whole") | (F.size("repeated") > 0))
@@ -251,14 +260,17 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page
     told = materialize(held.join(told, ["host", "path"]).filter(F.col("whole") | F.array_contains("repeated", F.col("content")))
                        .groupBy("row").agg(F.collect_set("content").alias("told")), "told")
     kept = trees.select("row", "page_id", "url", "judged", "text", "content").join(told, "row", "left")
-    left = F.filter(F.arrays_zip("judged", "text", "content"), lambda b: (b["judged"] == NOISE) == F.coalesce(
+    left = F.filter(F.arrays_zip("judged", "text", "content"), lambda b: b["judged"].isin(NOISE, LOOSE) == F.coalesce(
         F.array_contains("told", b["content"]), F.lit(False)))
+    left = F.transform(left, lambda b: F.struct(F.when(b["judged"] == LOOSE, CONTESTED).otherwise(b["judged"]).alias("judged"),
+                                                b["text"].alias("text")))
     chars = lambda mark: F.aggregate(F.filter("left", lambda b: b["judged"] == mark), F.lit(0),
                                      lambda n, b: n + F.length(b["text"]))
     kept = kept.select("page_id", "url", left.alias("left")).withColumns({"inside": chars(MAIN), "between": chars(CONTESTED)})
     least = F.when((F.col("inside") > 0) & (F.col("inside") >= F.col("between")), MAIN).when(
         F.col("inside") + F.col("between") > 0, CONTESTED).otherwise(NOISE)
-    take = F.filter(F.col("left"), lambda b: b["judged"] >= least)
+    most = F.when(F.col("between") > TEASER * F.col("inside"), CONTESTED).otherwise(MAIN)
+    take = F.filter(F.col("left"), lambda b: (b["judged"] >= least) & (b["judged"] <= most))
     return kept.select("page_id", "url", F.array_join(F.transform(take, lambda b: b["text"]), " ").alias("text"))
 
 

@@ -280,6 +280,19 @@ def test_page_evidence(spark):
     assert "x" not in got[0]["text"]
 
 
+def test_every_declared_language_is_known(spark):
+    rnd = random.Random(3)
+    rows = []
+    for k in range(70):
+        letters = rnd.sample("abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþß", 9)
+        words = ["".join(rnd.choice(letters) for _ in range(rnd.randint(3, 7))) for _ in range(60)]
+        rows += [(k * 100 + i, " ".join(rnd.choice(words) for _ in range(60)), f"l{k}", None) for i in range(12 if k < 50 else 3)]
+    rows += [(50_000, rows[0][1], "only", None)]
+    got = {r["doc_id"]: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i]["language"] == lang and got[i]["kept"] for i, _, lang, _ in rows[:-1])
+    assert got[50_000]["language"] == "l0"
+
+
 # --- op6 ---
 
 def sets_plainly(texts, words, split):
@@ -474,6 +487,19 @@ def test_pages_of_the_given_table(spark, folder):
         assert got[r["page_id"]] == " ".join(html.unescape(re.sub(r"<[^>]+>", "\n", plain)).split())
 
 
+def test_importance_outweighs_loose_marks_and_long_stories_teasers(spark):
+    story = [prose(60) for _ in range(36)]
+    nav = "<nav><a href=/>Home</a></nav>"
+    rows = [(i, "http://a.example/" + str(i), f"<body>{nav}<div class='story widget'>{story[i]}</div><p>By author {i}</p></body>") for i in range(12)]
+    rows += [(i, "http://b.example/" + str(i), f"<body>{nav}<div class='widget'>{story[i]}</div><div class='widget offer'>Buy now</div></body>")
+             for i in range(12, 24)]
+    rows += [(i, "http://c.example/" + str(i), f"<body>{nav}<article>Teaser {i} of another day</article><div>{story[i]}</div>"
+              f"<div class='comments'>{prose(90)}</div></body>") for i in range(24, 36)]
+    got = {r[0]: r[2] for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"{story[i]} By author {i}" for i in range(12))
+    assert all(got[i] == story[i] for i in range(12, 36))
+
+
 def test_main_text_weighs_marks_by_the_tree(spark):
     rows = []
     for i in range(12):

@@ -219,3 +219,25 @@ def test_periodic_runs_query(spark, tmp_path, monkeypatch):
               sha("".join(f"{s},{m},{q}\n" for s, m, q in found)), sha(" ".join(kept)))] += 1
     assert got == want
     assert runs.periodic_runs(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+# --- op9: the library's own tables ---
+
+def test_words_of_all_code_points_equal_the_library():
+    from tokenizers import Tokenizer
+
+    from segmentry.llm import bpe
+
+    path = bpe.default_vocabulary()
+    library, own = Tokenizer.from_file(path), bpe.Vocabulary(path)
+    points = [chr(c) for c in (*range(0x30000), *range(0xE0000, 0xE01F0)) if not 0xD800 <= c < 0xE000 and chr(c) not in "<|"]
+    wrong = []
+    for at in range(0, len(points), 64):
+        text = " ".join(f"b{c}b 1{c}1 !{c}! aͅ{c}b a{c}̴b a{c}́ Α{c}Σ" for c in points[at:at + 64])
+        words = [w for w, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))]
+        if words != ["".join(bpe._byte_characters()[b] for b in w.encode()) for w in own.split(text)]:
+            wrong += [c for c in points[at:at + 64] if [w for w, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(
+                f"b{c}b 1{c}1 !{c}! aͅ{c}b a{c}̴b a{c}́ Α{c}Σ"))] != [
+                    "".join(bpe._byte_characters()[b] for b in w.encode())
+                    for w in own.split(f"b{c}b 1{c}1 !{c}! aͅ{c}b a{c}̴b a{c}́ Α{c}Σ")]]
+    assert [hex(ord(c)) for c in wrong] == []
