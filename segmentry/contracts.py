@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+#: A guard that asks for one row of any kind.
+CHECKED = (None, 1)
+
 
 def missing_columns(df: DataFrame, required: Iterable[str]) -> list[str]:
     """Required names that `df` lacks, sorted."""
@@ -49,3 +52,22 @@ def require_rows(df: DataFrame, minimum: int, what: str = "rows") -> DataFrame:
     if found < minimum:
         raise ValueError(f"too few usable {what}: {found}, need {minimum}")
     return df
+
+
+def stored_checked(df: DataFrame, path: str, guards: Mapping[str, tuple[Column | None, int]]) -> DataFrame:
+    """Write `df` to `path`, check guards on what was written, and read it back.
+
+    `guards` maps what is counted to (condition, minimum), without a condition all rows. Rows are counted by
+    the write itself, so no guard needs a job or a scan of its own. Too few raise ValueError when the
+    write ends; the table stays for inspection.
+    """
+    if guards:
+        seen = Observation()
+        counts = [F.count(F.lit(1)) if condition is None else F.count_if(condition) for condition, _ in guards.values()]
+        df = df.observe(seen, *(c.alias(f"guard_{i}") for i, c in enumerate(counts)))
+    df.write.mode("overwrite").parquet(path)
+    for i, (what, (_, minimum)) in enumerate(guards.items()):
+        found = seen.get[f"guard_{i}"]
+        if found < minimum:
+            raise ValueError(f"too few usable {what}: {found}, need {minimum}")
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -112,10 +112,10 @@ def stage_facts(charts: DataFrame | None = None, enriched: DataFrame | None = No
             F.count_if(F.col("chart_type") == "top_free").alias("top_free"),
             F.count_if(F.col("chart_type") == "top_paid").alias("top_paid"))))
     if enriched is not None:
-        apps = distinct_count(enriched, "app_id", "unique_games")
-        developers = distinct_count(enriched, "developer", "developers")
-        parts += [facts("enrich", apps), facts("enrich", developers), facts("enrich", enriched.agg(
-            F.count_if(F.length(F.coalesce("description", F.lit(""))) > 0).alias("descriptions")))]
+        # one scan: Spark expands rows to the two distinct columns and combines them map-side
+        parts.append(facts("enrich", enriched.agg(
+            F.count_distinct("app_id").alias("unique_games"), F.count_distinct("developer").alias("developers"),
+            F.count_if(F.length(F.coalesce("description", F.lit(""))) > 0).alias("descriptions"))))
     if summary is not None:
         parts.append(facts("cluster", summary.agg(F.count(F.lit(1)).alias("segments_discovered"))))
     if clustered is not None:

@@ -9,14 +9,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segmentry.contracts import require_columns, require_rows
+from segmentry.contracts import require_columns, stored_checked
 from segmentry.functions.columns import normalize_id
 from segmentry.operators import clusters
 from segmentry.operators import reviews as R
 from segmentry.operators import tfidf as T
 from segmentry.operators.kmeans import KMeansFit
 from segmentry.operators.model import TextSegmenter
-from segmentry.session import materialize
+from segmentry.session import materialize, scratch_path
 
 KEY = "review_key"
 
@@ -63,8 +63,7 @@ def build_pain_points(reviews: DataFrame, clustered: DataFrame, order: Sequence[
     negatives = R.negative_reviews(clean, order)
     # one row per app and text, so their hash pair names a row
     keyed = negatives.withColumn(KEY, F.sha2(F.concat_ws("\u0001", "app_id", "review_text"), 256))
-    negatives = materialize(keyed, "negatives")
-    require_rows(negatives, min_reviews, "negative reviews")
+    negatives = stored_checked(keyed, scratch_path(keyed.sparkSession, "negatives"), {"negative reviews": (None, min_reviews)})
     fitted = T.fit(negatives.select(KEY, "cleaned_review"), KEY, "cleaned_review", profile)
     features = fitted.features()
     evaluation = clusters.sweep_cluster_counts(features, ks, restarts, "cosine", key=KEY)

@@ -36,6 +36,12 @@ def _entries(doc: Column, element: str) -> Column:
     return F.coalesce(parse(f"array<{element}>"), objects, F.array_compact(F.array(parse(element))))
 
 
+def is_chart_feed(doc: Column) -> Column:
+    """Whether a document's entries are absent, a list or one object; other documents are no chart feeds."""
+    raw = F.get_json_object(doc, "$.feed.entry")
+    return F.coalesce(raw.isNull() | _is_json(raw, "[", "{"), F.lit(True))
+
+
 def chart_entries(docs: DataFrame, strict: bool = False, country: str = "US") -> DataFrame:
     """Chart documents (doc, chart_type, source_url, snapshot_date) as one row per app.
 
@@ -44,9 +50,8 @@ def chart_entries(docs: DataFrame, strict: bool = False, country: str = "US") ->
     """
     doc = F.col("doc")
     if strict:
-        raw = F.get_json_object(doc, "$.feed.entry")
         message = F.concat(F.lit("unexpected feed format for chart "), F.col("chart_type"))
-        doc = F.when(raw.isNull() | _is_json(raw, "[", "{"), doc).otherwise(F.raise_error(message))
+        doc = F.when(is_chart_feed(doc), doc).otherwise(F.raise_error(message))
     rows = docs.select("chart_type", "source_url", "snapshot_date",
                        F.posexplode(_entries(doc, schemas.CHART_ENTRY)).alias("pos", "e"))
     genre = F.col("e.category.attributes.label")

@@ -1,8 +1,8 @@
 """Registered queries over the given tables, each with the SQL it must agree with."""
 
-from segmentry.workload import catalog, evidence, models, reviews, scoring, text
+from segmentry.workload import catalog, collection, evidence, models, reviews, scoring, text
 
-_PARTS = (catalog, scoring, text, reviews, evidence, models)
+_PARTS = (catalog, scoring, text, reviews, evidence, models, collection)
 
 
 def queries():

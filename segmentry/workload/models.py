@@ -11,7 +11,6 @@ from segmentry.operators import tfidf as T
 from segmentry.operators.model import TextSegmenter
 from segmentry.plans import opportunities, pain_points, segments
 from segmentry.session import materialize, scratch_path
-from segmentry.sources import tables
 from segmentry.streaming import ingest
 from segmentry.workload import views as V
 from segmentry.workload.text import CORPUS, NEGATIVES, corpus, negatives, sql_tfidf
@@ -172,20 +171,10 @@ def review_ingest(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.compacted(spark, out).groupBy("review_rating").agg(F.count(F.lit(1)).alias("reviews"))
 
 
-def snapshot_append(spark: SparkSession, folder: str) -> DataFrame:
-    """Two chart snapshots appended as partitions, the newest read back."""
-    path = scratch_path(spark, "snapshots")
-    charts = V.charts(spark, folder).select("app_id", "title", "developer", "chart_type", "chart_position")
-    tables.append_snapshot(charts, path, "20240101_000000")
-    tables.append_snapshot(charts.filter(F.col("chart_type") == "top_free"), path, "20240102_000000")
-    newest = tables.latest_snapshot(spark.read.parquet(path))
-    return newest.groupBy("chart_type").agg(F.count(F.lit(1)).alias("rows"))
-
-
 QUERIES = {f.__name__: f for f in (
     row_normalize, cluster_silhouette_cosine, cluster_silhouette_euclidean, nearest_items, svd_reduce,
     sweep_embeddings, sweep_reviews, sweep_games, cluster_labels, saved_text_model, segment_build, opportunity_build, embedding_segment_build,
-    pain_point_build, review_ingest, snapshot_append)}
+    pain_point_build, review_ingest)}
 
 
 # ---------------------------------------------------------------- SQL
@@ -240,6 +229,4 @@ SQL = {
                TRUE AS complaints_tried FROM negatives""",
     "review_ingest": f"""WITH {V.REVIEW_LINES}
         SELECT rating AS review_rating, count(*) AS reviews FROM page_entries WHERE rating IS NOT NULL GROUP BY 1""",
-    "snapshot_append": f"""WITH {V.CHARTS}
-        SELECT chart_type, count(*) AS rows FROM charts WHERE chart_type = 'top_free' GROUP BY 1""",
 }

@@ -334,3 +334,69 @@ def test_prompt_defaults(spark):
 def test_stage_facts_need_a_table():
     with pytest.raises(ValueError):
         market.stage_facts()
+
+
+# ---------------------------------------------------------------- snapshots, guards, collection
+
+def test_half_written_snapshots_are_never_read(spark, tmp_path):
+    from segmentry.sources import snapshots
+
+    path, rows = str(tmp_path / "store"), lambda n: spark.range(n).withColumnRenamed("id", "app_id")
+    with pytest.raises(FileNotFoundError):
+        snapshots.read_snapshot(spark, path)
+    assert snapshots.commit_snapshot(rows(3), path, "20240101_000000") == 3
+    snapshots.write_attempt(rows(9), path, "20240102_000000")
+    snapshots.write_attempt(rows(9), path, "20240101_000000")
+    assert snapshots.read_snapshot(spark, path).count() == 3 and snapshots.all_snapshots(spark, path).count() == 3
+    snapshots.commit_snapshot(rows(5), path, "20240101_000000")
+    snapshots.commit_snapshot(rows(0), path, "20240102_000000")
+    assert snapshots.read_snapshot(spark, path).count() == 0
+    assert snapshots.read_snapshot(spark, path, "20240101_000000").count() == 5
+    assert {(r["snapshot_ts"], r["rows"]) for r in snapshots.manifest(spark, path).collect()} == {("20240101_000000", 5), ("20240102_000000", 0)}
+    plan = snapshots.read_snapshot(spark, path, "20240101_000000").inputFiles()
+    assert plan and all("snapshot_ts=20240101_000000" in f for f in plan) and len({f.split("attempt=")[1].split("/")[0] for f in plan}) == 1
+
+
+def test_guards_count_what_is_written(spark, tmp_path):
+    from segmentry.contracts import CHECKED, stored_checked
+
+    out = stored_checked(spark.range(10), str(tmp_path / "a"), {"rows": CHECKED, "large ones": (F.col("id") > 5, 4)})
+    assert out.count() == 10
+    with pytest.raises(ValueError, match="too few usable large ones: 4, need 5"):
+        stored_checked(spark.range(10), str(tmp_path / "b"), {"large ones": (F.col("id") > 5, 5)})
+    with pytest.raises(ValueError, match="too few usable rows: 0, need 1"):
+        stored_checked(spark.range(0), str(tmp_path / "c"), {"rows": CHECKED})
+
+
+def test_collection_runs_again_only_where_input_changed(spark, folder, tmp_path):
+    from segmentry.plans import collection
+    from segmentry.workload import views as V
+
+    paths = {n: str(tmp_path / n) for n in ("chart_docs", "lookup_docs", "review_pages")}
+    V.chart_feed_docs(spark, folder).limit(200).write.parquet(paths["chart_docs"])
+    V.lookup_docs(spark, folder).write.parquet(paths["lookup_docs"])
+    V.review_pages(spark, folder).write.parquet(paths["review_pages"])
+    run = lambda **more: collection.run_collection(spark, str(tmp_path / "root"), **paths, **more)
+    first = run()
+    assert first.ran == ("collect", "enrich", "reviews") and run().ran == ()
+    assert run(max_reviews=2).ran == ("reviews",) and run().ran == ()
+    V.lookup_docs(spark, folder).limit(1).write.mode("append").parquet(paths["lookup_docs"])
+    again = run()
+    assert again.ran == ("enrich", "reviews") and again.enriched.count() == first.enriched.count()
+    spark.createDataFrame([('{"feed":{"entry":"x"}}', "top_paid", "u", "2024-01-01")], "doc string, chart_type string, source_url string, snapshot_date string"
+                          ).write.mode("overwrite").parquet(paths["chart_docs"])
+    with pytest.raises(ValueError, match="too few usable chart rows"):
+        run()
+
+
+def test_reviews_landed_twice_load_once(spark, folder, tmp_path):
+    from segmentry.streaming import ingest
+    from segmentry.workload import views as V
+
+    landed, out, state, into = (str(tmp_path / n) for n in ("landed", "out", "state", "into"))
+    V.review_pages(spark, folder).repartition(3).write.parquet(landed)
+    ingest.load_reviews(spark, landed, out, state, files_per_step=1, unique=True)
+    first = ingest.compacted(spark, out).count()
+    V.review_pages(spark, folder).write.mode("append").parquet(landed)
+    ingest.load_reviews(spark, landed, out, state, unique=True)
+    assert first > 0 and ingest.compacted(spark, out).count() == first and ingest.compact(spark, out, into).count() == first
