@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmentry.llm.common import bound_batches, components, table, tasks
 from segmentry.session import materialize
 
-#: Passes, bits of a pass's concatenated hash, and vectors of a block; a window is two blocks.
-PASSES, BITS, BLOCK = 24, 48, 256
+#: Passes of a label at least and at most, bits of a pass's concatenated hash, and vectors of a block; a window is two blocks.
+PASSES, MOST_PASSES, BITS, BLOCK = 24, 160, 48, 256
+#: Chance to miss a pair just at COSINE that a label's passes are chosen for.
+MISSED = 0.02
 COSINE = 0.98
 SEED = 20240611
 
@@ -45,23 +50,56 @@ def _pass_rows(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(run, "vec_id long, label string, unit binary")
 
 
-def _hash_rows(nodes: DataFrame) -> DataFrame:
-    """label, trip, code, node, unit: the sort key of every node in every pass."""
+def _label_means(nodes: DataFrame) -> DataFrame:
+    """label, size, mean, passes: mean unit vector of each label and length, and the passes it takes.
+
+    Vectors of a label may lie in a narrow cone, where signs of random planes tell them apart badly; around
+    the label's mean they spread. If r is the mean squared distance to the mean, two vectors of cosine c
+    have cosine 1 - (1 - c) / r there, agree in a bit with the chance that their angle gives, and meet in a
+    window if they agree in as many bits as halve the label down to a window.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
+        sums: dict[tuple[str, int], list] = {}
         for batch in batches:
-            units = [np.frombuffer(u, np.float64) for u in batch.column("unit").to_pylist()]
-            for size in {len(u) for u in units}:
-                if size not in planes:
-                    planes[size] = np.random.default_rng([SEED, size]).standard_normal((size, PASSES * BITS))
-                at = [i for i, u in enumerate(units) if len(u) == size]
-                bits = (np.stack([units[i] for i in at]) @ planes[size] > 0).reshape(len(at), PASSES, BITS)
-                code = bits @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-                rows = batch.take(pa.array(np.repeat(at, PASSES)))
-                yield pa.RecordBatch.from_arrays([
-                    rows.column("label"), pa.array([size] * len(rows), pa.int32()),
-                    pa.array(np.tile(np.arange(PASSES, dtype=np.int32), len(at))), pa.array(code.ravel()),
-                    rows.column("node"), rows.column("unit")], names=["label", "size", "trip", "code", "node", "unit"])
+            for label, unit in zip(batch.column("label").to_pylist(), batch.column("unit").to_pylist()):
+                held = sums.setdefault((label, len(unit) // 8), [0, np.zeros(len(unit) // 8)])
+                held[0] += 1
+                held[1] += np.frombuffer(unit, np.float64)
+        yield pa.RecordBatch.from_arrays([
+            pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int32()),
+            pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1] for v in sums.values()], pa.list_(pa.float64()))],
+            names=["label", "size", "n", "part"])
+
+    stats = nodes.select("label", "unit").mapInArrow(run, "label string, size int, n long, part array<double>").groupBy("label", "size").agg(
+        F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("part"))).alias("s"))
+    mean = F.transform("s", lambda x: x / F.col("n"))
+    spread = F.greatest(1 - F.aggregate("mean", F.lit(0.0), lambda a, x: a + x * x), F.lit(1e-9))
+    agree = 1 - F.acos(F.greatest(1 - (1 - COSINE) / F.col("spread"), F.lit(-1.0))) / np.pi
+    meet = F.pow(F.col("agree"), F.log2(F.greatest(F.col("n") / BLOCK, F.lit(1.0))))
+    needed = F.ceil(F.log(F.lit(MISSED)) / F.log(1 - F.least(F.col("meet"), F.lit(0.99))))
+    return (stats.withColumn("mean", mean).withColumn("spread", spread).withColumn("agree", agree).withColumn("meet", meet)
+            .select("label", "size", "mean", F.least(F.greatest(needed, F.lit(PASSES)), F.lit(MOST_PASSES)).cast("int").alias("passes")))
+
+
+def _hash_rows(nodes: DataFrame) -> DataFrame:
+    """label, size, trip, code, node, unit: the sort key of every node in every pass, from its offset to the label's mean."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @cache
+        def plane(size: int, trip: int) -> np.ndarray:
+            return np.random.default_rng([SEED, size, trip]).standard_normal((size, BITS))
+
+        weight = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+        for whole in batches:
+            sizes, passes = (whole.column(c).to_numpy() for c in ("size", "passes"))
+            for size, trips in sorted(set(zip(sizes.tolist(), passes.tolist()))):
+                batch = whole.filter(pa.array((sizes == size) & (passes == trips)))
+                offset = np.stack([np.frombuffer(u, np.float64) for u in batch.column("unit").to_pylist()])
+                offset = offset - batch.column("mean").flatten().to_numpy().reshape(len(batch), size)
+                for trip in range(trips):
+                    code = (offset @ plane(size, trip) > 0) @ weight
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column("label"), batch.column("size"), pa.array(np.full(len(batch), trip, np.int32)), pa.array(code),
+                        batch.column("node"), batch.column("unit")], names=["label", "size", "trip", "code", "node", "unit"])
 
     return nodes.mapInArrow(run, "label string, size int, trip int, code long, node long, unit binary")
 
@@ -155,8 +193,9 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     node and linked with each other; a repeated vec_id gives repeated rows. Rows without vec_id are left out
     of minima and counted as links.
 
-    Each pass orders the vectors of a label by BITS concatenated sign hashes and compares windows of
-    two blocks; only links that join a block are kept. Range partitions cut a label's order, so a label with a
+    Each pass orders the vectors of a label by BITS concatenated sign hashes of their offsets to the label's
+    mean and compares windows of two blocks; larger and denser labels take more passes, so that a pair at
+    COSINE is missed with about MISSED, up to MOST_PASSES. Only links that join a block are kept. Range partitions cut a label's order, so a label with a
     third of all rows takes many tasks. Once passes are united, links are counted inside each component
     by pairs of blocks: exact whatever its size, without a row per pair.
     """
@@ -168,7 +207,9 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     nodes = materialize(units.groupBy("label", "unit").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
                         .filter("node is not null"), "nodes")
     order = ["label", "size", "trip", "code", "node"]
-    ordered = _hash_rows(nodes).repartitionByRange(tasks(spark), *order).sortWithinPartitions(*order)
+    sized = nodes.withColumn("size", (F.octet_length("unit") / 8).cast("int"))
+    sized = sized.join(materialize(_label_means(nodes), "means"), ["label", "size"])
+    ordered = _hash_rows(sized).repartitionByRange(tasks(spark), *order).sortWithinPartitions(*order)
     links = materialize(_window_rows(ordered).distinct(), "links")
     reached = components(links, "a", "b", "node", "component")
 
