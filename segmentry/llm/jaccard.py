@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segmentry.llm.common import bound_batches, chunks, components, distinct_pairs, mix, shingles, table, tasks
-from segmentry.session import materialize
+from segmentry.session import materialize, release
 
 #: Least parts beyond the pigeonhole's, and differing shingles for one more of them.
 SPARE, PER_SPARE = 8, 8
 #: Parts without a bit that a set may hide.
 EMPTY = 2
+#: Rarest keys of many sets that sets are compared under first.
+RARE = 4
 #: Keys of few sets that a pair must share to be compared for them; linked sets that share less share keys of many sets.
 TOGETHER = 2
 #: Ratio of neighbouring size bands.
@@ -251,7 +253,7 @@ def _pair_rows(packed: DataFrame) -> DataFrame:
 
 
 def _telling_keys(met: DataFrame, able: DataFrame, percent: int) -> DataFrame:
-    """key, node of keys of many nodes, without the commonest keys of each node.
+    """key, node, rarity of keys of many nodes, without the commonest keys of each node; 1 is a node's rarest key of a band.
 
     Linked sets that share fewer than TOGETHER keys of few nodes share at least so many keys of many nodes that
     each of them can leave out all but TOGETHER - 1 fewer: the rarest key they share is behind the others in both orders.
@@ -262,7 +264,9 @@ def _telling_keys(met: DataFrame, able: DataFrame, percent: int) -> DataFrame:
             .join(able, ["node", "band"], "left_semi"))
     commonest = Window.partitionBy("node", "band").orderBy(F.desc("size"), "key").rowsBetween(Window.unboundedPreceding, 0)
     return (many.withColumn("left_out", F.sum("shared").over(commonest))
-            .filter(F.col("left_out") > least[F.col("band").cast("int")] - TOGETHER).select("key", "node"))
+            .filter(F.col("left_out") > least[F.col("band").cast("int")] - TOGETHER)
+            .withColumn("rarity", F.row_number().over(Window.partitionBy("node", "band").orderBy("size", F.desc("key"))))
+            .select("key", "node", "rarity"))
 
 
 def near_pairs(sketches: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray,
@@ -563,8 +567,17 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_
     pairs = (met.filter("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared")).filter(F.col("shared") >= TOGETHER)
              .join(of("a"), "a").join(of("b"), "b"))
     many = materialize(_telling_keys(met, bands, percent), "many")
-    dense = _sketch_links(_block_rows(many, "key", KEY_BLOCK, ["node", "n", "sketch"], able), "key", percent)
-    clusters = components(_near_rows(pairs, percent).unionByName(dense), "a", "b", "node", "cluster")
+    # a few rare keys of each node join most near copies; other keys matter only where they reach over clusters
+    first = _sketch_links(_block_rows(many.filter(F.col("rarity") <= RARE).select("key", "node"), "key", KEY_BLOCK,
+                                      ["node", "n", "sketch"], able), "key", percent)
+    joined = components(_near_rows(pairs, percent).unionByName(first), "a", "b", "node", "cluster")
+    rest = materialize(many.select("key", "node").join(joined, "node", "left").withColumn("of", F.coalesce("cluster", "node")), "rest")
+    apart = rest.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low <> high").select("key")
+    over = _sketch_links(_block_rows(rest.join(materialize(apart, "apart"), "key").select("key", "node"), "key", KEY_BLOCK,
+                                     ["node", "n", "sketch"], able), "key", percent)
+    edges = joined.select(F.col("node").alias("a"), F.col("cluster").alias("b")).unionByName(over)
+    clusters = components(edges, "a", "b", "node", "cluster")
+    release(met, many, rest)
 
     members = materialize(_against_pivots(clusters.join(nodes.select("node", F.col("first").alias("doc_id")), "node")), "members")
     at = ["cluster", "part"]

@@ -8,9 +8,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from segmentry.llm.common import bound_batches, table
 from segmentry.session import materialize
@@ -23,8 +25,6 @@ KINDS = ("assign", "access", "hex")
 #: Kind of the spans the method adds: random-looking strings that one owner has.
 ADDED = "random"
 _RANDOM = re.compile(r"[A-Za-z0-9+/_-]{20,}")
-#: What every candidate holds, for Spark's own search: texts without it pass by all joins.
-_MAYBE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|[A-Za-z0-9+/_-]{20}"""
 
 #: What stands in a masked secret's place.
 MARK = "[SECRET]"
@@ -36,6 +36,16 @@ LIVE_BITS = 3.5
 _SCHEMA = "doc_id long, owner string, digest string, found array<struct<kind: int, start: int, stop: int, value: binary>>"
 
 
+_ARROW = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("value", pa.binary())]))
+#: Columns that go with a row until its text is masked.
+_DIGEST, _FOUND = "__text_digest", "__text_found"
+
+
+def _listed_found(hits: list[tuple[int, int, int, str]]) -> list[dict]:
+    """Candidates with a digest in the secret's place."""
+    return [{"kind": k, "start": a, "stop": b, "value": hashlib.sha256(v.encode()).digest()[:16]} for k, a, b, v in hits]
+
+
 def _bits(value: str) -> float:
     n = len(value)
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
@@ -67,17 +77,42 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(owner).cast("string").alias("owner"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("value", pa.binary())]))
         for batch in batches:
-            found = [[{"kind": k, "start": a, "stop": b, "value": hashlib.sha256(v.encode()).digest()[:16]}
-                      for k, a, b, v in candidates(x.as_py() or "")] for x in batch.column(2)]
+            found = [_listed_found(candidates(x.as_py() or "")) for x in batch.column(2)]
             digest = [hashlib.sha256((x.as_py() or "").encode()).hexdigest() for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digest, pa.string()),
-                                              pa.array(found, kind)], names=["doc_id", "owner", "digest", "found"])
+                                              pa.array(found, _ARROW)], names=["doc_id", "owner", "digest", "found"])
 
     return given.mapInArrow(run, _SCHEMA)
 
 
+def _holds_candidates(text: Column) -> Column:
+    """Whether a text has candidates, batch by batch; the rest of the row stays with Spark."""
+    @F.pandas_udf("boolean")
+    def holds(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: bool(candidates(t or "")))
+
+    return holds(text)
+
+
+def _rows_with_candidates(docs: DataFrame) -> DataFrame:
+    """The rows whose text has candidates, whole, with the digest of the text and what was found."""
+    names = [*docs.columns, _DIGEST, _FOUND]
+    schema = StructType([*docs.schema.fields, StructField(_DIGEST, StringType()), StructField(_FOUND, StructType.fromDDL(_SCHEMA)["found"].dataType)])
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(place).to_pylist()]
+            hits = [candidates(t) for t in texts]
+            rows = pa.array([i for i, h in enumerate(hits) if h], pa.int64())
+            digest = [hashlib.sha256(texts[i].encode()).hexdigest() for i in rows.to_pylist()]
+            found = [_listed_found(hits[i]) for i in rows.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.take(rows).columns, pa.array(digest, pa.string()), pa.array(found, _ARROW)], names=names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def ownership(hits: DataFrame) -> DataFrame:
     """value, documents, owners, live: over the whole corpus, from one row per candidate.
 
@@ -116,19 +151,18 @@ def redact(docs: DataFrame, mark: str = MARK) -> DataFrame:
     """`docs` with every live span of `text` replaced by `mark`; other rows and columns as they were.
 
     Copied examples stay. Spans meet their rows by a digest of the text, on which alone they depend, so
-    repeated rows and null ids need no care. Texts that can hold no candidate are passed on as they are; the
-    others, few in prose, join the stored spans: Spark broadcasts those only if their files are small, else
-    it shuffles both. `docs` needs doc_id, source and text.
+    repeated rows and null ids need no care. Rows with candidates, few in prose, are stored whole and join the
+    spans: Spark broadcasts those only if their files are small, else it shuffles both. All other rows are
+    passed on as they are. `docs` needs doc_id, source and text.
     """
-    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    maybe = F.coalesce(F.col("text").rlike(_MAYBE), F.lit(False))
-    clean, docs = docs.filter(~maybe), docs.filter(maybe)
-    found = materialize(find(docs.select("doc_id", "source", "text")).filter(F.size("found") > 0), "candidates")
+    bound_batches(docs.sparkSession)
+    clean, docs = docs.filter(~_holds_candidates(F.col("text"))), materialize(_rows_with_candidates(docs), "candidates")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("owner"),
+                        F.col(_DIGEST).alias("digest"), F.col(_FOUND).alias("found"))
     live = F.filter("spans", lambda s: s["live"])
     cuts = materialize(_spans(found, "digest").select("digest", live.alias("cuts")).filter(F.size("cuts") > 0), "cuts")
     cuts = cuts.select(F.col("digest").alias("__digest"), F.col("cuts").alias("__cuts"))
-    joined = docs.withColumn("__key", digest)
-    joined = joined.join(cuts, F.col("__key") == F.col("__digest"), "left")
+    joined = docs.join(cuts, F.col(_DIGEST) == F.col("__digest"), "left")
 
     def cut(state: Column, span: Column) -> Column:
         kept = F.substring(F.col("text"), state["at"] + 1, span["start"] - state["at"])
@@ -139,7 +173,7 @@ def redact(docs: DataFrame, mark: str = MARK) -> DataFrame:
     done = F.aggregate("__cuts", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), cut,
                        lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, 2**31 - 1)))
     text = F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(done)
-    return clean.unionByName(joined.withColumn("text", text).select(*docs.columns))
+    return clean.unionByName(joined.withColumn("text", text).select(*clean.columns))
 
 
 def _listed(spans: Column) -> Column:

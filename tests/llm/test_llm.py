@@ -355,7 +355,7 @@ def test_common_keys_left_out_lose_no_pair(spark):
     met = spark.createDataFrame(rows, "kind int, a long, b long, shared long, size long")
     able = spark.createDataFrame([(node, band) for node in range(11)], "node long, band long")
     kept = {}
-    for key, node in jaccard._telling_keys(met, able, percent).collect():
+    for key, node, _ in jaccard._telling_keys(met, able, percent).collect():
         kept.setdefault(node, set()).add(key - (band << jaccard.KEY_BITS))
     assert 11 not in kept and any(len(kept[node]) < len(owned[node]) for node in kept)
     for a in range(11):
