@@ -40,6 +40,8 @@ def _class(ranges: str) -> str:
 
 
 _LATER_LETTERS, _LATER_MARKS = regex.compile(f"[{_class(LATER_LETTERS)}]"), regex.compile(f"([{_class(LATER_MARKS)}])")
+#: No code point before it is in one of these tables.
+_FIRST_LATER = chr(min(int(r.split("-")[0], 16) for r in f"{LATER_LETTERS} {LATER_MARKS}".split()))
 _SMALL = {int(r.split("-")[0], 16) + i: int(small, 16) + i for r, small in LATER_CAPITALS
           for i in range(int(r.split("-")[-1], 16) - int(r.split("-")[0], 16) + 1)}
 _LATER_CAPITALS = regex.compile("[" + "".join(map(chr, _SMALL)) + "]")
@@ -49,6 +51,8 @@ def normalized(text: str) -> str:
     """NFC and lower case as the library has them: characters are lower-cased one by one, so there is no final sigma."""
     if text.isascii():
         return text.lower()
+    if max(text) < _FIRST_LATER:  # one cheap look instead of three searches
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
     if _LATER_MARKS.search(text):
         text = "".join(unicodedata.normalize("NFC", part) for part in _LATER_MARKS.split(text))
     else:
@@ -103,7 +107,8 @@ class Vocabulary:
 
     def _plain(self, text: str) -> list[str]:
         text = normalized(text)
-        words = self.words if text.isascii() or not _LATER_LETTERS.search(text) else self.later_words
+        plain = text.isascii() or max(text) < _FIRST_LATER or not _LATER_LETTERS.search(text)
+        words = self.words if plain else self.later_words
         return words.findall(text)
 
     def merge(self, items: list[str]) -> tuple[np.ndarray, np.ndarray]:
