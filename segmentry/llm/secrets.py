@@ -8,7 +8,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,9 +87,9 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
 
 def _holds_candidates(text: Column) -> Column:
     """Whether a text has candidates, batch by batch; the rest of the row stays with Spark."""
-    @F.pandas_udf("boolean")
-    def holds(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: bool(candidates(t or "")))
+    @F.arrow_udf("boolean")
+    def holds(texts: pa.Array) -> pa.Array:
+        return pa.array([bool(candidates(t.as_py() or "")) for t in texts], pa.bool_())
 
     return holds(text)
 
