@@ -19,7 +19,7 @@ from segmentry.llm.common import CHUNK_BYTES, bound_batches, table
 MEMORY_WORDS, MEMORY_LENGTH = 100_000, 40
 
 # Where the tokenizers library's Unicode tables differ from those of Python 3.13 and of regex, as found
-# by trying all code points (a test does so again). Ranges are hexadecimal, ends included.
+# by trying all code points (a test tries the affected regions again). Ranges are hexadecimal, ends included.
 #: Letters and numbers of later versions: the library's splitting takes them for other signs.
 LATER_LETTERS = """558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959
 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6
