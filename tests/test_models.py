@@ -249,3 +249,45 @@ def test_saved_text_model_labels_the_same(spark, folder, tmp_path, reduced):
     assert {r["doc_id"]: r["cluster_id"] for r in again.label_new(docs.withColumn("note", F.lit("x"))).collect()} == labels
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "unseen words only")], "doc_id long, cleaned_text string")
     assert len({r["cluster_id"] for r in again.transform(odd).collect()}) == 1 and again.transform(odd.limit(0)).count() == 0
+
+
+def test_passes_spread_over_all_cores_whatever_the_input_partitions(spark):
+    """Rows that come in one partition are dealt to all cores; tasks with large centres share the models instead."""
+    from segmentry.operators import kmeans
+
+    rng = np.random.default_rng(6)
+    x = rng.random((3000, 3))
+    points = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id int, embedding array<double>")
+    rows, size = kmeans.kept_rows(clusters.array_features(points.coalesce(1)).select("id", "features"))
+    assert size == 3 and rows.rdd.getNumPartitions() >= 4
+    models = [kmeans.KMeansFit(x[:k] + s) for k in (2, 3) for s in range(3)]
+    few, shares = kmeans._spread(rows, models, kmeans.PART_VALUES)
+    assert len(shares) > 1 and sorted(m for share in shares for m in share) == list(range(6))
+    moved = kmeans._pass(rows, models, size, True)
+    for model, (centres, counts, cost) in zip(models, moved):
+        gap = ((x[:, None] - model.centres) ** 2).sum(axis=2)
+        own = gap.argmin(axis=1)
+        assert counts.tolist() == np.bincount(own, minlength=model.k).tolist() and cost == pytest.approx(gap.min(axis=1).sum())
+        assert all(np.allclose(centres[j], x[own == j].mean(axis=0) if (own == j).any() else model.centres[j]) for j in range(model.k))
+
+
+def test_sparse_rows_are_placed_and_added_as_dense_ones():
+    from segmentry.operators import kmeans
+
+    rng = np.random.default_rng(7)
+    x = rng.random((40, 90)) * (rng.random((40, 90)) < 0.05)
+    x[3] = 0
+    row, column = np.nonzero(x)
+    ids = np.arange(40, dtype=np.uint64)
+    thin = kmeans.Rows(ids, np.bincount(row, minlength=40).astype(np.int32), column.astype(np.int32), x[row, column], 90)
+    full = kmeans.Rows(ids, np.zeros(0, np.int32), np.zeros(0, np.int32), x.ravel(), 90)
+    assert thin.sparse and not full.sparse and np.array_equal(thin.dense(), x)
+    near = kmeans.Nearest(kmeans._groups(range(4), [kmeans.KMeansFit(rng.random((k, 90)) / 9) for k in (3, 5, 3, 5)]), 90)
+    for (place, gap), (other, square), (_, centres, half) in zip(near.places(thin), near.places(full), near.groups):
+        assert np.array_equal(place, other) and np.allclose(gap, square)
+        sums = []
+        for rows in (thin, full):
+            counts, total = np.zeros(half.shape, np.int64), np.zeros(centres.shape)
+            near.add(rows, place, counts, total)
+            sums.append((counts, total))
+        assert np.array_equal(sums[0][0], sums[1][0]) and np.allclose(sums[0][1], sums[1][1])
