@@ -46,6 +46,8 @@ REVIEWS = Profile(K.REVIEW_TOKEN, min_df=2, max_df=0.80, max_features=5000)
 COHERENCE = Profile(K.DEFAULT_TOKEN, min_df=2, max_df=0.80, max_features=5000)
 EMBEDDING_KEYWORDS = Profile(K.WORD_TOKEN, min_df=2, max_df=0.75, max_features=6000)
 
+#: Bytes of the columns that are worked on at once: copies of them, not of whole batches, take memory.
+SLICE_BYTES = 2 << 20
 #: Values of the cluster centres (clusters x terms) that rows are compared with at most.
 CENTRE_VALUES = 4_000_000
 
@@ -67,6 +69,22 @@ def unigrams_and_bigrams(words: Column) -> Column:
         lambda a, b: F.concat(a, F.lit(" "), b))))
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut to SLICE_BYTES; a longer row stands alone."""
+    for batch in batches:
+        yield from _halved(batch)
+
+
+def _halved(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Halves of halves, since rows differ in length."""
+    if batch.num_rows < 2 or batch.nbytes <= SLICE_BYTES:
+        yield batch
+    else:
+        middle = batch.num_rows // 2
+        yield from _halved(batch.slice(0, middle))
+        yield from _halved(batch.slice(middle))
+
+
 def _flat(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Values of a list column and the row of each; a null list is empty."""
     lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
@@ -106,7 +124,7 @@ def packed_terms(docs: DataFrame, text: str, profiles: Sequence[Profile], keep:
         T.StructField(f"terms_{i}", T.ArrayType(T.StringType())), T.StructField(f"counts_{i}", T.ArrayType(T.IntegerType()))))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             counted = [c for i in range(len(different)) for c in _counted(batch.column(len(kept) + i))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], *counted], names=schema.names)
 
@@ -195,7 +213,7 @@ def weighed(rows: DataFrame, keep: Sequence[str], terms: pa.Array, idf: np.ndarr
     names = terms.cast(pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             words, row = _flat(batch.column(len(kept)))
             counts = _flat(batch.column(len(kept) + 1))[0].to_numpy(zero_copy_only=False)
             found = pc.fill_null(pc.index_in(words, names), -1).to_numpy(zero_copy_only=False)
@@ -331,7 +349,7 @@ def centre_similarity(entries: DataFrame, centres: dict[int, np.ndarray], key: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, matrix, length = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             index, row = _flat(batch.column(2))
             weight = _flat(batch.column(3))[0].to_numpy(zero_copy_only=False)
             own = np.array([place.get(c, len(place)) for c in batch.column(1).to_pylist()], np.int64)

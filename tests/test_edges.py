@@ -400,3 +400,14 @@ def test_reviews_landed_twice_load_once(spark, folder, tmp_path):
     V.review_pages(spark, folder).write.mode("append").parquet(landed)
     ingest.load_reviews(spark, landed, out, state, unique=True)
     assert first > 0 and ingest.compacted(spark, out).count() == first and ingest.compact(spark, out, into).count() == first
+
+
+def test_texts_are_counted_in_bounded_slices():
+    """Copies made while counting follow SLICE_BYTES, not the whole batch; a longer row stands alone."""
+    import pyarrow as pa
+
+    lists = [["word"] * n for n in (10, 900_000, 0, 5, 70_000, 70_000, 70_000, 70_000, 70_000, 70_000)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lists))), pa.array(lists, pa.list_(pa.string()))], names=["id", "words"])
+    cut = list(T.slices([batch, batch.slice(0, 0)]))
+    assert len(cut) > 4 and all(b.num_rows < 2 or b.nbytes <= T.SLICE_BYTES for b in cut)
+    assert pa.Table.from_batches(cut).equals(pa.Table.from_batches([batch]))
