@@ -291,3 +291,22 @@ def test_sparse_rows_are_placed_and_added_as_dense_ones():
             near.add(rows, place, counts, total)
             sums.append((counts, total))
         assert np.array_equal(sums[0][0], sums[1][0]) and np.allclose(sums[0][1], sums[1][1])
+
+
+def test_blocks_grow_with_the_table_and_are_worked_in_tiles(spark, monkeypatch):
+    """How often a row is shipped for the exact silhouette does not grow with the rows; tiles give the same sums."""
+    copies = [n / clusters._block_rows(n) for n in (200_000, 600_000, 2_000_000)]
+    assert max(copies) <= clusters.BLOCKS and clusters._block_rows(50) == clusters.TILE
+    rng = np.random.default_rng(8)
+    x = rng.random((70, 3))
+    points = spark.createDataFrame([(i, [float(v) for v in x[i]], i % 3) for i in range(70)], "id long, v array<double>, c int")
+    gap = np.linalg.norm(x[:, None] - x[None], axis=2)
+    labels = np.arange(70) % 3
+    got = {r["id"]: r["silhouette"] for r in clusters.silhouette_euclidean(points, "id", "v", "c").collect()}
+    for i in range(70):
+        mean = [gap[i][(labels == c) & (np.arange(70) != i)].mean() for c in range(3)]
+        own = mean.pop(labels[i])
+        assert got[i] == pytest.approx((min(mean) - own) / max(own, min(mean)), abs=1e-7)
+    monkeypatch.setattr(clusters, "TILE", 7)
+    tiled = {r["id"]: r["silhouette"] for r in clusters.silhouette_euclidean(points, "id", "v", "c", 40).collect()}
+    assert tiled == pytest.approx(got, abs=1e-9)
