@@ -14,7 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pandas.util import hash_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,6 +51,11 @@ EMBEDDING_KEYWORDS = Profile(K.WORD_TOKEN, min_df=2, max_df=0.75, max_features=6
 
 #: Bytes of the columns that are worked on at once: copies of them, not of whole batches, take memory.
 SLICE_BYTES = 2 << 20
+#: Terms whose counts a task adds up before it passes them on: they bound its memory.
+HELD_TERMS = 1_000_000
+#: Buckets that terms are dealt to by a hash of theirs, and how many of them a vocabulary term is first looked for in.
+BUCKETS = 1 << 17
+BUCKETS_PER_FEATURE = 4
 #: Values of the cluster centres (clusters x terms) that rows are compared with at most.
 CENTRE_VALUES = 4_000_000
 
@@ -96,23 +104,33 @@ def _lists(rows: np.ndarray, size: int, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(size + 1)).astype(np.int32)), values)
 
 
-def _counted(words: pa.Array) -> tuple[pa.ListArray, pa.ListArray]:
-    """Distinct words and pairs of neighbouring words of every row, and how often each stands there."""
+def _counted(words: pa.Array) -> tuple[pa.ListArray, pa.ListArray, pa.ListArray]:
+    """Distinct words and pairs of neighbouring words of every row, how often each stands there, and its bucket.
+
+    Pairs are told apart by the numbers of their words; only different ones are written out.
+    """
     flat, row = _flat(words)
-    flat = flat.cast(pa.large_string())
+    coded = pc.dictionary_encode(flat.cast(pa.large_string()))
+    known, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
     near = np.flatnonzero(row[1:] == row[:-1])
-    pairs = pc.binary_join_element_wise(flat.take(pa.array(near)), flat.take(pa.array(near + 1)), pa.scalar(" ", pa.large_string()))
-    coded = pc.dictionary_encode(pa.concat_arrays([flat, pairs]))
-    terms = coded.dictionary
-    place = np.concatenate([row, row[near]]).astype(np.int64) * max(len(terms), 1) + coded.indices.to_numpy()
+    paired = pc.dictionary_encode(pa.array(code[near] * max(len(known), 1) + code[near + 1]))
+    first, second = np.divmod(paired.dictionary.to_numpy(), max(len(known), 1))
+    pairs = pc.binary_join_element_wise(known.take(pa.array(first)), known.take(pa.array(second)), pa.scalar(" ", pa.large_string()))
+    # a word may hold a blank where the token pattern lets it, and then equal a pair
+    coded = pc.dictionary_encode(pa.concat_arrays([known, pairs]))
+    terms, number = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    place = np.concatenate([row, row[near]]).astype(np.int64) * max(len(terms), 1) + number[
+        np.concatenate([code, paired.indices.to_numpy() + len(known)])]
     place, counts = np.unique(place, return_counts=True)
     rows, codes = np.divmod(place, max(len(terms), 1))
+    bucket = (hash_array(terms.to_numpy(zero_copy_only=False), categorize=False) % BUCKETS).astype(np.int32)
     return (_lists(rows, len(words), terms.take(pa.array(codes)).cast(pa.string())),
-            _lists(rows, len(words), pa.array(counts.astype(np.int32))))
+            _lists(rows, len(words), pa.array(counts.astype(np.int32))),
+            _lists(rows, len(words), pa.array(bucket[codes])))
 
 
 def packed_terms(docs: DataFrame, text: str, profiles: Sequence[Profile], keep: Sequence[str]) -> DataFrame:
-    """One row per document: the columns `keep`, and terms_i, counts_i for each different tokenizer i.
+    """One row per document: the columns `keep`, and terms_i, counts_i, buckets_i for each different tokenizer i.
 
     Texts are read and cleaned once and go no further; nothing is shuffled.
     """
@@ -121,7 +139,8 @@ def packed_terms(docs: DataFrame, text: str, profiles: Sequence[Profile], keep:
         *keep, *(tokens(F.col("__text"), p).alias(f"__words_{i}") for i, p in enumerate(different)))
     kept = words.select(*keep).schema
     schema = T.StructType([*kept.fields, *(f for i in range(len(different)) for f in (
-        T.StructField(f"terms_{i}", T.ArrayType(T.StringType())), T.StructField(f"counts_{i}", T.ArrayType(T.IntegerType()))))])
+        T.StructField(f"terms_{i}", T.ArrayType(T.StringType())), T.StructField(f"counts_{i}", T.ArrayType(T.IntegerType())),
+        T.StructField(f"buckets_{i}", T.ArrayType(T.IntegerType()))))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -160,20 +179,113 @@ def _kept_terms(stats: DataFrame, documents: Column, profile: Profile) -> DataFr
             .orderBy(F.desc("total"), "term").limit(profile.max_features))
 
 
+def _added_up(parts: list[pa.Table]) -> pa.Table:
+    """One row per tokenizer and term."""
+    both = pa.concat_tables(parts).group_by(["tokenizer", "term"], use_threads=False).aggregate([("df", "sum"), ("total", "sum")])
+    return both.select(["tokenizer", "term", "df_sum", "total_sum"]).rename_columns(["tokenizer", "term", "df", "total"])
+
+
+def bucket_totals(rows: DataFrame, different: int) -> np.ndarray:
+    """How often terms of each bucket stand in packed rows (tokenizer x bucket): no term stands there more often than its bucket."""
+    piece = 4096
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((different, BUCKETS))
+        for batch in batches:
+            for i in range(different):
+                total[i] += np.bincount(_flat(batch.column(2 * i))[0].to_numpy(zero_copy_only=False),
+                                        _flat(batch.column(2 * i + 1))[0].to_numpy(zero_copy_only=False), BUCKETS)
+        pieces = total.reshape(-1, piece)
+        used = np.flatnonzero(pieces.any(axis=1))
+        offsets = np.arange(len(used) + 1, dtype=np.int32) * piece
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used.astype(np.int32)), pa.ListArray.from_arrays(offsets, pieces[used].ravel())], names=["piece", "totals"])
+
+    columns = [c for i in range(different) for c in (f"buckets_{i}", f"counts_{i}")]
+    parts = rows.select(*columns).mapInArrow(run, "piece int, totals array<double>").repartition("piece").groupBy("piece").agg(
+        Summarizer.sum(array_to_vector("totals")).alias("totals"))
+    out = np.zeros((different, BUCKETS))
+    for row in parts.toLocalIterator():
+        out.reshape(-1, piece)[row["piece"]] = row["totals"].toArray()
+    return out
+
+
+def partial_statistics(rows: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """(tokenizer, term, df, total) of the terms in wanted buckets (tokenizer x bucket).
+
+    Tasks add up their own counts as far as HELD_TERMS rows reach.
+    """
+    different = len(wanted)
+    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(wanted, axis=1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.unpackbits(shared.value, axis=1).astype(bool)
+        held: list[pa.Table] = []
+        size = 0
+        for batch in slices(batches):
+            for i in range(different):
+                inside = mask[i][_flat(batch.column(3 * i + 2))[0].to_numpy(zero_copy_only=False)]
+                terms = _flat(batch.column(3 * i))[0].filter(pa.array(inside))
+                coded = pc.dictionary_encode(terms.cast(pa.large_string()))
+                code = coded.indices.to_numpy()
+                tf = _flat(batch.column(3 * i + 1))[0].to_numpy(zero_copy_only=False)[inside]
+                total = np.bincount(code, tf, len(coded.dictionary)).astype(np.int64)
+                held.append(pa.table({
+                    "tokenizer": pa.array(np.full(len(total), i, np.int32)), "term": coded.dictionary,
+                    "df": pa.array(np.bincount(code, minlength=len(total))), "total": pa.array(total)}))
+                size += len(total)
+            if size >= HELD_TERMS:
+                held = [_added_up(held)]
+                size = held[0].num_rows
+                if size > HELD_TERMS // 2:
+                    yield from _term_batches(held)
+                    held, size = [], 0
+        if size:
+            yield from _term_batches([_added_up(held)])
+
+    columns = [c for i in range(different) for c in (f"terms_{i}", f"counts_{i}", f"buckets_{i}")]
+    return rows.select(*columns).mapInArrow(run, "tokenizer int, term string, df long, total long")
+
+
+def _term_batches(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+    for table in tables:
+        for part in table.to_batches(max_chunksize=50_000):
+            place = part.schema.get_field_index("term")
+            yield part.set_column(place, "term", part.column(place).cast(pa.string()))
+
+
 def vocabularies(rows: DataFrame, profiles: Sequence[Profile]) -> list[pa.Table]:
-    """Vocabulary of every profile (term, df, total, idf) by term, from one pass over packed rows."""
+    """Vocabulary of every profile (term, df, total, idf) by term, from passes over packed rows.
+
+    Terms are counted in the fullest buckets first. Where the last of `max_features` kept terms stands at least as
+    often as all terms of any other bucket together, no term there can be kept; else the buckets that
+    may hold one are counted as well. The result is that of counting all terms.
+    """
     n = rows.count()
     different = len({p.tokenizer for p in profiles})
-
-    def tagged(i: int) -> Column:
-        return F.transform(F.arrays_zip(f"terms_{i}", f"counts_{i}"), lambda t: F.struct(
-            F.lit(i).alias("tokenizer"), t[f"terms_{i}"].alias("term"), t[f"counts_{i}"].alias("tf")))
-
-    stats = rows.select(F.explode(F.concat(*map(tagged, range(different)))).alias("t")).groupBy("t.tokenizer", "t.term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("t.tf").alias("total"))
-    stats = materialize(stats.filter(F.col("df") >= min(p.min_df for p in profiles)), "terms")
-    return [_kept_terms(stats.filter(F.col("tokenizer") == _tokenizer(profiles, p)).drop("tokenizer"), F.lit(n), p)
-            .toArrow().sort_by("term") for p in profiles]
+    totals = bucket_totals(rows, different)
+    # a kept term stands in min_df documents at least
+    least = np.full(different, np.iinfo(np.int64).max)
+    limit = least.copy()
+    for p in profiles:
+        i, first = _tokenizer(profiles, p), p.max_features * BUCKETS_PER_FEATURE
+        least[i] = min(least[i], max(p.min_df, 1))
+        limit[i] = min(limit[i], np.sort(totals[i])[-first] if 0 < first < BUCKETS else 0)
+    limit = np.maximum(limit, least)
+    while True:
+        stats = partial_statistics(rows, totals >= limit[:, None]).repartition("tokenizer", "term").groupBy("tokenizer", "term").agg(
+            F.sum("df").alias("df"), F.sum("total").alias("total"))
+        stored = materialize(stats.filter(F.col("df") >= min(p.min_df for p in profiles)), "terms")
+        out = [_kept_terms(stored.filter(F.col("tokenizer") == _tokenizer(profiles, p)).drop("tokenizer"), F.lit(n), p).toArrow()
+               for p in profiles]
+        needed = limit.copy()
+        for p, kept in zip(profiles, out):
+            i = _tokenizer(profiles, p)
+            enough = kept.num_rows == p.max_features > 0
+            needed[i] = min(needed[i], max(least[i], pc.min(kept["total"]).as_py() if enough else 0))
+        if (needed == limit).all():
+            return [kept.sort_by("term") for kept in out]
+        limit = needed
 
 
 # --- weights --------------------------------------------------------------------------------

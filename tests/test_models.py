@@ -310,3 +310,23 @@ def test_blocks_grow_with_the_table_and_are_worked_in_tiles(spark, monkeypatch):
     monkeypatch.setattr(clusters, "TILE", 7)
     tiled = {r["id"]: r["silhouette"] for r in clusters.silhouette_euclidean(points, "id", "v", "c", 40).collect()}
     assert tiled == pytest.approx(got, abs=1e-9)
+
+
+def test_vocabularies_count_fullest_buckets_first_and_equal_counting_all(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    texts = [(i, " ".join(f"w{min(int(x), 400)}" for x in rng.zipf(1.3, rng.integers(0, 60)))) for i in range(300)]
+    texts += [(300, None), (301, "")]
+    docs = spark.createDataFrame(texts, "id int, t string").repartition(3)
+    profiles = [T.Profile(r"\b\w\w+\b", 2, 0.5, 40, ("w1",)), T.Profile(r"\b\w\w+\b", 1, 0.9, 100, ("w1",)), T.Profile(r"w\d\d", 2, 1.0, 10_000, ("x",))]
+    rows = T.packed_terms(docs, "t", profiles, ["id"])
+    whole = [T.vocabulary(T.term_counts(docs, "id", "t", p), docs, p).orderBy("term").collect() for p in profiles]
+    for buckets, per_feature in ((1 << 17, 4), (4096, 1), (8192, 30)):
+        monkeypatch.setattr(T, "BUCKETS", buckets)
+        monkeypatch.setattr(T, "BUCKETS_PER_FEATURE", per_feature)
+        found = T.vocabularies(T.packed_terms(docs, "t", profiles, ["id"]), profiles)
+        assert [[tuple(r.values()) for r in v.select(["term", "df", "total"]).to_pylist()] for v in found] == [
+            [(r["term"], r["df"], r["total"]) for r in v] for v in whole]
+    # tasks add up their terms before these are shuffled
+    monkeypatch.setattr(T, "BUCKETS", 1 << 17)
+    one = T.partial_statistics(rows.coalesce(1), np.ones((2, 1 << 17), bool))
+    assert one.count() == one.select("tokenizer", "term").distinct().count()
