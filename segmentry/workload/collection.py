@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from segmentry.contracts import stored_checked
 from segmentry.plans import collection
 from segmentry.schemas import TABLES
-from segmentry.session import scratch_path
+from segmentry.session import materialize, scratch_path
 from segmentry.sources import snapshots, tables
 from segmentry.workload import views as V
 from segmentry.workload.views import table
@@ -72,7 +72,10 @@ def snapshot_append(spark: SparkSession, folder: str) -> DataFrame:
 def bundle_load(spark: SparkSession, folder: str) -> DataFrame:
     """All tables of a bundle written, read back with their checks and counted."""
     root = scratch_path(spark, "bundle")
-    charts = V.charts(spark, folder).withColumnRenamed("rating_count", "reviews_collected").withColumns({
+    # stored, since every table is written from them: parts are sent round once, not once a table
+    needed = ["app_id", "title", "developer", "chart_type", "chart_position", "cluster_id", "average_rating", "rating_count"]
+    stored = materialize(V.charts(spark, folder).select(*needed), "charts")
+    charts = stored.withColumnRenamed("rating_count", "reviews_collected").withColumns({
         "game_title": F.col("title"), "game_count": F.lit(1), "keywords": F.col("title"), "representative_games": F.col("title"),
         "cluster_name": F.col("title"), "adjusted_opportunity_score": F.col("average_rating"), "segment_type": F.col("chart_type"),
         "review_text": F.col("title"), "review_rating": F.col("average_rating"), "pain_point_id": F.col("cluster_id"),

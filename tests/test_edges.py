@@ -411,3 +411,21 @@ def test_texts_are_counted_in_bounded_slices():
     cut = list(T.slices([batch, batch.slice(0, 0)]))
     assert len(cut) > 4 and all(b.num_rows < 2 or b.nbytes <= T.SLICE_BYTES for b in cut)
     assert pa.Table.from_batches(cut).equals(pa.Table.from_batches([batch]))
+
+
+def test_bundle_reads_its_charts_once(spark, tmp_path, monkeypatch):
+    from segmentry.workload import collection
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def marked(value):
+        seen.add(1)
+        return value
+
+    rows = [(str(i % 4), f"t{i}", "d", "top_free", i % 5, i % 3, 4.0, 1.0) for i in range(20)]
+    charts = spark.createDataFrame(rows, "app_id string, title string, developer string, chart_type string, chart_position int,"
+                                   "cluster_id int, average_rating double, rating_count double")
+    monkeypatch.setattr(collection.V, "charts", lambda *_: charts.withColumn("title", F.udf(marked)("title")))
+    found = {r["table"]: r["rows"] for r in collection.bundle_load(spark, "none").collect()}
+    assert set(found.values()) == {16, 12, 8}
+    assert seen.value == 20
