@@ -57,15 +57,20 @@ def collection_rerun(spark: SparkSession, folder: str) -> DataFrame:
 def snapshot_append(spark: SparkSession, folder: str) -> DataFrame:
     """Two whole chart snapshots, the second one replaced, and a half-written third; all rows of the whole ones."""
     path = scratch_path(spark, "snapshots")
-    charts = V.charts(spark, folder).select("app_id", "title", "developer", "chart_type", "chart_position")
+    # stored, since four writes read them
+    charts = materialize(V.charts(spark, folder).select("app_id", "title", "developer", "chart_type", "chart_position"), "charts")
     later = charts.withColumn("chart_position", F.col("chart_position") + 1)
     snapshots.commit_snapshot(charts, path, "20240101_000000")
     snapshots.commit_snapshot(charts, path, "20240102_000000")
     snapshots.commit_snapshot(later, path, "20240102_000000")
     snapshots.write_attempt(later, path, "20240103_000000")
     newest = snapshots.read_snapshot(spark, path).agg(F.max("snapshot_ts")).scalar()
-    return snapshots.all_snapshots(spark, path).groupBy("snapshot_ts", "chart_type", "chart_position").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_distinct("app_id").alias("apps"), F.count("developer").alias("developers")).withColumn(
+    # rows meet by chart place and app before they are counted, so that a task holds the groups of one partition only
+    place = ["snapshot_ts", "chart_type", "chart_position"]
+    per_app = snapshots.all_snapshots(spark, path).select(*place, "app_id", "developer").repartition(*place, "app_id").groupBy(
+        *place, "app_id").agg(F.count(F.lit(1)).alias("rows"), F.count("developer").alias("developers"))
+    return per_app.groupBy(*place).agg(
+        F.sum("rows").alias("rows"), F.count("app_id").alias("apps"), F.sum("developers").alias("developers")).withColumn(
         "is_newest", F.col("snapshot_ts") == newest)
 
 

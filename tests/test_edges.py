@@ -429,3 +429,16 @@ def test_bundle_reads_its_charts_once(spark, tmp_path, monkeypatch):
     found = {r["table"]: r["rows"] for r in collection.bundle_load(spark, "none").collect()}
     assert set(found.values()) == {16, 12, 8}
     assert seen.value == 20
+
+
+def test_snapshot_apps_are_counted_by_partition(spark, monkeypatch):
+    from segmentry.workload import collection
+
+    rows = [("1", "t", "d", "top_free", 1), ("1", "t", None, "top_free", 1), (None, "t", "d", "top_free", 1), ("2", "t", "d", "top_paid", None)]
+    charts = spark.createDataFrame(rows, "app_id string, title string, developer string, chart_type string, chart_position int")
+    monkeypatch.setattr(collection.V, "charts", lambda *_: charts)
+    out = collection.snapshot_append(spark, "none")
+    assert "REPARTITION_BY_COL" in out._jdf.queryExecution().executedPlan().toString()
+    found = {tuple(r) for r in out.select("snapshot_ts", "chart_type", "chart_position", "rows", "apps", "developers", "is_newest").collect()}
+    assert found == {("20240101_000000", "top_free", 1, 3, 1, 2, False), ("20240101_000000", "top_paid", None, 1, 1, 1, False),
+                     ("20240102_000000", "top_free", 2, 3, 1, 2, True), ("20240102_000000", "top_paid", None, 1, 1, 1, True)}
