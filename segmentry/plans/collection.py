@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from segmentry.contracts import CHECKED, stored_checked
 from segmentry.operators import reviews as R
+from segmentry.session import together
 from segmentry.sources import feeds, tables
 
 RUNS = "stage string, fingerprint string"
@@ -59,12 +61,14 @@ class Stages:
         """Tables of a stage, built only if they are not stored; `least` names tables that must not be empty."""
         folder = f"{self.root}/{stage}/{mark}"
         if not self.done(stage, mark):
-            names = []
-            for name, df in build().items():
+            built = build()
+
+            def store(name: str) -> None:
                 guards = {what: CHECKED for table, what in (least or {}).items() if table == name}
-                stored_checked(df, f"{folder}/{name}", guards)
-                names.append((name,))
-            self.spark.createDataFrame(names, "name string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/tables")
+                stored_checked(built[name], f"{folder}/{name}", guards)
+
+            together(*(partial(store, name) for name in built))
+            self.spark.createDataFrame([(name,) for name in built], "name string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/tables")
             note = self.spark.createDataFrame([(stage, mark)], RUNS)
             note.coalesce(1).write.mode("append").parquet(f"{self.root}/runs")
             self.ran.append(stage)

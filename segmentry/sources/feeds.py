@@ -18,6 +18,10 @@ from segmentry.functions.columns import text_number, to_timestamp_utc
 from segmentry.operators.rows import first_per_key
 
 
+# documents whose first field is `feed` and whose first field is `entry`: what the entry begins with shows without parsing
+_BEGINS = r'^\s*\{\s*"feed"\s*:\s*\{\s*"entry"\s*:\s*'
+
+
 def _is_json(text: Column, *openers: str) -> Column:
     return F.substring(F.trim(text), 1, 1).isin(*openers)
 
@@ -26,20 +30,25 @@ def _entries(doc: Column, element: str) -> Column:
     """`feed.entry` as an array of `element`: a list, or one object as a list of one.
 
     A list that mixes objects with other values is read item by item and keeps its
-    objects. The cheap case comes first; the others run only where it fails.
+    objects. The cheap case comes first; the others run only where it fails, since a parse that
+    fails costs more than one that fits.
     """
     def parse(kind: str) -> Column:
         return F.from_json(doc, f"feed struct<entry:{kind}>")["feed"]["entry"]
 
     objects = F.transform(F.filter(parse("array<string>"), lambda e: _is_json(e, "{")),
                           lambda e: F.from_json(F.concat(F.lit('{"e":'), e, F.lit("}")), f"e {element}")["e"])
-    return F.coalesce(parse(f"array<{element}>"), objects, F.array_compact(F.array(parse(element))))
+    single = F.array_compact(F.array(parse(element)))
+    found = F.coalesce(parse(f"array<{element}>"), objects, single)
+    lone = F.when(F.size(single) > 0, single)
+    return F.when(doc.rlike(_BEGINS + r"\{"), F.coalesce(lone, found)).otherwise(found)
 
 
 def is_chart_feed(doc: Column) -> Column:
     """Whether a document's entries are absent, a list or one object; other documents are no chart feeds."""
     raw = F.get_json_object(doc, "$.feed.entry")
-    return F.coalesce(raw.isNull() | _is_json(raw, "[", "{"), F.lit(True))
+    told = doc.rlike(_BEGINS + r"[\[{]")
+    return F.when(told, F.lit(True)).otherwise(F.coalesce(raw.isNull() | _is_json(raw, "[", "{"), F.lit(True)))
 
 
 def chart_entries(docs: DataFrame, strict: bool = False, country: str = "US") -> DataFrame:

@@ -8,18 +8,21 @@ from pyspark.sql import functions as F
 from segmentry.contracts import stored_checked
 from segmentry.plans import collection
 from segmentry.schemas import TABLES
-from segmentry.session import materialize, scratch_path
+from segmentry.session import materialize, scratch_path, together
 from segmentry.sources import snapshots, tables
 from segmentry.workload import views as V
 from segmentry.workload.views import table
 
+#: Documents of a landed file at most.
+LANDED_ROWS = 100_000
+
 
 def _landed(spark: SparkSession, folder: str) -> dict[str, str]:
     """Feeds written as they land; the lookups of large parts are missing."""
-    paths = {name: scratch_path(spark, name) for name in ("chart_docs", "lookup_docs", "review_pages")}
-    V.chart_feed_docs(spark, folder).write.parquet(paths["chart_docs"])
-    V.lookup_docs(spark, folder).write.parquet(paths["lookup_docs"])
-    V.review_pages(spark, folder).write.parquet(paths["review_pages"])
+    feeds = {"chart_docs": V.chart_feed_docs(spark, folder), "lookup_docs": V.lookup_docs(spark, folder), "review_pages": V.review_pages(spark, folder)}
+    paths = {name: scratch_path(spark, name) for name in feeds}
+    # files of even size, so that the tasks that parse them take about as long as each other
+    together(*(lambda n=name, d=docs: d.write.option("maxRecordsPerFile", LANDED_ROWS).parquet(paths[n]) for name, docs in feeds.items()))
     return paths
 
 

@@ -442,3 +442,31 @@ def test_snapshot_apps_are_counted_by_partition(spark, monkeypatch):
     found = {tuple(r) for r in out.select("snapshot_ts", "chart_type", "chart_position", "rows", "apps", "developers", "is_newest").collect()}
     assert found == {("20240101_000000", "top_free", 1, 3, 1, 2, False), ("20240101_000000", "top_paid", None, 1, 1, 1, False),
                      ("20240102_000000", "top_free", 2, 3, 1, 2, True), ("20240102_000000", "top_paid", None, 1, 1, 1, True)}
+
+
+def test_landed_feeds_lie_in_even_files(spark, tmp_path, monkeypatch):
+    from segmentry.workload import collection
+
+    docs = spark.range(50, numPartitions=1).select(F.col("id").cast("string").alias("doc"))
+    for view in ("chart_feed_docs", "lookup_docs", "review_pages"):
+        monkeypatch.setattr(collection.V, view, lambda *_: docs)
+    monkeypatch.setattr(collection, "LANDED_ROWS", 20)
+    for path in collection._landed(spark, "none").values():
+        landed = spark.read.parquet(path)
+        assert landed.count() == 50 and len(landed.inputFiles()) == 3
+
+
+@pytest.mark.parametrize("space", ["", " \n"])
+def test_lone_entries_are_told_by_how_a_document_begins(spark, space):
+    from segmentry.sources import feeds
+
+    bodies = ['{"id":{"label":"a"}}', '[{"id":{"label":"a"}}]', '[{"id":{"label":"a"}},3,{"id":{"label":"b"}}]', '"none"', "3", "{", "null", "{}"]
+    docs = [space + '{"feed"' + space + ":" + space + '{"entry":' + space + b + "}}" for b in bodies]
+    docs += ['{"feed":{"title":"t","entry":{"id":{"label":"a"}}}}', '{"feed":{}}', "", "[]", None]
+    rows = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, doc string")
+    kind = "struct<id:struct<label:string>>"
+    got = {r["i"]: r["ids"] for r in rows.select("i", F.transform(feeds._entries(F.col("doc"), kind), lambda e: e["id"]["label"]).alias("ids")).collect()}
+    assert [got[i] for i in range(3)] == [["a"], ["a"], ["a", "b"]] and got[8] == ["a"]
+    assert all(not got[i] for i in (3, 4, 5, 9, 10, 11, 12))
+    feed = {r["i"]: r["f"] for r in rows.select("i", feeds.is_chart_feed(F.col("doc")).alias("f")).collect()}
+    assert [i for i, f in feed.items() if not f] == [3, 4]
