@@ -67,7 +67,7 @@ class Stages:
                 guards = {what: CHECKED for table, what in (least or {}).items() if table == name}
                 stored_checked(built[name], f"{folder}/{name}", guards)
 
-            together(*(partial(store, name) for name in built))
+            together(self.spark, *(partial(store, name) for name in built))
             self.spark.createDataFrame([(name,) for name in built], "name string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/tables")
             note = self.spark.createDataFrame([(stage, mark)], RUNS)
             note.coalesce(1).write.mode("append").parquet(f"{self.root}/runs")

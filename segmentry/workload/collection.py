@@ -22,7 +22,7 @@ def _landed(spark: SparkSession, folder: str) -> dict[str, str]:
     feeds = {"chart_docs": V.chart_feed_docs(spark, folder), "lookup_docs": V.lookup_docs(spark, folder), "review_pages": V.review_pages(spark, folder)}
     paths = {name: scratch_path(spark, name) for name in feeds}
     # files of even size, so that the tasks that parse them take about as long as each other
-    together(*(lambda n=name, d=docs: d.write.option("maxRecordsPerFile", LANDED_ROWS).parquet(paths[n]) for name, docs in feeds.items()))
+    together(spark, *(lambda n=name, d=docs: d.write.option("maxRecordsPerFile", LANDED_ROWS).parquet(paths[n]) for name, docs in feeds.items()))
     return paths
 
 
