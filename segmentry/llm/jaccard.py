@@ -14,7 +14,7 @@ from segmentry.session import materialize, release
 
 #: Least parts beyond the pigeonhole's, and differing shingles for one more of them.
 SPARE, PER_SPARE = 8, 8
-#: Parts without a bit that a set may hide.
+#: Parts without a shingle that a set may hide.
 EMPTY = 2
 #: Keys of few sets that a pair must share to be compared for them; linked sets that share less share keys of many sets.
 TOGETHER = 2
@@ -93,10 +93,11 @@ def part_keys(sets: list[np.ndarray], nodes: np.ndarray, percent: int) -> tuple[
     """(keys, nodes): the part keys of every set in each size band where it may meet a larger set.
 
     In the band whose largest size is N, linked sets differ in at most D = (100 - p) 2N / (100 + p)
-    shingles. A shingle flips one of 256 bits of one of D + 1 + S parts, so linked sets agree on
-    S + 1 parts at least. Parts without a bit are no keys, unless a set has more than EMPTY of them:
-    then it shows them to its like. So linked sets share S + 1 - EMPTY keys at least. The band is in
-    the high bits of a key.
+    shingles. A shingle is in one of D + 1 + S parts, so linked sets agree on S + 1 parts at least. The
+    key of a part is the XOR of all 64 bits of its shingles: with fewer bits, parts of one or two shingles
+    would meet by chance, the more often the more sets there are. Parts without a shingle are no keys, unless
+    a set has more than EMPTY of them: then it shows them to its like. So linked sets share S + 1 - EMPTY keys
+    at least. The band is in the high bits of a key.
     """
     sizes = np.array([len(s) for s in sets])
     band = np.searchsorted(_EDGES, sizes, "right") - 1
@@ -115,20 +116,14 @@ def part_keys(sets: list[np.ndarray], nodes: np.ndarray, percent: int) -> tuple[
         parts = (differ[take] + 1 + SPARE + differ[take] // PER_SPARE).astype(np.uint64)
         part = ((flat >> np.uint64(32)) * parts[row]) >> np.uint64(32)
         starts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (row[1:] != row[:-1])])
-        word = (flat >> np.uint64(6)) & np.uint64(3)
-        flip = np.uint64(1) << (flat & np.uint64(63))
         seen_row, seen_part = row[starts], part[starts]
         salt = mix(b[take].astype(np.uint64) * _ODD)
-        value, some = mix(salt[seen_row] + seen_part), np.zeros(len(starts), bool)
-        for w in range(4):
-            bits = np.bitwise_xor.reduceat(np.where(word == w, flip, np.uint64(0)), starts)
-            some |= bits != 0
-            value = mix(value ^ bits) + _ODD
-        keys.append(value[some] >> np.uint64(64 - KEY_BITS) | high[take][seen_row[some]])
-        owners.append(nodes[take][seen_row[some]])
-        filled = np.bincount(seen_row[some], minlength=len(take))
+        value = mix(mix(salt[seen_row] + seen_part) ^ np.bitwise_xor.reduceat(flat, starts))
+        keys.append(value >> np.uint64(64 - KEY_BITS) | high[take][seen_row])
+        owners.append(nodes[take][seen_row])
+        filled = np.bincount(seen_row, minlength=len(take))
         for r in np.flatnonzero(parts.astype(np.int64) - filled > EMPTY):
-            empty = np.setdiff1d(np.arange(parts[r], dtype=np.uint64), seen_part[some & (seen_row == r)])
+            empty = np.setdiff1d(np.arange(parts[r], dtype=np.uint64), seen_part[seen_row == r])
             keys.append(~mix(salt[r] + empty) >> np.uint64(64 - KEY_BITS) | high[take[r]])
             owners.append(np.full(len(empty), nodes[take[r]]))
     if not keys:

@@ -345,6 +345,15 @@ def test_part_keys_never_lose_a_link():
                 assert (shared >> np.uint64(jaccard.KEY_BITS) == band).sum() >= jaccard.band_bounds(band, 85)[1]
 
 
+def test_sets_without_a_common_shingle_share_no_part_key(monkeypatch):
+    monkeypatch.setattr(jaccard, "EMPTY", 1 << 30)  # parts without a shingle stay hidden: others may lack the same
+    rnd = np.random.default_rng(9)
+    sets = [np.unique(rnd.integers(0, 2**64 - 1, size, dtype=np.uint64)) for size in rnd.integers(8, 40, 3_000)]
+    keys, nodes = jaccard.part_keys(sets, np.arange(len(sets)), 80)
+    met = collections.Counter(k for k, _ in set(zip(keys.tolist(), nodes.tolist())))
+    assert len(met) > 20_000 and max(met.values()) == 1
+
+
 def test_common_keys_left_out_lose_no_pair(spark):
     rnd = np.random.default_rng(8)
     percent, band = 85, 20
