@@ -27,11 +27,11 @@ KEY_BLOCK, SET_BLOCK = 1_024, 1_024
 #: Texts of a cluster that one task sets against the cluster's pivot.
 TEXT_BLOCK = 256
 #: Sets under one key up to which keys are compared many at once, and words of sketches compared at once.
-SMALL, COMPARED = 64, 1 << 20
+SMALL, COMPARED = 64, 1 << 17
 #: Least and most bits of the sketch that whole sets are compared by; in between a bit or two a shingle.
 SKETCH_BITS = (256, 16_384)
 #: Keys a task gathers before it hands them on, and before it looks for those of several sets.
-FLUSH, GATHERED = 400_000, 200_000
+FLUSH, GATHERED = 200_000, 100_000
 
 _EDGES = [1]
 while _EDGES[-1] < 1 << 40:

@@ -345,6 +345,15 @@ def test_part_keys_never_lose_a_link():
                 assert (shared >> np.uint64(jaccard.KEY_BITS) == band).sum() >= jaccard.band_bounds(band, 85)[1]
 
 
+def test_pieces_of_text_are_small_and_whole():
+    texts = [bytes([97 + i % 26]) * n for i, n in enumerate([30_000] * 40 + [0, 300_000, 5])]
+    got = [(first, bytes(data), np.diff(offsets).tolist()) for first, data, offsets in common.chunks(pa.array(texts, pa.binary()))]
+    assert [size for _, _, sizes in got for size in sizes] == [len(t) for t in texts]
+    assert b"".join(data for _, data, _ in got) == b"".join(texts)
+    assert [first for first, _, _ in got] == np.cumsum([0, *(len(sizes) for _, _, sizes in got[:-1])]).tolist()
+    assert all(len(data) <= 1 << 17 or len(sizes) == 1 for _, data, sizes in got)  # 64-bit values of them fit a megabyte
+
+
 def test_sets_without_a_common_shingle_share_no_part_key(monkeypatch):
     monkeypatch.setattr(jaccard, "EMPTY", 1 << 30)  # parts without a shingle stay hidden: others may lack the same
     rnd = np.random.default_rng(9)
