@@ -312,6 +312,60 @@ def test_blocks_grow_with_the_table_and_are_worked_in_tiles(spark, monkeypatch):
     assert tiled == pytest.approx(got, abs=1e-9)
 
 
+def test_exact_sweep_scores_all_models_by_one_distance_each_and_leaves_no_tables(spark, monkeypatch, tmp_path):
+    """All k share the distances; nothing but the rows is stored, and that only while it is needed."""
+    import os
+
+    from segmentry.operators import kmeans
+
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(c, 1.0, (60, 3)) for c in (0, 3, 9)] + [np.full((4, 3), 2.0)])
+    points = clusters.array_features(spark.createDataFrame(
+        [(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, embedding array<double>")).select("id", "features")
+    monkeypatch.setattr(clusters, "RECORD_ROWS", 50)
+    monkeypatch.setattr(clusters, "HELD_ROWS", 7)
+    monkeypatch.setattr(clusters, "SHIPPED_BYTES", 2000)
+    rows, size = kmeans.kept_rows(points)
+    lone = kmeans.KMeansFit(np.vstack([x[:2], [[50.0] * 3], x[:1] + 1e6]))  # a cluster without rows, too
+    fits = [lone, kmeans.KMeansFit(x[[0, 70, 130]]), kmeans.KMeansFit(x[[0, 100]]), kmeans.KMeansFit(x[:1])]
+    gap = np.linalg.norm(x[:, None] - x[None], axis=2)
+    expected = []
+    for fit in fits:
+        labels = ((x[:, None] - fit.centres) ** 2).sum(axis=2).argmin(axis=1)
+        score = []
+        for i, own in enumerate(labels):
+            mean = {c: gap[i][(labels == c) & (np.arange(len(x)) != i)].mean() for c in set(labels) if ((labels == c) & (np.arange(len(x)) != i)).any()}
+            a, b = mean.pop(own, None), min(mean.values(), default=None)
+            score.append(0.0 if a is None or b is None or max(a, b) == 0 else (b - a) / max(a, b))
+        expected.append(np.mean(score))
+    assert clusters.silhouettes_euclidean(rows, size, fits) == pytest.approx(expected, abs=1e-7)
+
+    # where nothing but the sweep's own tables can be
+    monkeypatch.setattr("segmentry.session.scratch_root", lambda spark: str(tmp_path))
+    swept = clusters.sweep_cluster_counts(points, [2, 3], 2, "euclidean", key="id").collect()
+    assert [r["number_of_clusters"] for r in swept] == [2, 3] and all(-1 <= r["silhouette_score"] <= 1 for r in swept)
+    assert os.listdir(tmp_path) == []
+
+
+def test_nearest_centres_in_two_precisions_are_those_in_double(spark):
+    """Rows between two centres, equal centres and values far from zero are decided in double precision."""
+    from segmentry.operators import kmeans
+
+    rng = np.random.default_rng(10)
+    near = rng.random((64, 5))
+    for x in (near, near + 1e4, np.round(near * 3), np.zeros((64, 5))):
+        centres = [np.vstack([x[:k] + 1e-9, x[:1] + 1e-9]) for k in (2, 4)] + [x[k:k + 3] * 1.0 for k in range(3)]
+        groups = kmeans._groups(range(len(centres)), [kmeans.KMeansFit(c) for c in centres])
+        rows = kmeans.Rows(np.arange(64, dtype=np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), x.ravel(), 5)
+        both = kmeans.Nearest(groups, 5)
+        mine = [(np.zeros(h.shape, np.int64), np.zeros(len(n)), np.zeros(c.shape)) for n, c, h in groups]
+        both.tally(rows, mine)
+        for (place, gap), least, (counts, cost, total), (_, c, h) in zip(both.places(rows), both.least(rows), mine, groups):
+            member = place[None] == np.arange(len(c))[:, None, None]
+            assert np.array_equal(counts, member.sum(axis=2)) and np.allclose(total, member @ x)
+            assert np.allclose(least, gap, atol=1e-7) and np.allclose(cost, gap.sum(axis=1), atol=1e-3)
+
+
 def test_vocabularies_count_fullest_buckets_first_and_equal_counting_all(spark, monkeypatch):
     rng = np.random.default_rng(1)
     texts = [(i, " ".join(f"w{min(int(x), 400)}" for x in rng.zipf(1.3, rng.integers(0, 60)))) for i in range(300)]
