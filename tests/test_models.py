@@ -1,6 +1,7 @@
 """Vectors and models against brute force; invariants of the end-to-end runs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -384,3 +385,31 @@ def test_vocabularies_count_fullest_buckets_first_and_equal_counting_all(spark,
     monkeypatch.setattr(T, "BUCKETS", 1 << 17)
     one = T.partial_statistics(rows.coalesce(1), np.ones((2, 1 << 17), bool))
     assert one.count() == one.select("tokenizer", "term").distinct().count()
+
+
+def test_boxed_terms_are_those_of_every_row_and_hold_a_term_once(spark, monkeypatch):
+    """A slice of the texts is one record, in which a term stands once; tokens, vocabularies and weights stay what Java's patterns make of every text."""
+    rng = np.random.default_rng(11)
+    texts = [(f"k{i}", " ".join(f"Word{'abcdefghij'[int(x) % 10]}-{'xyz'[int(x) % 3]}'s" for x in rng.zipf(1.4, rng.integers(0, 30)))) for i in range(120)]
+    texts += [("null", None), ("empty", ""), ("accents", "Straße élan words İstanbul don't-stop naïve_one"), (None, "Worda-x Wordb-y a_b c-d -- E1f2"), ("null", "again wordc-z")]
+    docs = spark.createDataFrame(texts, "id string, t string").repartition(2)
+    profiles = [T.CATALOG, T.REVIEWS, T.COHERENCE, T.Profile(r"w\w+d", 1, 1.0, 50, ("x",))]
+    monkeypatch.setattr(T, "SLICE_BYTES", 2_000)
+    packed = T.packed_terms(docs, "t", profiles, ["id"]).collect()
+    different = list({p.tokenizer: p for p in profiles}.values())
+    words = docs.select("id", *(T.tokens(F.col("t"), p).alias(f"w_{i}") for i, p in enumerate(different))).collect()
+    count = lambda ws: sorted({t: ([*ws, *map(" ".join, zip(ws, ws[1:]))]).count(t) for t in [*ws, *map(" ".join, zip(ws, ws[1:]))]}.items())
+    for i in range(len(different)):
+        expected = sorted((str(r["id"]), count(r[f"w_{i}"])) for r in words)
+        assert sorted((str(r["id"]), sorted(zip(r[f"terms_{i}"], r[f"counts_{i}"]))) for r in packed) == expected
+    boxed = T.boxed_terms(docs, "t", profiles, ["id"])
+    for r in boxed.collect():
+        held = T.Counted.unboxed(*(pa.scalar(bytes(r[f"{c}_0"]), pa.binary()) for c in T.BOXED))
+        assert len(set(held.terms.to_pylist())) == len(held.terms) and len(held.lengths) == r["n"] and held.lengths.sum() == len(held.codes)
+    assert boxed.count() < len(texts)
+    one, two = (T.vocabularies(rows, profiles) for rows in (boxed, T.packed_terms(docs, "t", profiles, ["id"])))
+    assert [v.to_pylist() for v in one] == [v.to_pylist() for v in two] and all(v.num_rows for v in one)
+    show = lambda rows: sorted((str(r["id"]), r["indices"], [round(x, 12) for x in r["values"]]) for r in rows.collect())
+    for i, v in enumerate(one):
+        args = (["id"], v["term"].combine_chunks(), v["idf"].to_numpy(), i)
+        assert show(T.weighed(boxed, *args, kept=docs.select("id").schema)) == show(T.weighed(T.packed_terms(docs, "t", profiles, ["id"]), *args))
